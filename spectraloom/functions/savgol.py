@@ -40,10 +40,15 @@ def smooth_matrix(x: np.ndarray, fit: np.ndarray) -> np.ndarray:
 
 
 def savgol(x: Column, window: int = 11, polyorder: int = 2) -> Column:
+    """Smoothed points of the column ``x``.
+
+    Give the output of array steps as a column of its own, not as a nested expression: Spark does not
+    hand nested lambdas to a Python kernel. Naming ``x`` twice keeps Catalyst from nesting them again.
+    """
     fit = fit_matrix(window, polyorder)
 
     @F.arrow_udf("array<double>")
-    def smooth(spectra: pa.Array) -> pa.Array:
+    def smooth(spectra: pa.Array, _sizes: pa.Array) -> pa.Array:
         return map_matrix(spectra, lambda matrix: smooth_matrix(matrix, fit))
 
-    return smooth(x)
+    return smooth(x, F.size(x))

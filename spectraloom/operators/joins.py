@@ -13,8 +13,8 @@ def join_small(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "l
                max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Join a table that is expected to be small, NULL keys matching NULL keys.
 
-    Its rows are fetched up to the limit. Within it they are broadcast, so ``df`` is not shuffled;
-    beyond it the tables meet in a shuffle join. ``table`` is computed once either way it is small.
+    Its rows are fetched up to the limit. Within it they are broadcast, so ``df`` is not shuffled and
+    ``table`` is computed once; beyond it the tables meet in a shuffle join.
     """
     renamed = table.withColumnsRenamed({key: f"_right_{key}" for key in on})
     rows = renamed.take(max_rows + 1)

@@ -70,7 +70,7 @@ def difference_stats(df: DataFrame, intensities: str = "intensities") -> tuple[f
     """Median and median absolute deviation of the first differences of all spectra together."""
     from spectraloom.functions.arrays import first_difference
 
-    differences = df.select(F.explode(first_difference(F.col(intensities))).alias("d"))
+    differences = df.select(F.explode_outer(first_difference(F.col(intensities))).alias("d"))
     median = exact_median(differences, F.col("d"))
     if median is None:
         return None, None

@@ -18,17 +18,15 @@ from spectraloom.operators.quantile import difference_stats
 INTENSITIES = "intensities"
 
 
-def _spike_stats(df: DataFrame, column: str, scope: str,
-                 stats: tuple[float, float] | None) -> tuple[DataFrame, Column, Column, list[str]]:
-    """Median and deviation of the differences as columns: two literals, or one pair per row."""
+Stats = tuple[float | None, float | None]
+
+
+def _scope_stats(df: DataFrame, column: str, scope: str, stats: Stats | None) -> Stats | None:
+    """Statistics of all differences for data-set scope, None where each spectrum is its own measure."""
     if scope == "dataset":
-        median, mad = stats or difference_stats(df, column)
-        return df, F.lit(median).cast("double"), F.lit(mad).cast("double"), []
+        return stats or difference_stats(df, column)
     if scope == "spectrum":
-        differences = arrays.first_difference(F.col(column))
-        df = df.withColumn("_median", arrays.array_median(differences))
-        df = df.withColumn("_mad", arrays.array_mad(differences, F.col("_median")))
-        return df, F.col("_median"), F.col("_mad"), ["_median", "_mad"]
+        return None
     raise ValueError(f"scope must be 'dataset' or 'spectrum', got {scope!r}")
 
 
@@ -37,31 +35,26 @@ def first_difference(df: DataFrame, column: str = INTENSITIES, output: str = "di
 
 
 def modified_z(df: DataFrame, column: str = INTENSITIES, output: str = "z", scope: str = "dataset",
-               stats: tuple[float, float] | None = None) -> DataFrame:
-    df, median, mad, helpers = _spike_stats(df, column, scope, stats)
-    z = arrays.modified_z(arrays.first_difference(F.col(column)), median, mad)
-    return df.withColumn(output, z).drop(*helpers)
+               stats: Stats | None = None) -> DataFrame:
+    return df.withColumn(output, arrays.modified_z(F.col(column), _scope_stats(df, column, scope, stats)))
 
 
 def despike(df: DataFrame, ma: int = 10, threshold: float = 50, scope: str = "dataset",
-            stats: tuple[float, float] | None = None,
-            column: str = INTENSITIES, output: str | None = None) -> DataFrame:
+            stats: Stats | None = None, column: str = INTENSITIES, output: str | None = None) -> DataFrame:
     """Replace points that jump to their successor by the mean of their quiet neighbourhood.
 
     ``scope='dataset'`` judges jumps against all spectra of ``df``, ``scope='spectrum'`` against their
     own spectrum; the results differ. ``stats`` gives a known (median, deviation) pair and saves the
     passes over the data, for example when new spectra are cleaned like earlier ones.
     """
-    df, median, mad, helpers = _spike_stats(df, column, scope, stats)
-    flags = arrays.spike_flags(F.col(column), median, mad, threshold)
-    return df.withColumn(output or column, arrays.replace_spikes(F.col(column), flags, ma)).drop(*helpers)
+    found = _scope_stats(df, column, scope, stats)
+    return df.withColumn(output or column, arrays.despike(F.col(column), ma, threshold, found))
 
 
-def count_spikes(df: DataFrame, threshold: float = 50, stats: tuple[float, float] | None = None,
-                 scope: str = "dataset", column: str = INTENSITIES, output: str = "spikes") -> DataFrame:
-    df, median, mad, helpers = _spike_stats(df, column, scope, stats)
-    flags = arrays.spike_flags(F.col(column), median, mad, threshold)
-    return df.withColumn(output, F.size(F.filter(flags, lambda spike: spike))).drop(*helpers)
+def count_spikes(df: DataFrame, threshold: float = 50, scope: str = "dataset", stats: Stats | None = None,
+                 column: str = INTENSITIES, output: str = "spikes") -> DataFrame:
+    flags = arrays.spike_flags(F.col(column), threshold, _scope_stats(df, column, scope, stats))
+    return df.withColumn(output, F.size(F.filter(flags, lambda spike: spike)))
 
 
 def smooth(df: DataFrame, window: int = 11, polyorder: int = 2,
@@ -144,8 +137,14 @@ def preview_steps(df: DataFrame, n: int = 6, steps: Sequence[tuple[str, dict]] =
 
 def explode_points(df: DataFrame, columns: Sequence[str] = (INTENSITIES,), keys: Sequence[str] = ("spectrum_id",),
                    index: str = "idx") -> DataFrame:
-    """Long form: one row per point with the given array columns side by side."""
+    """Long form: one row per point with the given array columns side by side.
+
+    The outer generator keeps Catalyst from adding an emptiness filter below it, which would compute
+    the arrays (and call their Python kernels) a second time.
+    """
     if len(columns) == 1:
-        return df.select(*keys, F.posexplode(columns[0]).alias(index, columns[0]))
-    zipped = df.select(*keys, F.posexplode(F.arrays_zip(*columns)).alias(index, "_p"))
-    return zipped.select(*keys, index, *[F.col(f"_p.{c}").alias(c) for c in columns])
+        long = df.select(*keys, F.posexplode_outer(columns[0]).alias(index, columns[0]))
+        return long.where(F.col(index).isNotNull())
+    long = df.select(*keys, F.posexplode_outer(F.arrays_zip(*columns)).alias(index, "_p"))
+    return (long.where(F.col(index).isNotNull())
+            .select(*keys, index, *[F.col(f"_p.{c}").alias(c) for c in columns]))

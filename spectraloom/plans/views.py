@@ -80,7 +80,7 @@ def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.floor(F.col("event_id") / ITERATIONS_PER_EPOCH).alias("epoch"),
         (F.col("event_id") % ITERATIONS_PER_EPOCH).alias("iter"), F.col("event_id").alias("total_iter"),
-        F.unix_micros("ts").alias("timestamp"), F.col("value").alias("loss"))
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("value").alias("loss"))
 
 
 SQL_META = """meta AS (

@@ -22,14 +22,19 @@ def spectra_to_wide(df: DataFrame, key: str = "spectrum_id", wavenumbers: str =
 
 def write_spectra(df: DataFrame, folder: str, meta_columns: Sequence[str], form: str = "parquet",
                   mode: str = "errorifexists") -> None:
-    """Write ``folder/spectra`` and ``folder/metadata``, keyed by ``spectrum_id``."""
-    metadata = df.select(*meta_columns)
+    """Write ``folder/spectra`` and ``folder/metadata``, keyed by ``spectrum_id``.
+
+    The Parquet spectra keep their metadata columns too: source files are parsed once, the metadata
+    table is a column-pruned copy, and most readers need no join. CSV is the exchange format.
+    """
     if form == "parquet":
-        df.select("spectrum_id", "wavenumbers", "intensities").write.mode(mode).parquet(f"{folder}/spectra")
-        metadata.write.mode(mode).parquet(f"{folder}/metadata")
+        columns = list(dict.fromkeys(["spectrum_id", *meta_columns, "wavenumbers", "intensities"]))
+        df.select(*columns).write.mode(mode).parquet(f"{folder}/spectra")
+        written = df.sparkSession.read.parquet(f"{folder}/spectra")
+        written.select(*meta_columns).write.mode(mode).parquet(f"{folder}/metadata")
     elif form == "csv":
         spectra_to_wide(df).write.mode(mode).option("header", True).csv(f"{folder}/spectra.csv")
-        metadata.write.mode(mode).option("header", True).csv(f"{folder}/metadata.csv")
+        df.select(*meta_columns).write.mode(mode).option("header", True).csv(f"{folder}/metadata.csv")
     else:
         raise ValueError(f"form must be 'parquet' or 'csv', got {form!r}")
 
