@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, types as T
 
-from spectraloom.functions.kernels import matrices, to_lists
+from spectraloom.functions.kernels import add_columns, matrices, to_lists
 
-RESULT = "struct<baseline:array<double>,iterations:int,converged:boolean>"
+RESULT = {"baseline": T.ArrayType(T.DoubleType()), "iterations": T.IntegerType(), "converged": T.BooleanType()}
 
 # Stopping rule.
 TOLERANCE = 1e-3
@@ -102,11 +102,10 @@ def fit_baselines(y: np.ndarray, lam: float, order: int,
     return baseline, iterations, converged
 
 
-def arpls(x: Column, lam: float = 1e6, diff_order: int = 2) -> Column:
-    """Struct of ``baseline, iterations, converged``; NULL in, NULL out."""
+def arpls(df: DataFrame, column: str, lam: float = 1e6, diff_order: int = 2) -> DataFrame:
+    """Add ``baseline, iterations, converged``; all NULL where ``column`` is NULL."""
 
-    @F.arrow_udf(RESULT)
-    def solve(spectra: pa.Array) -> pa.Array:
+    def solve(spectra: pa.Array) -> list[pa.Array]:
         total = len(spectra)
         found = []
         steps = np.zeros(total, dtype=np.int32)
@@ -114,9 +113,7 @@ def arpls(x: Column, lam: float = 1e6, diff_order: int = 2) -> Column:
         for rows, matrix in matrices(spectra):
             fitted, steps[rows], settled[rows] = fit_baselines(matrix, lam, diff_order)
             found.append((rows, fitted))
-        missing = spectra.is_null()
-        return pa.StructArray.from_arrays(
-            [to_lists(found, total), pa.array(steps), pa.array(settled)],
-            names=["baseline", "iterations", "converged"], mask=missing)
+        missing = spectra.is_null().to_numpy(zero_copy_only=False)
+        return [to_lists(found, total), pa.array(steps, mask=missing), pa.array(settled, mask=missing)]
 
-    return solve(x)
+    return add_columns(df, column, RESULT, solve)

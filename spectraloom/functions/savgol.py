@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, types as T
 
-from spectraloom.functions.kernels import map_matrix
+from spectraloom.functions.kernels import add_columns, map_matrix
 
 
 def fit_matrix(window: int, polyorder: int) -> np.ndarray:
@@ -39,16 +38,7 @@ def smooth_matrix(x: np.ndarray, fit: np.ndarray) -> np.ndarray:
     return out
 
 
-def savgol(x: Column, window: int = 11, polyorder: int = 2) -> Column:
-    """Smoothed points of the column ``x``.
-
-    Give the output of array steps as a column of its own, not as a nested expression: Spark does not
-    hand nested lambdas to a Python kernel. Naming ``x`` twice keeps Catalyst from nesting them again.
-    """
+def savgol(df: DataFrame, column: str, output: str, window: int = 11, polyorder: int = 2) -> DataFrame:
     fit = fit_matrix(window, polyorder)
-
-    @F.arrow_udf("array<double>")
-    def smooth(spectra: pa.Array, _sizes: pa.Array) -> pa.Array:
-        return map_matrix(spectra, lambda matrix: smooth_matrix(matrix, fit))
-
-    return smooth(x, F.size(x))
+    return add_columns(df, column, {output: T.ArrayType(T.DoubleType())},
+                       lambda spectra: [map_matrix(spectra, lambda matrix: smooth_matrix(matrix, fit))])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spectraloom.functions import arrays
 from spectraloom.functions.arpls import arpls
-from spectraloom.functions.savgol import savgol as savgol_column
+from spectraloom.functions.savgol import savgol
 from spectraloom.operators.quantile import difference_stats
 
 INTENSITIES = "intensities"
@@ -59,7 +59,7 @@ def count_spikes(df: DataFrame, threshold: float = 50, scope: str = "dataset", s
 
 def smooth(df: DataFrame, window: int = 11, polyorder: int = 2,
            column: str = INTENSITIES, output: str | None = None) -> DataFrame:
-    return df.withColumn(output or column, savgol_column(F.col(column), window, polyorder))
+    return savgol(df, column, output or column, window, polyorder)
 
 
 def demean(df: DataFrame, column: str = INTENSITIES, output: str | None = None) -> DataFrame:
@@ -83,18 +83,12 @@ def correct_baseline(df: DataFrame, lam: float = 1e6, diff_order: int = 2, retur
     are NULL for spectra that were not fitted.
     """
     x = F.col(column)
-    fit = arpls(F.when(needs_baseline(x, lam), x), lam, diff_order)
-    df = df.withColumn("_fit", fit)
-    kept = {}
-    if return_baselines:
-        kept = {
-            "baseline": F.coalesce(F.col("_fit.baseline"), F.transform(x, lambda _: F.lit(0.0))),
-            "iterations": F.col("_fit.iterations"),
-            "converged": F.col("_fit.converged"),
-        }
-    corrected = F.when(F.col("_fit").isNull(), x).otherwise(
-        F.zip_with(x, F.col("_fit.baseline"), lambda v, b: v - b))
-    return df.withColumns({**kept, output or column: corrected}).drop("_fit")
+    df = arpls(df.withColumn("_guarded", F.when(needs_baseline(x, lam), x)), "_guarded", lam, diff_order)
+    baseline = F.coalesce(F.col("baseline"), F.transform(x, lambda _: F.lit(0.0)))
+    corrected = F.when(F.col("baseline").isNull(), x).otherwise(
+        F.zip_with(x, F.col("baseline"), lambda v, b: v - b))
+    df = df.withColumns({output or column: corrected, **({"baseline": baseline} if return_baselines else {})})
+    return df.drop("_guarded", *([] if return_baselines else ["baseline", "iterations", "converged"]))
 
 
 def baseline_guard_report(df: DataFrame, lam: float = 1e6, column: str = INTENSITIES) -> DataFrame:

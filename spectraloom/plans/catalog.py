@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spectraloom.plans import relational, signals  # noqa: F401  (importing registers)
+from spectraloom.plans import relational, signals, learning  # noqa: F401  (importing registers)
 from spectraloom.plans.relational import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
