@@ -22,6 +22,7 @@ class ToVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, De
     @keyword_only
     def __init__(self, *, inputCol="intensities", outputCol="features"):
         super().__init__()
+        self._setDefault(inputCol="intensities", outputCol="features")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ class CleaningStep(Transformer, HasInputCol, DefaultParamsReadable, DefaultParam
     @keyword_only
     def __init__(self, *, inputCol="intensities", step="normalize", names=None, values=None):
         super().__init__()
-        self._setDefault(names=[], values=[])
+        self._setDefault(inputCol="intensities", step="normalize", names=[], values=[])
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -58,6 +59,7 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed,
     @keyword_only
     def __init__(self, *, inputCol="intensities", outputCol="features", gamma=1.0, numFeatures=256, seed=0):
         super().__init__()
+        self._setDefault(inputCol="intensities", outputCol="features", gamma=1.0, numFeatures=256, seed=0)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -83,6 +85,7 @@ class LinearScores(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable
     @keyword_only
     def __init__(self, *, inputCol="intensities", outputCol="prediction", weights=None):
         super().__init__()
+        self._setDefault(inputCol="intensities", outputCol="prediction")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -107,6 +110,7 @@ class WeightedVote(Transformer, HasOutputCol, DefaultParamsReadable, DefaultPara
     @keyword_only
     def __init__(self, *, outputCol="prediction", voters=None, voteWeights=None, numClasses=2):
         super().__init__()
+        self._setDefault(outputCol="prediction", numClasses=2)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def join_small(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "l
     renamed = table.withColumnsRenamed({key: f"_right_{key}" for key in on})
     rows = renamed.take(max_rows + 1)
     if len(rows) <= max_rows:
-        renamed = F.broadcast(df.sparkSession.createDataFrame(rows, renamed.schema))
+        renamed = F.broadcast(df.sparkSession.createDataFrame(rows, renamed.schema, verifySchema=False))
     condition = [df[key].eqNullSafe(renamed[f"_right_{key}"]) for key in on]
     return df.join(renamed, condition, how).drop(*[f"_right_{key}" for key in on])
 

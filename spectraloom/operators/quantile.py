@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-BINS = 65_536
-PICK_LIMIT = 50_000
+from spectraloom.functions.arrays import first_difference
+
+BINS = 16_384
+PICK_LIMIT = 200_000
 
 
 def _finite_values(df: DataFrame, value: Column) -> DataFrame:
@@ -22,56 +25,62 @@ def _finite_values(df: DataFrame, value: Column) -> DataFrame:
     return values.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _value_at(counted, rank: int) -> float:
-    """Value with the given 0-based rank in ascending ``(value, count)`` rows."""
-    seen = 0
-    for value, count in counted:
-        seen += count
-        if rank < seen:
-            return value
-    raise ValueError(f"rank {rank} is beyond {seen} rows")
-
-
-def exact_median(df: DataFrame, value: Column, bins: int = BINS, pick_limit: int = PICK_LIMIT) -> float | None:
-    """Median of the finite values of ``value``; mean of the middle two for an even count."""
-    values = _finite_values(df, value)
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if n == 0:
-        return None
-    if math.isinf(low) or math.isinf(high):
-        raise ValueError("the median of a column with infinite values is not supported")
-    ranks = [(n - 1) // 2, n // 2]
+def _select(values: DataFrame, n: int, low: float, high: float, ranks: tuple[int, int],
+            bins: int, pick_limit: int) -> float:
+    """Mean of the values at two equal or adjacent 0-based ``ranks`` among the ``n`` in ``[low, high]``."""
     while low < high:
         bracket = values.where(F.col("v").between(low, high))
         if n <= pick_limit:
-            counted = bracket.groupBy("v").count().orderBy("v").collect()
-            return (_value_at(counted, ranks[0]) + _value_at(counted, ranks[1])) / 2
+            counted = bracket.groupBy("v").agg(F.count("*").alias("n")).toArrow()
+            found, counts = (counted.column(c).to_numpy() for c in ("v", "n"))
+            order = np.argsort(found)
+            at = np.searchsorted(np.cumsum(counts[order]), ranks, side="right")
+            return float(found[order][at].mean())
         share = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2)
         bin_no = F.least(F.floor(share * bins), F.lit(bins - 1))
         table = (bracket.groupBy(bin_no.alias("bin"))
-                 .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-                 .orderBy("bin").collect())
-        before = 0
-        hit = []
-        for row in table:
-            if before <= ranks[1] and ranks[0] < before + row["n"]:
-                hit.append((before, row))
-            before += row["n"]
-        first, last = hit[0][1], hit[-1][1]
-        if first is not last:
+                 .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).toArrow())
+        order = np.argsort(table.column("bin").to_numpy())
+        counts, lows, highs = (table.column(c).to_numpy()[order] for c in ("n", "low", "high"))
+        upto = np.cumsum(counts)
+        first, last = np.searchsorted(upto, ranks, side="right")
+        if first != last:
             # adjacent ranks in different bins: the end of one and the start of the other
-            return (first["high"] + last["low"]) / 2
-        ranks = [rank - hit[0][0] for rank in ranks]
-        n, low, high = first["n"], first["low"], first["high"]
+            return float(highs[first] + lows[last]) / 2
+        before = int(upto[first] - counts[first])
+        ranks = (ranks[0] - before, ranks[1] - before)
+        n, low, high = int(counts[first]), float(lows[first]), float(highs[first])
     return low
 
 
-def difference_stats(df: DataFrame, intensities: str = "intensities") -> tuple[float | None, float | None]:
-    """Median and median absolute deviation of the first differences of all spectra together."""
-    from spectraloom.functions.arrays import first_difference
+def _range(values: DataFrame) -> tuple[int, float, float]:
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if n and (math.isinf(low) or math.isinf(high)):
+        raise ValueError("the median of a column with infinite values is not supported")
+    return n, low, high
+
+
+def _middle(n: int) -> tuple[int, int]:
+    return (n - 1) // 2, n // 2
+
+
+def exact_median(df: DataFrame, value: Column, bins: int = BINS, pick_limit: int = PICK_LIMIT) -> float | None:
+    """Median of the finite values of ``value``; mean of the middle two for an even count."""
+    values = _finite_values(df, value)
+    n, low, high = _range(values)
+    return _select(values, n, low, high, _middle(n), bins, pick_limit) if n else None
 
-    differences = df.select(F.explode_outer(first_difference(F.col(intensities))).alias("d"))
-    median = exact_median(differences, F.col("d"))
-    if median is None:
+
+def difference_stats(df: DataFrame, intensities: str = "intensities", bins: int = BINS,
+                     pick_limit: int = PICK_LIMIT) -> tuple[float | None, float | None]:
+    """Median and median absolute deviation of the first differences of all spectra together."""
+    differences = _finite_values(
+        df.select(F.explode_outer(first_difference(F.col(intensities))).alias("d")), F.col("d"))
+    n, low, high = _range(differences)
+    if not n:
         return None, None
-    return median, exact_median(differences, F.abs(F.col("d") - median))
+    median = _select(differences, n, low, high, _middle(n), bins, pick_limit)
+    deviations = differences.select(F.abs(F.col("v") - median).alias("v"))
+    # the range of the deviations follows from that of the differences: no pass is needed for it
+    furthest = max(high - median, median - low)
+    return median, _select(deviations, n, 0.0, furthest, _middle(n), bins, pick_limit)
