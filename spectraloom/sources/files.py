@@ -39,8 +39,7 @@ def parse_spectrum(text: Column, layout: str) -> Column:
 
 def _scan(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", pattern).text(root)
+    return (spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
             .select(path.alias("path"), "value"))
 
 
