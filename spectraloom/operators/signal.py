@@ -51,12 +51,6 @@ def despike(df: DataFrame, ma: int = 10, threshold: float = 50, scope: str = "da
     return df.withColumn(output or column, arrays.despike(F.col(column), ma, threshold, found))
 
 
-def count_spikes(df: DataFrame, threshold: float = 50, scope: str = "dataset", stats: Stats | None = None,
-                 column: str = INTENSITIES, output: str = "spikes") -> DataFrame:
-    flags = arrays.spike_flags(F.col(column), threshold, _scope_stats(df, column, scope, stats))
-    return df.withColumn(output, F.size(F.filter(flags, lambda spike: spike)))
-
-
 def smooth(df: DataFrame, window: int = 11, polyorder: int = 2,
            column: str = INTENSITIES, output: str | None = None) -> DataFrame:
     return savgol(df, column, output or column, window, polyorder)

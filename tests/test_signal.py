@@ -76,7 +76,7 @@ def test_unknown_scope(spark):
 @pytest.mark.parametrize("pick_limit", [0, 20])
 def test_exact_median(spark, values, pick_limit):
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
-    assert quantile.exact_median(df, F.col("v"), bins=8, pick_limit=pick_limit) == np.median(values)
+    assert quantile.exact_median(df, F.col("v"), pick_limit) == np.median(values)
 
 
 def test_exact_median_skips_missing_and_empty(spark):
@@ -85,14 +85,22 @@ def test_exact_median_skips_missing_and_empty(spark):
     assert quantile.exact_median(df.where("v < 0"), F.col("v")) is None
 
 
-def test_difference_stats_in_small_brackets(spark):
+@pytest.mark.parametrize("pick_limit", [0, 10, 10_000])
+def test_difference_stats(spark, pick_limit):
     x = random_spectra(20, 50, seed=5)
     d = np.diff(x, axis=1)
     median = np.median(d)
-    got = quantile.difference_stats(frame(spark, x), bins=16, pick_limit=10)
+    got = quantile.difference_stats(frame(spark, x), pick_limit=pick_limit)
     assert got == (median, np.median(np.abs(d - median)))
 
 
+def test_sort_keys_keep_the_order():
+    values = np.array([-1e300, -2.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.5, 1e300])
+    keys = quantile.sort_keys(values)
+    assert (np.sort(keys) == keys).all() and keys[3] == keys[4]
+    assert [quantile.key_value(int(k)) for k in keys] == list(values)
+
+
 def test_savgol_keeps_polynomials_exactly(spark):
     t = np.arange(30) / 10
     cubic = 1 - 2 * t + 0.5 * t ** 2 + 3 * t ** 3
