@@ -19,6 +19,8 @@ RESULT = {"baseline": T.ArrayType(T.DoubleType()), "iterations": T.IntegerType()
 TOLERANCE = 1e-3
 MAX_ITERATIONS = 50
 
+ROWS_AT_ONCE = 1024  # bounds the memory of a task whatever the Arrow batch size
+
 
 def penalty_bands(points: int, order: int, lam: float) -> np.ndarray:
     """Lower bands of ``lam * D'D``: row ``k`` holds the entries ``(i + k, i)``."""
@@ -111,7 +113,10 @@ def arpls(df: DataFrame, column: str, lam: float = 1e6, diff_order: int = 2) ->
         steps = np.zeros(total, dtype=np.int32)
         settled = np.zeros(total, dtype=bool)
         for rows, matrix in matrices(spectra):
-            fitted, steps[rows], settled[rows] = fit_baselines(matrix, lam, diff_order)
+            fitted = np.empty_like(matrix)
+            for start in range(0, len(rows), ROWS_AT_ONCE):
+                part = slice(start, start + ROWS_AT_ONCE)
+                fitted[part], steps[rows[part]], settled[rows[part]] = fit_baselines(matrix[part], lam, diff_order)
             found.append((rows, fitted))
         missing = spectra.is_null().to_numpy(zero_copy_only=False)
         return [to_lists(found, total), pa.array(steps, mask=missing), pa.array(settled, mask=missing)]

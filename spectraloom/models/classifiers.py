@@ -7,12 +7,12 @@ linear one-vs-rest machines), the perceptron (full-batch subgradient steps) and
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
@@ -113,6 +113,7 @@ def _perceptron(df, params, seed):
 
     The step size falls with the round, as usual for a strongly convex loss.
     """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read once per round
     n, classes = _size(df)
     points = df.select(F.max(F.size("intensities"))).first()[0]
     alpha = float(params.get("alpha", 0.1))
@@ -131,6 +132,7 @@ def _perceptron(df, params, seed):
             best = min(best, loss)
             if waited >= 5:
                 break
+    df.unpersist()
     return PipelineModel([LinearScores(inputCol="intensities", outputCol="prediction",
                                        weights=(average / t).tolist())])
 
@@ -138,6 +140,7 @@ def _perceptron(df, params, seed):
 def _boosting(df, params, seed):
     """Multi-class AdaBoost over shallow trees. Row weights live in the table; each round is one fit and
     one sum. Lineage is cut on reliable storage every ``checkpoint_every`` rounds."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read once per round
     n, classes = _size(df)
     rate, rounds = params.get("learning_rate", 0.01), params.get("rounds", 50)
     every = params.get("checkpoint_every", 10)
@@ -170,6 +173,7 @@ def _boosting(df, params, seed):
         if (m + 1) % every == 0 and m + 1 < rounds:
             ensure_checkpoint_dir(df.sparkSession)
             weighted = weighted.checkpoint()
+    df.unpersist()
     vote = WeightedVote(outputCol="prediction", voters=names, voteWeights=alphas, numClasses=classes)
     return PipelineModel([to_vector, *trees, vote])
 

@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 SMALL_TABLE_ROWS = 20_000
+SMALL_TABLE_CHARACTERS = 64 * 1024 * 1024
 
 
 def join_small(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
                max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Join a table that is expected to be small, NULL keys matching NULL keys.
 
-    Its rows are fetched up to the limit. Within it they are broadcast, so ``df`` is not shuffled and
-    ``table`` is computed once; beyond it the tables meet in a shuffle join.
+    Its rows are fetched up to the limit. Within it, and within a size limit, they are broadcast, so
+    ``df`` is not shuffled and ``table`` is computed once; beyond it the tables meet in a shuffle join.
     """
     renamed = table.withColumnsRenamed({key: f"_right_{key}" for key in on})
     rows = renamed.take(max_rows + 1)
-    if len(rows) <= max_rows:
+    if len(rows) <= max_rows and len(repr(rows)) <= SMALL_TABLE_CHARACTERS:
         renamed = F.broadcast(df.sparkSession.createDataFrame(rows, renamed.schema, verifySchema=False))
     condition = [df[key].eqNullSafe(renamed[f"_right_{key}"]) for key in on]
     return df.join(renamed, condition, how).drop(*[f"_right_{key}" for key in on])
