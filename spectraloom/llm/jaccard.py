@@ -147,14 +147,15 @@ def set_rows(batches):
     words = Words()
     for batch in batches:
         offsets, data = text_bytes(batch.column(1))
-        sizes, names = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        sizes, names, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
         for a, b in slices(offsets):
             sets = shingle_sets(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]], words)
             sizes.append(np.array([len(s) for s in sets], np.int64))
             names.append(node_ids(sets))
+            sketches += [narrow_sketch(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names).view(np.int64))],
-            ["doc_id", "n_shingles", "node"])
+            [batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names).view(np.int64)),
+             pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sketch"])
 
 
 def packed_keys(buckets):
@@ -232,12 +233,9 @@ def whole_sets(batches):
         offsets, data = text_bytes(batch.column(0))
         for a, b in slices(offsets):
             sets = shingle_sets(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]], words)
-            names = node_ids(sets)
             yield pa.RecordBatch.from_arrays([
-                pa.array(names.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([narrow_sketch(s) for s in sets], pa.list_(pa.int64())),
-                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                ["node", "n", "sketch", "shingles"])
+                pa.array(node_ids(sets).view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                ["node", "shingles"])
 
 
 def near(a_n, b_n, percent=PERCENT):
@@ -251,17 +249,39 @@ def hamming(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose whole sets are similar enough."""
-    def side(name, *columns):
-        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+def folded(sketch, width=4):
+    """The sketch in fewer bits: parities of bits that fall together are added up."""
+    def one(i):
+        found = F.get(sketch, F.lit(i))
+        for k in range(i + width, NARROW, width):
+            found = found.bitwiseXOR(F.get(sketch, F.lit(k)))
+        return found
+    return F.array(*[one(i) for i in range(width)])
 
-    close = (pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-             .where(hamming("a_sketch", "b_sketch") <= near("a_n", "b_n", percent)).select("a", "b"))
+
+def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+    return table.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+
+def by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that the sizes and the sketches do not rule out."""
+    return (pairs.join(side(classes, "a", "n", "sketch"), "a").join(side(classes, "b", "n", "sketch"), "b")
+            .where(hamming("a_sketch", "b_sketch") <= near("a_n", "b_n")).select("a", "b"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch,
+             percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose whole sets are similar enough; one document of each node is read again."""
+    pairs = scratch.keep(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = scratch.keep(classes.select("node", F.col("least").alias("doc_id")).join(asked, "node", "left_semi")
+                         .select("doc_id"), "asked")
+    sets = docs.join(small_side(asked), "doc_id", "left_semi").select("text").mapInArrow(
+        whole_sets, "node long, shingles array<long>")
     both = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    union = F.col("a_n") + F.col("b_n") - both
-    return (close.join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b")
-            .where(both * 100 >= union * percent).select("a", "b"))
+    union = F.size("a_shingles") + F.size("b_shingles") - both
+    return scratch.keep(pairs.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
+                        .where(both * 100 >= union * percent).select("a", "b"), "links")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -272,27 +292,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     buckets = max(1, total_bytes(docs) // BUCKET_BYTES)
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = scratch.keep(docs.mapInArrow(set_rows, f"doc_id {kind}, n_shingles long, node long"), "rows")
+    rows = scratch.keep(docs.mapInArrow(set_rows, f"doc_id {kind}, n_shingles long, node long, sketch array<long>"),
+                        "rows")
+    classes = scratch.keep(rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"),
+        F.first("sketch").alias("sketch")), "classes")
     shared = scratch.keep(
         docs.where("doc_id is not null").select("doc_id", "text")
         .mapInArrow(packed_keys(buckets), "bucket int, keys binary, nodes binary, owner binary")
         .groupBy("bucket").applyInArrow(shared_keys, "key long, node long, hub long"), "shared")
 
-    wanted = rows.join(shared.select("node").distinct(), "node", "left_semi")
-    wanted = scratch.keep(wanted.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "wanted")
-    sets = scratch.keep(docs.join(small_side(wanted), "doc_id", "left_semi").select("text")
-                        .mapInArrow(whole_sets, "node long, n long, sketch array<long>, shingles array<long>")
-                        .dropDuplicates(["node"]), "sets")
-
     with_hub = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.keep(verified(with_hub, sets), "links")
+    links = verified(by_sketch(with_hub, classes), docs, classes, scratch)
     joined = components(links, scratch)
 
     # members of a key's group that are still apart are compared with each other
     part = shared.select("key", "node").join(joined, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
     apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    part = part.join(apart.select("key"), "key", "left_semi").join(sets.drop("shingles"), "node")
+    part = scratch.keep(part.join(apart.select("key"), "key", "left_semi"), "apart").join(
+        classes.select("node", "n", folded(F.col("sketch")).alias("sketch")), "node")
     a = part.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "sketch")])
     b = part.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "sketch")])
     across = (a.join(b, (a.key == b.key) & (F.col("a_node") < F.col("b_node"))
@@ -300,16 +319,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                      & (hamming("a_sketch", "b_sketch") <= near("a_n", "b_n")))
               .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
               .join(with_hub, ["a", "b"], "left_anti"))
-    more = scratch.keep(verified(across, sets), "links")
+    more = verified(by_sketch(across, classes), docs, classes, scratch)
     if not more.isEmpty():
         joined = components(links.unionByName(more), scratch)
 
-    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    classes = classes.join(joined, "node", "left").select(
-        "node", "n", "least", F.coalesce("component", "node").alias("component"))
+    classes = classes.drop("n", "sketch").join(joined, "node", "left").select(
+        "node", "copies", "least", F.coalesce("component", "node").alias("component"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = scratch.keep(classes.join(smallest, "component").where("n > 1 or component_id <> least")
-                         .select("node", F.col("n").alias("copies"), "component_id"), "names")
+    names = scratch.keep(classes.join(smallest, "component").where("copies > 1 or component_id <> least")
+                         .select("node", "copies", "component_id"), "names")
     return (rows.join(small_side(names), "node", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
