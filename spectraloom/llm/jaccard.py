@@ -11,8 +11,9 @@ verified on the whole sets, so the result is exact.
   block without its empty ones; a set for which this count fails is keyed again with other hashes (up to ``SEEDS``
   times, in the end with its empty blocks), so the guarantee never depends on chance.
 * Sets of up to ``SMALL`` shingles are keyed by the XOR of the set without any of its 0, 1 or 2 elements instead.
-* Equal sets are one node. Groups that share a key are compared with one member first; only members that are then
-  still in different components are compared with each other, so copies are never expanded into pairs.
+* Equal sets are one node. Of the members of a key's group each is compared with the smallest first (of several
+  keys, in the group it shares most keys with); only members that are then still in different components are
+  compared with the other smallest and in the end with each other, so copies are never expanded into pairs.
 * Keys travel packed (a sorted array per map task and bucket, each key once per node), buckets hold a bounded
   number of keys, and nothing of them comes to the driver.
 
@@ -284,6 +285,22 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scr
                         .where(both * 100 >= union * percent).select("a", "b"), "links")
 
 
+def still_apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components."""
+    label = {x: joined.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab"}
+    return (pairs.join(label["a"], "a", "left").join(label["b"], "b", "left")
+            .where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b"))
+
+
+def further(pairs, links, joined, docs, classes, scratch):
+    """Links and components after the links among ``pairs`` are added."""
+    more = verified(by_sketch(pairs, classes), docs, classes, scratch)
+    if more.isEmpty():
+        return links, joined
+    links = links.unionByName(more)
+    return links, components(links, scratch)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       scratch: Scratch | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` and ``n_copies`` (documents with its set)."""
@@ -302,9 +319,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .mapInArrow(packed_keys(buckets), "bucket int, keys binary, nodes binary, owner binary")
         .groupBy("bucket").applyInArrow(shared_keys, "key long, node long, hub long"), "shared")
 
-    with_hub = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(by_sketch(with_hub, classes), docs, classes, scratch)
+    # first each node with the hub it shares most keys with, so that every set travels once; then its other hubs
+    hubs = scratch.keep(shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("keys")), "hubs")
+    best = hubs.groupBy("node").agg(F.max(F.struct("keys", "hub")).alias("x")).select(
+        F.col("x.hub").alias("a"), F.col("node").alias("b"))
+    links = verified(by_sketch(best, classes), docs, classes, scratch)
     joined = components(links, scratch)
+    with_hub = hubs.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links, joined = further(still_apart(with_hub, joined), links, joined, docs, classes, scratch)
 
     # members of a key's group that are still apart are compared with each other
     part = shared.select("key", "node").join(joined, "node", "left").select(
@@ -319,9 +341,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                      & (hamming("a_sketch", "b_sketch") <= near("a_n", "b_n")))
               .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
               .join(with_hub, ["a", "b"], "left_anti"))
-    more = verified(by_sketch(across, classes), docs, classes, scratch)
-    if not more.isEmpty():
-        joined = components(links.unionByName(more), scratch)
+    links, joined = further(across, links, joined, docs, classes, scratch)
 
     classes = classes.drop("n", "sketch").join(joined, "node", "left").select(
         "node", "copies", "least", F.coalesce("component", "node").alias("component"))
