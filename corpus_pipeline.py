@@ -10,34 +10,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spectraloom.llm import bpe, jaccard, line_dedup, mixing, quality
-from spectraloom.llm.common import Scratch, table
+from spectraloom.llm.common import Scratch, small_side, table
 from spectraloom.llm.queries import PREDICTED_FROM, VOCABULARY, remainder
 
 
+def own_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents' columns, which operators hand on in ``row``."""
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from the labelled documents of this stage's input."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
-    scored = quality.score(docs, model)
-    return scored.where(F.col("score") >= PREDICTED_FROM).select(docs.columns)
+    return own_columns(quality.with_row(docs, model).where(F.col("score") >= PREDICTED_FROM), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.drop_lines(docs, "source")
+    cleaned = line_dedup.marked_pages(docs, "source")
+    new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text"))
-                                     .otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return cleaned.select(docs.columns)
+        kind = dict(docs.dtypes)["n_chars"]
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("cleaned").cast(kind)).otherwise(F.col("row.n_chars"))
+    return cleaned.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id are kept; so are all rows of an id that is its group's smallest, but one of equal texts."""
+    """Rows without an id are kept; repeated rows of an id are one document and share its fate."""
     groups = jaccard.similar_documents(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = Scratch(spark, "groups").keep(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(small_side(gone), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs).where("kept").select(docs.columns)
+    return own_columns(mixing.weighed_documents(docs).where("kept"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ itself is not shuffled in the first case.
 
 Defined cases: null text stays null; blank lines are kept and not counted; pages without a host are kept whole (no
 site to compare with); a line repeated within a page counts once and is dropped everywhere; all other columns,
-whatever their names, are kept as they are.
+whatever their names, are kept as they are, but for ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
@@ -46,25 +46,33 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 def drop_lines(pages: DataFrame, host: Column | str = "source", text_col: str = "text", ratio: float = RATIO,
                least: int = LEAST, scratch: Scratch | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The pages with cleaned text, and ``n_lines`` (filled lines before) and ``n_dropped``."""
+    row = marked_pages(pages, host, text_col, ratio, least, scratch, limit)
+    kept = [F.col("cleaned").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in pages.columns]
+    return row.select(*[c for c, name in zip(kept, pages.columns) if name not in ("n_lines", "n_dropped")],
+                      "n_lines", "n_dropped")
+
+
+def marked_pages(pages: DataFrame, host: Column | str = "source", text_col: str = "text", ratio: float = RATIO,
+                 least: int = LEAST, scratch: Scratch | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(row, cleaned, n_lines, n_dropped): the page's own columns are in ``row``, so no names clash."""
     scratch = scratch or Scratch(pages.sparkSession, "lines")
-    host = F.col(host) if isinstance(host, str) else host
-    text = F.col(f"`{text_col}`")
-    found = scratch.keep(boilerplate(pages, host, text, ratio, least), "boilerplate")
+    host = F.col(f"`{host}`") if isinstance(host, str) else host
+    held = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("site"),
+                        F.col(f"`{text_col}`").alias("text"))
+    found = scratch.keep(boilerplate(held, F.col("site"), F.col("text"), ratio, least), "boilerplate")
     few = found.limit(limit + 1).count() <= limit
-    lists = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_keys"))
-    joined = pages.withColumn("_site", host).join(F.broadcast(lists) if few else lists, F.col("_site") == F.col("_host"),
-                                                  "left")
-    lines = F.split(text, "\n")
+    lists = found.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    joined = held.join(F.broadcast(lists) if few else lists, F.col("site") == F.col("host"), "left")
+    lines = F.split("text", "\n")
     # the page's own boilerplate first: short, so that every line is compared with few keys
-    own = F.array_intersect(F.transform(lines, line_key), F.coalesce("_keys", F.array().cast("array<bigint>")))
-    joined = joined.withColumn("_own", own)
-    dropped = F.filter(lines, lambda x: filled(x) & F.array_contains("_own", line_key(x)))
-    cleaned = F.array_join(F.filter(lines, lambda x: ~(filled(x) & F.array_contains("_own", line_key(x)))), "\n")
-    some = F.size("_own") > 0
+    own = F.array_intersect(F.transform(lines, line_key), F.coalesce("keys", F.array().cast("array<bigint>")))
+    joined = joined.withColumn("own", own)
+    dropped = F.filter(lines, lambda x: filled(x) & F.array_contains("own", line_key(x)))
+    cleaned = F.array_join(F.filter(lines, lambda x: ~(filled(x) & F.array_contains("own", line_key(x)))), "\n")
+    some = F.size("own") > 0
     return joined.select(
-        *[F.col(f"`{c}`") if c != text_col else F.when(some, cleaned).otherwise(text).alias(c) for c in pages.columns
-          if c not in ("n_lines", "n_dropped")],
-        F.when(text.isNull(), 0).otherwise(F.size(F.filter(lines, filled))).cast("long").alias("n_lines"),
+        "row", F.when(some, cleaned).otherwise(F.col("text")).alias("cleaned"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(lines, filled))).cast("long").alias("n_lines"),
         F.when(some, F.size(dropped)).otherwise(0).cast("long").alias("n_dropped"))
 
 

@@ -13,7 +13,8 @@ a broadcast behind a row check, else by a join. No document is moved in the firs
 
 Defined cases: null source, language or text count as levels of their own ('' for source and language, topic ``none``)
 or as no tokens; documents in a cell without tokens get the probability ``rate``; null ids share one draw, as equal
-ids do; an empty table gives an empty result; all other columns, whatever their names, are kept.
+ids do; an empty table gives an empty result; all other columns, whatever their names, are kept, but for the four added
+ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -77,27 +78,31 @@ def mix_documents(docs: DataFrame, targets: dict | None = None, rate: float = RA
                   id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
                   topic: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The documents with ``topic``, ``n_tokens``, ``probability`` and ``kept``; the sample is where ``kept``."""
+    rows = weighed_documents(docs, targets, rate, rounds, id_col, text_col, source_col, lang_col, topic, scratch)
+    added = ["topic", "n_tokens", "probability", "kept"]
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+
+
+def weighed_documents(docs: DataFrame, targets: dict | None = None, rate: float = RATE, rounds: int = ROUNDS,
+                      id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                      lang_col: str = "lang", topic: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(row, topic, n_tokens, probability, kept): a document's own columns are in ``row``, so no names clash."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     targets = {axis: POWER for axis in AXES} | (targets or {})
     text = F.col(f"`{text_col}`")
-    added = ["topic", "n_tokens", "probability", "kept"]
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added],
-                        F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("_source"),
-                        F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("_lang"),
-                        (topic_of(text) if topic is None else topic).alias("_topic"),
-                        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_n"))
-    cells = scratch.keep(plain.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"),
-                                       F.col("_topic").alias("topic"))
-                         .agg(F.sum("_n").cast("double").alias("tokens")).where("tokens > 0"), "cells")
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
+                        F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"),
+                        (topic_of(text) if topic is None else topic).alias("topic"),
+                        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    cells = scratch.keep(plain.groupBy(*AXES).agg(F.sum("n_tokens").cast("double").alias("tokens"))
+                         .where("tokens > 0"), "cells")
     factors = scratch.keep(rake(cells, scratch, targets, rounds).select(
-        *[F.col(axis).alias(f"_c_{axis}") for axis in AXES], (F.col("raked") / F.col("tokens")).alias("_factor")),
-        "factors")
-    same = [F.col(f"_{axis}") == F.col(f"_c_{axis}") for axis in AXES]
-    chance = F.least(F.lit(1.0), F.coalesce("_factor", F.lit(1.0)) * rate)
-    return plain.join(small_side(factors), same, "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in added], F.col("_topic").alias("topic"),
-        F.col("_n").alias("n_tokens"), F.round(chance, 9).alias("probability"),
-        (draw(F.col(f"`{id_col}`")) < F.round(chance, 9)).alias("kept"))
+        *AXES, (F.col("raked") / F.col("tokens")).alias("factor")), "factors")
+    chance = F.round(F.least(F.lit(1.0), F.coalesce("factor", F.lit(1.0)) * rate), 9)
+    return plain.join(small_side(factors), AXES, "left").select(
+        "row", "topic", "n_tokens", chance.alias("probability"),
+        (draw(F.col(f"row.`{id_col}`")) < chance).alias("kept"))
 
 
 def sql() -> str:

@@ -192,12 +192,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, label_col: str = "q
     return Attention().fit(bags, [x for x, _ in found])
 
 
-def score(docs: DataFrame, model: Attention, text_col: str = "text") -> DataFrame:
-    """All columns of the rows and ``score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
-    names = [f"_{i}" for i in range(len(docs.columns))]
+def scored_rows(docs: DataFrame, run, text_col: str) -> DataFrame:
+    """(row, score): a document's own columns are in ``row``, so no names clash."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)],
-                        F.col(text_col).alias("_text"))
+                        F.col(f"`{text_col}`").alias("text"))
     kinds = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
-    scored = plain.mapInArrow(score_rows(sent), f"{kinds}, score double")
-    return scored.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names) if c != "score"], "score")
+    scored = plain.mapInArrow(run, f"{kinds}, score double")
+    return scored.select(F.struct(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)]).alias("row"), "score")
+
+
+def with_row(docs: DataFrame, model: Attention, text_col: str = "text") -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    return scored_rows(docs, score_rows(sent), text_col)
+
+
+def score(docs: DataFrame, model: Attention, text_col: str = "text") -> DataFrame:
+    """All columns of the rows and ``score`` (in place of a column of that name)."""
+    return with_row(docs, model, text_col).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "score"], "score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spectraloom.llm.common import slices, text_bytes
-from spectraloom.llm.quality import labelled_sample
+from spectraloom.llm.quality import labelled_sample, scored_rows
 from spectraloom.llm.textscan import Words
 
 SAMPLE = 8000
@@ -361,11 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, label_col: str = "t
 
 
 def score(docs: DataFrame, model: Scorer, text_col: str = "text") -> DataFrame:
-    """All columns of the rows and ``score``."""
+    """All columns of the rows and ``score`` (in place of a column of that name)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon of bounded size
-    names = [f"_{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)],
-                        F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
-    scored = plain.mapInArrow(score_rows(sent), f"{kinds}, score double")
-    return scored.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names) if c != "score"], "score")
+    rows = scored_rows(docs, score_rows(sent), text_col)
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "score"], "score")
