@@ -40,7 +40,8 @@ PERCENT = 80           # links need 100 * intersection >= PERCENT * union
 SMALL = 14             # sets up to this size are keyed by deletions
 FIRST, RATIO = 15, 1.6  # bands of set sizes: first size, upper over lower end
 SEEDS = 4
-NARROW = 16            # 64-bit words of the sketch that filters candidates
+NARROW = 16            # least 64-bit words of the sketch that filters candidates
+FEW = 400              # sets up to this size are compared by four words of it at first
 PACK = 1_000_000       # keys a map task gathers before it sends them
 BUCKET_BYTES = 24 << 20  # text behind a bucket of keys
 
@@ -84,9 +85,12 @@ def node_ids(sets):
 
 
 def narrow_sketch(values):
-    """Parity of the shingles per bit, in ``NARROW`` 64-bit words."""
-    bit = (values >> np.uint64(7)) % np.uint64(64 * NARROW)
-    parity = np.bincount(bit.astype(np.int64), minlength=64 * NARROW).astype(np.uint8) & 1
+    """Parity of the shingles per bit; ``NARROW`` 64-bit words, doubled until there is a bit for every shingle."""
+    bits = 64 * NARROW
+    while bits < len(values):
+        bits *= 2
+    bit = (values >> np.uint64(7)) & np.uint64(bits - 1)
+    parity = np.bincount(bit.astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
@@ -246,18 +250,19 @@ def near(a_n, b_n, percent=PERCENT):
     return F.when(fits, F.floor(total * (100 - percent) / (100 + percent)))
 
 
-def hamming(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def folded(sketch, width):
+    """The sketch in ``width`` words: parities of bits that fall together are added up."""
+    def one(i):
+        return F.aggregate(F.sequence(i, F.size(sketch) - 1, width), F.lit(0).cast("long"),
+                           lambda s, k: s.bitwiseXOR(F.get(sketch, k)))
+    return F.when(F.size(sketch) == width, sketch).otherwise(F.transform(F.sequence(F.lit(0), width - 1), one))
 
 
-def folded(sketch, width=4):
-    """The sketch in fewer bits: parities of bits that fall together are added up."""
-    def one(i):
-        found = F.get(sketch, F.lit(i))
-        for k in range(i + width, NARROW, width):
-            found = found.bitwiseXOR(F.get(sketch, F.lit(k)))
-        return found
-    return F.array(*[one(i) for i in range(width)])
+def hamming(a, b):
+    """Distance of two sketches; the longer one is folded."""
+    width = F.least(F.size(a), F.size(b))
+    pairs = F.zip_with(folded(F.col(a), width), folded(F.col(b), width), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
 
 
 def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -333,7 +338,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "key", "node", F.coalesce("component", "node").alias("component"))
     apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     part = scratch.keep(part.join(apart.select("key"), "key", "left_semi"), "apart").join(
-        classes.select("node", "n", folded(F.col("sketch")).alias("sketch")), "node")
+        classes.select("node", "n", F.when(F.col("n") <= FEW, folded(F.col("sketch"), F.lit(4))).otherwise(
+            F.col("sketch")).alias("sketch")), "node")
     a = part.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "sketch")])
     b = part.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "sketch")])
     across = (a.join(b, (a.key == b.key) & (F.col("a_node") < F.col("b_node"))

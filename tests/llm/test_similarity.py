@@ -83,11 +83,24 @@ def test_linked_sets_share_a_key(n, seed):
     both = len(np.intersect1d(a, b))
     if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
         assert len(np.intersect1d(jaccard.all_keys(a), jaccard.all_keys(b)))
-        distance = sum(int(x).bit_count() for x in jaccard.narrow_sketch(a).view(np.uint64)
-                       ^ jaccard.narrow_sketch(b).view(np.uint64))
+        one, two = (jaccard.narrow_sketch(x).view(np.uint64) for x in (a, b))
+        distance = sum(int(x).bit_count() for x in one ^ two)
         assert distance <= len(a) + len(b) - 2 * both
 
 
+def test_long_texts_pass_the_sketches(spark):
+    """Sets around the sizes at which sketches double, and where the first comparison changes its width."""
+    rng, rows = np.random.default_rng(8), []
+    for n in (380, 420, 990, 1100, 2000, 2300):
+        words = [f"w{rng.integers(10**9)}" for _ in range(n)]
+        rows += [" ".join(words), " ".join(words + [f"v{i}" for i in range(n // 5)]), " ".join(words[n // 8:])]
+    texts = dict(enumerate(rows))
+    sizes, groups = brute_components(texts)
+    found = jaccard.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (sizes[i], groups[i]) for i in texts}
+    assert len(set(groups.values())) == 6
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = jaccard.similar_documents(odd).collect()
     assert len(rows) == len(ODD)
