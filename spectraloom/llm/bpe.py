@@ -33,7 +33,7 @@ WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: The file's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 LONG = 100             # symbols of a fragment from which on merging uses a heap
-REMEMBER = 300_000     # entries after which a task's tables are emptied
+REMEMBER = 150_000     # entries after which a task's tables are emptied
 
 
 def byte_characters() -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spectraloom.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 2 << 20   # text that one numpy pass looks at; a longer text is a slice of its own
+SLICE_BYTES = 512 << 10   # text that one numpy pass looks at; a longer text is a slice of its own
 BROADCAST_ROWS = 300_000  # of two or three numbers each: a few MB
 
 
@@ -73,6 +74,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         stop = min(max(stop, row + 1), rows)
         yield row, stop
         row = stop
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back: a Python worker lives on between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def total_bytes(docs: DataFrame, column: str = "text") -> int:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spectraloom.llm.common import Scratch, slices, small_side, text_bytes, total_bytes
+from spectraloom.llm.common import Scratch, release, slices, small_side, text_bytes, total_bytes
 from spectraloom.llm.graph import components
 from spectraloom.llm.textscan import Words, mix
 
@@ -42,7 +42,7 @@ FIRST, RATIO = 15, 1.6  # bands of set sizes: first size, upper over lower end
 SEEDS = 4
 NARROW = 16            # least 64-bit words of the sketch that filters candidates
 FEW = 400              # sets up to this size are compared by four words of it at first
-PACK = 1_000_000       # keys a map task gathers before it sends them
+PACK = 500_000         # keys a map task gathers before it sends them
 BUCKET_BYTES = 24 << 20  # text behind a bucket of keys
 
 
@@ -229,7 +229,9 @@ def shared_keys(group: pa.Table) -> pa.Table:
         keys, nodes, hub = keys[shared], nodes[shared], hub[shared]
     else:
         hub = nodes
-    return pa.table({"key": keys.view(np.int64), "node": nodes, "hub": hub})
+    found = pa.table({"key": keys.view(np.int64), "node": nodes, "hub": hub})
+    release()
+    return found
 
 
 def whole_sets(batches):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 2 << 20
+PIECE = 512 << 10
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
