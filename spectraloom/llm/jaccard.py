@@ -41,7 +41,6 @@ SMALL = 14             # sets up to this size are keyed by deletions
 FIRST, RATIO = 15, 1.6  # bands of set sizes: first size, upper over lower end
 SEEDS = 4
 NARROW = 16            # least 64-bit words of the sketch that filters candidates
-FEW = 400              # sets up to this size are compared by four words of it at first
 PACK = 500_000         # keys a map task gathers before it sends them
 BUCKET_BYTES = 24 << 20  # text behind a bucket of keys
 
@@ -340,8 +339,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "key", "node", F.coalesce("component", "node").alias("component"))
     apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     part = scratch.keep(part.join(apart.select("key"), "key", "left_semi"), "apart").join(
-        classes.select("node", "n", F.when(F.col("n") <= FEW, folded(F.col("sketch"), F.lit(4))).otherwise(
-            F.col("sketch")).alias("sketch")), "node")
+        classes.select("node", "n", "sketch"), "node")
     a = part.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "sketch")])
     b = part.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "sketch")])
     across = (a.join(b, (a.key == b.key) & (F.col("a_node") < F.col("b_node"))
