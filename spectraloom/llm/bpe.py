@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from spectraloom.llm.common import slices, text_bytes
+from spectraloom.llm.common import release, slices, text_bytes
 from spectraloom.llm.textscan import Words
 
 #: Unicode white space, as the file's pattern understands it.
@@ -33,7 +33,7 @@ WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: The file's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 LONG = 100             # symbols of a fragment from which on merging uses a heap
-REMEMBER = 150_000     # entries after which a task's tables are emptied
+REMEMBER = 50_000      # entries after which a task's tables are emptied
 
 
 def byte_characters() -> list[str]:
@@ -257,6 +257,9 @@ def encode_rows(vocabulary):
                     [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()),
                      pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
                     ["doc_id", "n_tokens", "ids", "decoded"])
+        remembered.clear()  # the worker lives on
+        del encoder, words
+        release()
     return run
 
 
