@@ -29,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from spectraloom.llm.common import Scratch, release, slices, small_side, text_bytes, total_bytes
 from spectraloom.llm.graph import components
@@ -41,6 +41,7 @@ SMALL = 14             # sets up to this size are keyed by deletions
 FIRST, RATIO = 15, 1.6  # bands of set sizes: first size, upper over lower end
 SEEDS = 4
 NARROW = 16            # least 64-bit words of the sketch that filters candidates
+EARLY = 16             # smallest keys of a node that tell whether a pair has met before
 PACK = 500_000         # keys a map task gathers before it sends them
 BUCKET_BYTES = 24 << 20  # text behind a bucket of keys
 
@@ -298,6 +299,26 @@ def still_apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
             .where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b"))
 
 
+def members(part: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of nodes of a key's group that are in different components and that the sketches do not rule out.
+
+    Near texts share many keys. A row names those of its node's ``EARLY`` smallest keys that come before its own; two
+    rows with such a key in common have met there already. So a pair is found at its smallest common key, always.
+    """
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("key"))
+    early = (part.select("node", "key", rank.alias("rank")).where(F.col("rank") <= EARLY)
+             .groupBy("node").agg(F.collect_list("key").alias("early")))
+    part = (part.join(classes.select("node", "n", "sketch"), "node").join(early, "node")
+            .withColumn("early", F.filter("early", lambda k: k < F.col("key"))))
+    a, b = (part.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n", "sketch", "early")])
+            for x in "ab")
+    return (a.join(b, (a.key == b.key) & (F.col("a_node") < F.col("b_node"))
+                   & (F.col("a_component") != F.col("b_component"))
+                   & ~F.arrays_overlap("a_early", "b_early")
+                   & (hamming("a_sketch", "b_sketch") <= near("a_n", "b_n")))
+            .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
 def further(pairs, links, joined, docs, classes, scratch):
     """Links and components after the links among ``pairs`` are added."""
     more = verified(by_sketch(pairs, classes), docs, classes, scratch)
@@ -338,15 +359,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     part = shared.select("key", "node").join(joined, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
     apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    part = scratch.keep(part.join(apart.select("key"), "key", "left_semi"), "apart").join(
-        classes.select("node", "n", "sketch"), "node")
-    a = part.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "sketch")])
-    b = part.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "sketch")])
-    across = (a.join(b, (a.key == b.key) & (F.col("a_node") < F.col("b_node"))
-                     & (F.col("a_component") != F.col("b_component"))
-                     & (hamming("a_sketch", "b_sketch") <= near("a_n", "b_n")))
-              .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-              .join(with_hub, ["a", "b"], "left_anti"))
+    part = scratch.keep(part.join(apart.select("key"), "key", "left_semi"), "apart")
+    across = members(part, classes).distinct().join(with_hub, ["a", "b"], "left_anti")
     links, joined = further(across, links, joined, docs, classes, scratch)
 
     classes = classes.drop("n", "sketch").join(joined, "node", "left").select(

@@ -110,6 +110,24 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard.similar_documents(none).collect() == []
 
 
+def test_members_meet_once_however_many_keys_they_share(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "EARLY", 4)
+    rng = np.random.default_rng(5)
+    held = {node: rng.choice(60, size=int(rng.integers(1, 40)), replace=False) for node in range(30)}
+    part = spark.createDataFrame([(int(k) - 30, node, node // 2) for node, keys in held.items() for k in keys],
+                                 "key long, node long, component long")
+    classes = spark.createDataFrame([(node, 100, [0] * 16) for node in held], "node long, n long, sketch array<long>")
+    found = [tuple(r) for r in jaccard.members(part, classes).collect()]
+    together = {(a, b) for a, b in combinations(held, 2) if a // 2 != b // 2 and set(held[a]) & set(held[b])}
+    assert set(found) == together
+    shared = sum(len(set(held[a]) & set(held[b])) for a, b in together)
+    assert len(found) < shared / 2
+    many = [x for x in together if set(sorted(held[x[0]])[:4]) & set(sorted(held[x[1]])[:4])
+            and min(set(held[x[0]]) & set(held[x[1]])) in sorted(held[x[0]])[:4]
+            and min(set(held[x[0]]) & set(held[x[1]])) in sorted(held[x[1]])[:4]]
+    assert many and all(found.count(x) == 1 for x in many)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (7, 7)]
     frame = spark.createDataFrame(edges, "a long, b long")
