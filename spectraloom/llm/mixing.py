@@ -2,7 +2,13 @@
 
 Method. Tokens are summed per cell (source, language, topic). The cells' weights are raked: in turn, each of the three
 marginals is scaled to its target, ``ROUNDS`` times over. A document's sampling probability is its cell's factor
-(raked over present tokens) times ``rate``, at most 1; a hash of its id decides.
+(raked over present tokens) times ``rate``; a hash of its id decides.
+
+Factors above 1 / ``rate``. No document is drawn with more than certainty, so ``over`` says what gives way. ``scale``:
+the rate, which goes down to 1 / (largest factor), so that the sample's tokens have the targets' shares; one rare cell
+makes the whole sample small. ``repeat``: single rows; a document comes floor(p) times and once more by its hash, so
+that rate and targets both hold and ``probability`` is the expected number of copies. ``clip``: the targets; cells
+above 1 stay below their target. The query's SQL clips.
 
 Targets of a marginal are either given weights per level or a power of the present shares (below 1: rare levels gain).
 Levels without a given weight get none.
@@ -12,7 +18,7 @@ joins that Spark plans by size, and each round is written to the shared folder.
 a broadcast behind a row check, else by a join. No document is moved in the first case.
 
 Defined cases: null source, language or text count as levels of their own ('' for source and language, topic ``none``)
-or as no tokens; documents in a cell without tokens get the probability ``rate``; null ids share one draw, as equal
+or as no tokens; documents in a cell without tokens get the probability ``rate`` as given; null ids share one draw, as equal
 ids do; an empty table gives an empty result; all other columns, whatever their names, are kept, but for the four added
 ones, which are replaced.
 """
@@ -74,19 +80,28 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict, rounds: int = ROUNDS
     return raked
 
 
+def fitting(factors: DataFrame, rate: float) -> float:
+    """The largest rate up to the given one at which no cell's probability is above 1."""
+    largest = factors.agg(F.max("factor")).first()[0]
+    return min(rate, 1 / largest) if largest else rate
+
+
 def mix_documents(docs: DataFrame, targets: dict | None = None, rate: float = RATE, rounds: int = ROUNDS,
                   id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-                  topic: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+                  topic: Column | None = None, scratch: Scratch | None = None, over: str = "scale") -> DataFrame:
     """The documents with ``topic``, ``n_tokens``, ``probability`` and ``kept``; the sample is where ``kept``."""
-    rows = weighed_documents(docs, targets, rate, rounds, id_col, text_col, source_col, lang_col, topic, scratch)
+    rows = weighed_documents(docs, targets, rate, rounds, id_col, text_col, source_col, lang_col, topic, scratch, over)
     added = ["topic", "n_tokens", "probability", "kept"]
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
 
 
 def weighed_documents(docs: DataFrame, targets: dict | None = None, rate: float = RATE, rounds: int = ROUNDS,
                       id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                      lang_col: str = "lang", topic: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+                      lang_col: str = "lang", topic: Column | None = None, scratch: Scratch | None = None,
+                      over: str = "scale") -> DataFrame:
     """(row, topic, n_tokens, probability, kept): a document's own columns are in ``row``, so no names clash."""
+    if over not in ("scale", "repeat", "clip"):
+        raise ValueError(f"over is scale, repeat or clip, not {over}")
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     targets = {axis: POWER for axis in AXES} | (targets or {})
     text = F.col(f"`{text_col}`")
@@ -99,10 +114,16 @@ def weighed_documents(docs: DataFrame, targets: dict | None = None, rate: float
                          .where("tokens > 0"), "cells")
     factors = scratch.keep(rake(cells, scratch, targets, rounds).select(
         *AXES, (F.col("raked") / F.col("tokens")).alias("factor")), "factors")
-    chance = F.round(F.least(F.lit(1.0), F.coalesce("factor", F.lit(1.0)) * rate), 9)
-    return plain.join(small_side(factors), AXES, "left").select(
-        "row", "topic", "n_tokens", chance.alias("probability"),
-        (draw(F.col(f"row.`{id_col}`")) < chance).alias("kept"))
+    weight = F.coalesce(F.col("factor") * (fitting(factors, rate) if over == "scale" else rate), F.lit(float(rate)))
+    chance = F.round(weight if over == "repeat" else F.least(F.lit(1.0), weight), 9)
+    number = draw(F.col(f"row.`{id_col}`"))
+    rows = plain.join(small_side(factors), AXES, "left").select(
+        "row", "topic", "n_tokens", chance.alias("probability"), (number < chance).alias("kept"))
+    if over != "repeat":
+        return rows
+    copies = F.floor("probability") + (number < F.col("probability") % 1).cast("long")
+    each = F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(1)))  # a document without a copy stays, not kept
+    return rows.withColumn("kept", copies > 0).withColumn("copy", F.explode(each)).drop("copy")
 
 
 def sql() -> str:

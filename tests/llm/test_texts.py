@@ -108,6 +108,37 @@ def test_raked_weights_meet_the_targets(spark, sf_dir):
     assert abs(kept.n_tokens.sum() / rows.expected.sum() - 1) < 0.6
 
 
+def shares_and_targets(rows, expected, all_rows):
+    """Per axis and level: the sample's share of tokens and the target, the present share to the power of POWER."""
+    for axis in mixing.AXES:
+        target = all_rows.groupby(axis).n_tokens.sum() ** mixing.POWER
+        yield expected.groupby(rows[axis]).sum() / expected.sum(), target / target.sum()
+
+
+@pytest.mark.parametrize("over", ["scale", "repeat"])
+def test_the_sample_meets_the_targets_with_production_numbers(over, spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").fillna("", ["source", "lang"])
+    once = mixing.mix_documents(docs).toPandas()
+    rows = mixing.mix_documents(docs, over=over).toPandas().drop_duplicates("doc_id")
+    assert len(rows) == len(once) == docs.count() and rows[rows.n_tokens > 0].probability.max() >= 1 - 1e-6
+    for share, target in shares_and_targets(rows, rows.n_tokens * rows.probability, once):
+        assert (abs(share / target - 1) < 0.01).all()
+    if over == "repeat":
+        assert abs((rows.n_tokens * rows.probability).sum() / rows.n_tokens.sum() - mixing.RATE) < 0.01
+
+
+def test_repeated_documents_come_as_often_as_their_probability(spark):
+    rows = [(i, "a" if i % 10 else "b", "en", "x y z") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    found = mixing.mix_documents(docs, {"source": {"a": 0.5, "b": 0.5}}, over="repeat")
+    copies = found.where("kept").groupBy("source", "doc_id", "probability").count().toPandas()
+    assert set(copies[copies.source == "b"]["count"]) == {3, 4} and set(copies[copies.source == "a"]["count"]) == {1}
+    assert ((copies["count"] - copies.probability).abs() < 1).all()
+    total = copies.groupby("source")["count"].sum()
+    assert abs(total["b"] / total.sum() - 0.5) < 0.03 and abs(total.sum() / 4000 - mixing.RATE) < 0.03
+    assert found.select("doc_id").distinct().count() == 4000
+
+
 def test_mixing_odd_rows(odd, none):
     found = mixing.mix_documents(odd)
     rows = found.collect()
