@@ -26,7 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.marked_pages(docs, "source")
+    """Copies of a text count as one page of their source: a text with many copies is no boilerplate."""
+    cleaned = line_dedup.marked_pages(docs, "source", distinct=True)
     new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

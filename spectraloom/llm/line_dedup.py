@@ -2,10 +2,13 @@
 
 Method. Pages are grouped by host. A line's frequency is the number of the host's pages that contain it, divided by
 the host's pages. Lines above ``ratio`` (and on ``least`` pages, so that a handful of pages makes no boilerplate) are
-dropped from all pages of that host.
+dropped from all pages of that host. Every row is a page, as in the query's SQL, or with ``distinct`` every different
+text of a host is one, so that the lines of a text with many exact copies are no boilerplate. Near copies are
+different texts and count each.
 
 Scale. Each page names a line once, as a 64-bit hash, and (host, line) pairs are counted with a combine before the
-shuffle, so neither a hot host nor a hot line gathers. A host cannot have more than (mean lines per page / ratio)
+shuffle, so neither a hot host nor a hot line gathers. With ``distinct`` a page's hashes meet its copies' by the hash
+of the text first, again with a combine. A host cannot have more than (mean lines per page / ratio)
 boilerplate lines; the lists per host are broadcast if all of them together are few, else joined by host. The text
 itself is not shuffled in the first case.
 
@@ -32,11 +35,14 @@ def filled(line: Column) -> Column:
     return F.trim(line) != ""
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST,
+                distinct: bool = False) -> DataFrame:
     """(host, key): hashes of the lines on more than ``ratio`` of the host's pages and on ``least`` pages."""
     lines = F.filter(F.split(text, "\n"), filled)
-    held = pages.select(host.alias("host"), F.array_distinct(F.transform(lines, line_key)).alias("keys")).where(
-        "host is not null")
+    held = pages.select(host.alias("host"), F.xxhash64(text).alias("page"),
+                        F.array_distinct(F.transform(lines, line_key)).alias("keys")).where("host is not null")
+    if distinct:
+        held = held.groupBy("host", "page").agg(F.first("keys").alias("keys"))
     totals = held.groupBy("host").agg(F.count("*").alias("pages"))
     counts = (held.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
               .where(F.col("n") >= least))
@@ -44,22 +50,24 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 
 
 def drop_lines(pages: DataFrame, host: Column | str = "source", text_col: str = "text", ratio: float = RATIO,
-               least: int = LEAST, scratch: Scratch | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+               least: int = LEAST, scratch: Scratch | None = None, limit: int = BROADCAST_ROWS,
+               distinct: bool = False) -> DataFrame:
     """The pages with cleaned text, and ``n_lines`` (filled lines before) and ``n_dropped``."""
-    row = marked_pages(pages, host, text_col, ratio, least, scratch, limit)
+    row = marked_pages(pages, host, text_col, ratio, least, scratch, limit, distinct)
     kept = [F.col("cleaned").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in pages.columns]
     return row.select(*[c for c, name in zip(kept, pages.columns) if name not in ("n_lines", "n_dropped")],
                       "n_lines", "n_dropped")
 
 
 def marked_pages(pages: DataFrame, host: Column | str = "source", text_col: str = "text", ratio: float = RATIO,
-                 least: int = LEAST, scratch: Scratch | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+                 least: int = LEAST, scratch: Scratch | None = None, limit: int = BROADCAST_ROWS,
+                 distinct: bool = False) -> DataFrame:
     """(row, cleaned, n_lines, n_dropped): the page's own columns are in ``row``, so no names clash."""
     scratch = scratch or Scratch(pages.sparkSession, "lines")
     host = F.col(f"`{host}`") if isinstance(host, str) else host
     held = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("site"),
                         F.col(f"`{text_col}`").alias("text"))
-    found = scratch.keep(boilerplate(held, F.col("site"), F.col("text"), ratio, least), "boilerplate")
+    found = scratch.keep(boilerplate(held, F.col("site"), F.col("text"), ratio, least, distinct), "boilerplate")
     few = found.limit(limit + 1).count() <= limit
     lists = found.groupBy("host").agg(F.collect_list("key").alias("keys"))
     joined = held.join(F.broadcast(lists) if few else lists, F.col("site") == F.col("host"), "left")

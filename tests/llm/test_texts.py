@@ -14,6 +14,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from spectraloom.llm import bpe, chat, line_dedup, mixing, pitman_yor, queries
 from tests.llm.conftest import CLASH, COPY, LONG, ODD
 from tests.oracle import connect, differences
@@ -88,6 +89,16 @@ def test_lines_are_dropped_by_site(spark):
         assert found[100].text == "menu\nb 0" and found[200].text == "menu" and found[201].text is None
 
 
+def test_copies_of_a_text_are_no_boilerplate(spark):
+    """A large group of clean copies keeps its text through the lines stage; a menu on different pages goes."""
+    copy = "first line of the copy\nsecond line of the copy"
+    rows = [(i, copy, "a") for i in range(100)] + [(100 + i, f"menu\nbody {i}", "a") for i in range(300)] + [
+        (400 + i, None, "a") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, "").collect()}
+    assert found == {i: f"body {i - 100}" if text and i >= 100 else text for i, text, _ in rows}
+
+
 def test_line_dedup_keeps_other_columns(odd, none):
     found = line_dedup.drop_lines(odd, ratio=0.1, least=2)
     assert set(odd.columns) <= set(found.columns)
