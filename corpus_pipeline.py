@@ -36,10 +36,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id are kept; repeated rows of an id are one document and share its fate."""
-    groups = jaccard.similar_documents(docs)
-    gone = Scratch(spark, "groups").keep(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    """Of each group one row, the one with the smallest id; equal ids are told apart by text and row, null ids last."""
+    scratch = Scratch(spark, "groups")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"),
+                    F.monotonically_increasing_id().alias("number"))
+    rows = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                    name.alias("name")), "rows")  # written once: the numbers hold for all that follows
+    groups = jaccard.similar_documents(rows.select("name", F.col("row.text").alias("text")), "name")
+    gone = scratch.keep(groups.where("component_id <> doc_id").select(F.col("doc_id.number").alias("number")), "gone")
+    rows = rows.withColumn("number", F.col("name.number"))
+    return own_columns(rows.join(small_side(gone), "number", "left_anti"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,6 +157,15 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none, sf_dir):
     assert corpus_pipeline.STAGES[2][1](spark, odd, sf_dir).where("doc_id in (2, 3, 8)").count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids, rows without an id, and an id of two texts, one of them a copy."""
+    copy, other = "one two three four five six seven eight", "an own text that is nowhere else at all"
+    rows = [(3, copy), (3, copy), (None, copy), (7, copy), (7, other), (None, other), (None, "alone"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(3, copy), (7, other), (None, "alone"), (9, None)], key=str)
+
+
 def test_the_rest_works_without_this_subpackage(tmp_path):
     """Copies the library without the subpackage and the pipeline, and imports the entry module there."""
     repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
