@@ -21,7 +21,8 @@ names.
 from __future__ import annotations
 
 import base64
-import heapq
+import re
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,18 @@ from pyspark.sql import DataFrame, functions as F
 from spectraloom.llm.common import release
 from spectraloom.llm.textscan import BASE, byte_numbers, mix
 
+#: Letters and numbers that Unicode has had since version 17; the pattern is of version 16, where they
+#: are neither.
+LATER = ("\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7ce-\\ua7cf\\ua7d2\\ua7d4\\ua7dd\\ua7e2\\ua7f1"
+         "\\uab6c-\\uab6d\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee"
+         "\\U00011b0a\\U00011db0-\\U00011ddb\\U00011de0-\\U00011de9\\U00011df1\\U0001246f\\U00012475-\\U0001247f"
+         "\\U00012550-\\U00012686\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff6"
+         "\\U000187f8-\\U000187ff\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20\\U00018d80-\\U00018df2"
+         "\\U00018e00-\\U00019191\\U000191a0-\\U000191d2\\U0001b123-\\U0001b128\\U0001b168\\U0001d6a6"
+         "\\U0001df1f-\\U0001df24\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff"
+         "\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5\\U0001e6e7-\\U0001e6ed"
+         "\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead"
+         "\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f")
 SLICE = 1 << 18             # characters that are cut into pre-tokens at a time
 REMEMBER_BYTES = 24 << 20   # of one generation of misses
 MOST_LEVELS = 64
@@ -149,23 +162,36 @@ class Remembered:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple:
-    """Ids of a pre-token: a heap of rankable neighbours over a linked list of parts."""
-    n = len(piece)
-    stop, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by a part's start: its end, the start of the one before
-    heap = [(ranks[pair], i, i + 2) for i in range(n - 1) if (pair := piece[i:i + 2]) in ranks]
-    heapq.heapify(heap)
+    """Ids of a pre-token: a heap of rankable neighbours over a linked list of parts.
+
+    A heap entry is one number: rank, start and end of the joined bytes, so equal ranks come out from left to right.
+    """
+    n, rank_of = len(piece), ranks.get
+    width = n.bit_length()
+    stop, before = [*range(1, n + 1), None], [*range(-1, n)]  # by a part's start: its end, the start of the one before
+    heap = []
+    for i in range(n - 1):
+        rank = rank_of(piece[i:i + 2])
+        if rank is not None:
+            heap.append((rank << width | i) << width | i + 2)
+    heapify(heap)
+    low = (1 << width) - 1
     while heap:
-        _, start, end = heapq.heappop(heap)
+        entry = heappop(heap)
+        end, start = entry & low, entry >> width & low
         middle = stop[start]
         if middle is None or middle >= end or stop[middle] != end:
             continue  # one of the two parts was joined meanwhile
-        stop[start], stop[middle] = end, None
+        stop[start], stop[middle], before[end] = end, None, start
         if end < n:
-            before[end] = start
-            if (rank := ranks.get(piece[start:stop[end]])) is not None:
-                heapq.heappush(heap, (rank, start, stop[end]))
-        if before[start] >= 0 and (rank := ranks.get(piece[before[start]:end])) is not None:
-            heapq.heappush(heap, (rank, before[start], end))
+            rank = rank_of(piece[start:stop[end]])
+            if rank is not None:
+                heappush(heap, (rank << width | start) << width | stop[end])
+        left = before[start]
+        if left >= 0:
+            rank = rank_of(piece[left:end])
+            if rank is not None:
+                heappush(heap, (rank << width | left) << width | end)
     found, at = [], 0
     while at < n:
         found.append(ranks[piece[at:stop[at]]])
@@ -173,12 +199,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple:
     return tuple(found)
 
 
+def of_version_16(pattern: str) -> str:
+    """The pattern with letters and numbers as Unicode 16 has them."""
+    narrow = {"L": f"[\\p{{L}}--[{LATER}]]", "N": f"[\\p{{N}}--[{LATER}]]"}
+    return "(?V1)" + regex.sub(r"\\p\{([LN])\}", lambda found: narrow[found[1]], pattern)
+
+
 class Coder:
     """Encodes and decodes; one per task."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.pattern = regex.compile(vocabulary.pattern)
+        self.later = re.compile(f"[{LATER}]")
+        self.careful = regex.compile(of_version_16(vocabulary.pattern))
         self.cut = regex.compile(r"(?<=\S)\s")  # no pre-token has white space after another character
         self.hashed = ByteHash()
         self.misses = Remembered()
@@ -213,7 +247,8 @@ class Coder:
         number: dict[str, int] = {}
         which, sizes = [], []
         for part in parts:
-            found = self.pattern.findall(part)
+            plain = part.isascii() or self.later.search(part) is None
+            found = (self.pattern if plain else self.careful).findall(part)
             which += [number.setdefault(x, len(number)) for x in found]
             sizes.append(len(found))
         if not which:
