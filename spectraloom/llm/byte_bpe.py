@@ -3,8 +3,8 @@
 Method, two tiers. A text is cut into pre-tokens by the vocabulary's pattern. First tier: a minimal perfect hash over
 the vocabulary gives the one place where a pre-token can be; its bytes are compared with the pre-token's, so a hit is
 exact, and is the id. Second tier, for misses: the bytes form a linked list, a heap holds the neighbours whose joined
-bytes have a rank, the lowest rank (leftmost on ties) is joined until none is left. Misses are remembered in two
-generations of bounded bytes. Decoding gathers each id's bytes from one flat table.
+bytes have a rank, the lowest rank (leftmost on ties) is joined until none is left. What was resolved is remembered in
+two generations of bounded bytes per worker, from task to task. Decoding gathers each id's bytes from one flat table.
 
 The perfect hash has levels of bits: a key whose bit on a level is not shared with another key stays there, the others
 go on to the next level; the number of set bits before a key's bit is its place. It has one place per token.
@@ -45,7 +45,7 @@ LATER = ("\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7
          "\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead"
          "\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f")
 SLICE = 1 << 18             # characters that are cut into pre-tokens at a time
-REMEMBER_BYTES = 24 << 20   # of one generation of misses
+REMEMBER_BYTES = 64 << 20   # of one generation of remembered pre-tokens
 MOST_LEVELS = 64
 
 
@@ -124,16 +124,29 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every byte needs a rank")
-        self.ranks, self.pattern = ranks, pattern
+        self.ranks, self.pattern, self.own = ranks, pattern, None
         tokens = list(ranks)
         keys = ByteHash()(*join_bytes(tokens))
         self.hash = PerfectHash(keys)
         order = np.argsort(self.hash.places(keys))
         self.data, self.offsets = join_bytes([tokens[i] for i in order])       # by place
         self.ids = np.array([ranks[tokens[i]] for i in order], np.int64)
+        self.pair_ranks = np.full(1 << 16, -1, np.int64)  # of two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair_ranks[token[0] << 8 | token[1]] = rank
         self.place_of = np.full(max(ranks.values()) + 1, -1, np.int64)
         self.place_of[self.ids] = np.arange(len(self.ids))
 
+    def coder(self) -> "Coder":
+        """The coder of this process: what it remembers serves the next tasks of the same worker too."""
+        if self.own is None:
+            self.own = Coder(self)
+        return self.own
+
+    def __getstate__(self):
+        return self.__dict__ | {"own": None}
+
     @staticmethod
     def read(path: str, pattern: str) -> "Vocabulary":
         with open(path, "rb") as file:
@@ -141,39 +154,71 @@ class Vocabulary:
 
 
 class Remembered:
-    """Ids of misses in two generations: a full young one becomes the old one, what is used comes back."""
+    """Ids of pre-tokens that were resolved, in two generations of bounded bytes.
 
-    def __init__(self, limit: int = REMEMBER_BYTES):
-        self.limit, self.size, self.young, self.old = limit, 0, {}, {}
-
-    def get(self, key: bytes):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
+    A full young generation becomes the old one; what is found in the old one comes back. ``numbers`` gives a
+    pre-token's row in ``starts`` and ``counts``, which point into ``flat``.
+    """
 
-    def put(self, key: bytes, ids: tuple) -> None:
-        if self.size >= self.limit:
-            self.old, self.young, self.size = self.young, {}, 0
-        self.young[key] = ids
-        self.size += 200 + len(key) + 8 * len(ids)
+    def __init__(self, limit: int = REMEMBER_BYTES):
+        self.limit, self.old = limit, None
+        self._fresh()
 
+    def _fresh(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.starts, self.counts, self.flat = (np.zeros(1024, np.int64) for _ in range(3))
+        self.used = self.size = 0
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple:
+    def renew(self) -> None:
+        """Between slices, so that all pre-tokens of a slice are in one generation."""
+        if self.size >= self.limit:
+            self.old = self.numbers, self.starts, self.counts, self.flat
+            self._fresh()
+
+    def from_old(self, pieces: list[str]) -> list[str]:
+        """Takes over what the old generation knows; the rest comes back."""
+        if self.old is None:
+            return pieces
+        numbers, starts, counts, flat = self.old
+        known = [x for x in pieces if x in numbers]
+        if known:
+            at = np.array([numbers[x] for x in known])
+            self.add(known, counts[at], flat[spans(starts[at], counts[at])])
+        return [x for x in pieces if x not in numbers]
+
+    def add(self, pieces: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
+        n, first = len(self.numbers), self.used
+        self.starts, self.counts = grown(self.starts, n + len(pieces)), grown(self.counts, n + len(pieces))
+        self.flat = grown(self.flat, first + len(ids))
+        self.starts[n:n + len(pieces)] = first + np.cumsum(counts) - counts
+        self.counts[n:n + len(pieces)] = counts
+        self.flat[first:first + len(ids)] = ids
+        self.numbers.update(zip(pieces, range(n, n + len(pieces))))
+        self.used += len(ids)
+        self.size += 200 * len(pieces) + 8 * len(ids) + sum(map(len, pieces))
+
+    def gather(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has."""
+        at = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        counts = self.counts[at]
+        return self.flat[spans(self.starts[at], counts)], counts
+
+
+def grown(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n numbers."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), np.int64)])
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
     """Ids of a pre-token: a heap of rankable neighbours over a linked list of parts.
 
-    A heap entry is one number: rank, start and end of the joined bytes, so equal ranks come out from left to right.
+    ``pairs`` are the ranks of two neighbouring bytes each, negative if there is none. A heap entry is one number:
+    rank, start and end of the joined bytes, so equal ranks come out from left to right.
     """
     n, rank_of = len(piece), ranks.get
     width = n.bit_length()
     stop, before = [*range(1, n + 1), None], [*range(-1, n)]  # by a part's start: its end, the start of the one before
-    heap = []
-    for i in range(n - 1):
-        rank = rank_of(piece[i:i + 2])
-        if rank is not None:
-            heap.append((rank << width | i) << width | i + 2)
+    heap = [(rank << width | i) << width | i + 2 for i, rank in enumerate(pairs) if rank >= 0]
     heapify(heap)
     low = (1 << width) - 1
     while heap:
@@ -196,7 +241,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple:
     while at < n:
         found.append(ranks[piece[at:stop[at]]])
         at = stop[at]
-    return tuple(found)
+    return found
 
 
 def of_version_16(pattern: str) -> str:
@@ -215,7 +260,7 @@ class Coder:
         self.careful = regex.compile(of_version_16(vocabulary.pattern))
         self.cut = regex.compile(r"(?<=\S)\s")  # no pre-token has white space after another character
         self.hashed = ByteHash()
-        self.misses = Remembered()
+        self.remembered = Remembered()
 
     def pieces(self, text: str):
         """A text in parts of about SLICE characters that can be cut into pre-tokens by themselves."""
@@ -242,35 +287,42 @@ class Coder:
             same[some] = ~np.logical_or.reduceat(differs, np.cumsum(lengths[some]) - lengths[some])
         return np.where(same, held.ids[places], -1)
 
+    def resolve(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the pieces has, and the ids: by the perfect hash, else by merging."""
+        raw = [x.encode() for x in pieces]
+        ids = self.in_vocabulary(raw)
+        misses = np.flatnonzero(ids < 0).tolist()
+        counts = np.ones(len(raw), np.int64)
+        if not misses:
+            return counts, ids
+        held = self.vocabulary
+        data, offsets = join_bytes([raw[i] for i in misses])
+        pairs = held.pair_ranks[data[:-1].astype(np.int64) << 8 | data[1:]].tolist()  # those across two pieces go unused
+        at, merged = offsets.tolist(), []
+        for j, i in enumerate(misses):
+            merged.append(merge(raw[i], held.ranks, pairs[at[j]:at[j + 1] - 1]))
+        counts[misses] = [len(x) for x in merged]
+        found = np.repeat(ids, counts)
+        found[found < 0] = [x for some in merged for x in some]
+        return counts, found
+
     def encode_pieces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts one after another, and how many each part has."""
-        number: dict[str, int] = {}
-        which, sizes = [], []
+        every, sizes = [], []
         for part in parts:
             plain = part.isascii() or self.later.search(part) is None
             found = (self.pattern if plain else self.careful).findall(part)
-            which += [number.setdefault(x, len(number)) for x in found]
+            every += found
             sizes.append(len(found))
-        if not which:
-            return np.zeros(0, np.int64), np.zeros(len(parts), np.int64)
-        raw = [x.encode() for x in number]
-        ids = self.in_vocabulary(raw)
-        several, flat, starts, counts = np.flatnonzero(ids < 0), [], np.zeros(len(raw), np.int64), np.ones(len(raw), np.int64)
-        for i in several.tolist():
-            merged = self.misses.get(raw[i])
-            if merged is None:
-                merged = merge(raw[i], self.vocabulary.ranks)
-                self.misses.put(raw[i], merged)
-            starts[i], counts[i] = len(flat), len(merged)
-            flat += merged
-        single = np.flatnonzero(ids >= 0)
-        starts[single] = len(flat) + np.arange(len(single))
-        table = np.concatenate([np.array(flat, np.int64), ids[single]])
-        which = np.array(which, np.int64)
-        stops = np.concatenate([[0], np.cumsum(counts[which])])
+        memory = self.remembered
+        memory.renew()
+        new = memory.from_old([x for x in set(every) if x not in memory.numbers])
+        if new:
+            memory.add(new, *self.resolve(new))
+        ids, counts = memory.gather(every)
+        stops = np.concatenate([[0], np.cumsum(counts)])
         ends = np.cumsum(sizes)
-        per_part = stops[ends] - stops[ends - sizes]
-        return table[spans(starts[which], counts[which])], per_part
+        return ids, stops[ends] - stops[ends - sizes]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         found, waiting, owners, size = [[] for _ in texts], [], [], 0
@@ -303,7 +355,7 @@ class Coder:
 
 def code_rows(vocabulary):
     def run(batches):
-        coder = Coder(vocabulary.value)
+        coder = vocabulary.value.coder()
         for batch in batches:
             size, first = 0, 0
             texts = batch.column(1)
@@ -321,7 +373,6 @@ def code_rows(vocabulary):
                     ["doc_id", "n_tokens", "ids", "decoded"])
                 size, first = 0, row + 1
             del lengths
-        del coder
         release()  # the worker lives on
     return run
 

@@ -65,19 +65,22 @@ def test_long_words_and_a_small_memory(monkeypatch):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghé漢"), int(n))) for n in [*rng.integers(1, 30, 400), 20_000]]
     coder = byte_bpe.Coder(HELD)
-    coder.misses.limit = 2000
-    text = " ".join(words + words[:100])
-    assert coder.encode_all([text])[0].tolist() == LIBRARY.encode_ordinary(text)
-    assert coder.misses.old and len(coder.misses.young) < 30
-
-
-def test_what_is_used_stays_remembered():
-    held = byte_bpe.Remembered(limit=1000)
-    for i in range(200):
-        held.put(b"%d" % i, (i,))
-        held.put(b"often", (1, 2)) if held.get(b"often") is None else None
-        assert held.get(b"often") == (1, 2)
-    assert held.get(b"0") is None and held.get(b"199") == (199,)
+    coder.remembered.limit = 2000
+    for part in (words, words[:100], words[50:150], words):
+        text = " ".join(part)
+        assert coder.encode_all([text])[0].tolist() == LIBRARY.encode_ordinary(text)
+    assert coder.remembered.old
+
+
+def test_what_is_used_stays_remembered(monkeypatch):
+    coder = byte_bpe.Coder(HELD)
+    coder.remembered.limit = 5000
+    asked, resolve = [], coder.resolve
+    monkeypatch.setattr(coder, "resolve", lambda pieces: asked.extend(pieces) or resolve(pieces))
+    for i in range(100):
+        coder.encode_all([f" qzxoften zq{i}x"])
+        assert coder.remembered.size < 2 * 5000
+    assert asked.count(" qzxoften") == 1 and len(coder.remembered.numbers) < 60
 
 
 @settings(max_examples=50, deadline=None)
