@@ -10,9 +10,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from spectraloom import schema
-from spectraloom.models import evaluate, search
+from spectraloom.models import embedding, evaluate, neighbours, search
 from spectraloom.models.classifiers import get_model, predict
-from spectraloom.operators import joins, labels, metrics, signal, splits
+from spectraloom.operators import joins, labels, metrics, signal, splits, stats
 from spectraloom.plans import views
 from spectraloom.plans.relational import TARGETS, query, rounded
 from spectraloom.plans.views import table
@@ -114,6 +114,37 @@ def project_2d(spark, sf_dir):
     return projected.withColumns(rounded("x", "y"))
 
 
+@query()
+def embed_2d(spark, sf_dir):
+    """Neighbour embedding of all spectra."""
+    return embedding.embed_2d(signal.normalize(views.spectra(spark, sf_dir))).withColumns(rounded("x", "y"))
+
+
+@query()
+def embed_train_test(spark, sf_dir):
+    """Train and test spectra in one plane."""
+    rows = _training_table(spark, sf_dir)
+    train, test = (rows.where(F.col("role") == role) for role in ("train", "test"))
+    return embedding.embed_train_test(train, test).withColumns(rounded("x", "y"))
+
+
+@query()
+def embed_culture_means(spark, sf_dir):
+    """The mean spectra of cultures in one plane."""
+    means = stats.culture_means(signal.normalize(views.labelled_spectra(spark, sf_dir)))
+    return embedding.embed_2d(means, "culture").withColumns(rounded("x", "y"))
+
+
+@query()
+def projection_report(spark, sf_dir):
+    """Share of the 15 nearest spectra that each projection keeps."""
+    rows = signal.normalize(views.spectra(spark, sf_dir))
+    planes = {"principal": evaluate.project_2d(rows), "neighbours": embedding.embed_2d(rows)}
+    parts = [neighbours.neighbours_kept(rows, plane).select(F.lit(name).alias("projection"), "kept", "n")
+             for name, plane in planes.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def grid_search_report(spark, sf_dir):
     columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
