@@ -3,7 +3,8 @@
 Method. Two neighbouring symbols (bytes; the last byte of a word is a symbol of its own) that stand next to each
 other inside no vocabulary token can never be merged, so a word is certainly cut between them. The fragments between
 such cuts are encoded independently by the ranked merges and their ids are concatenated. Fragments, words and runs
-between white space are encoded once per task and remembered in bounded tables; a text is their concatenation.
+between white space are remembered by a task in tables of bounded bytes that forget what was not used for long; a text is
+their concatenation.
 
 The ids and the decoded text are those of the file's own tokenizer without added special tokens: NFC, white space
 dropped, lower case, words split by its pattern, special tokens recognised in the raw text; decoding joins the
@@ -25,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from spectraloom.llm.common import release, slices, text_bytes
+from spectraloom.llm.common import Generations, release, slices, text_bytes
 from spectraloom.llm.textscan import Words
 
 #: Unicode white space, as the file's pattern understands it.
@@ -33,7 +34,8 @@ WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: The file's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 LONG = 100             # symbols of a fragment from which on merging uses a heap
-REMEMBER = 50_000      # entries after which a task's tables are emptied
+REMEMBER_WORDS = 32 << 20  # bytes of one generation of a task's words
+REMEMBER_RUNS = 64 << 20   # and of its runs between white space
 
 
 def byte_characters() -> list[str]:
@@ -43,6 +45,16 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(printable) else chr(next(free)) for b in range(256)]
 
 
+def word_bytes(ids: list) -> int:
+    """About the bytes that a remembered word takes: a text, a list of numbers, a place in the table."""
+    return 250 + 40 * len(ids)
+
+
+def run_bytes(entry: tuple) -> int:
+    """About the bytes that a remembered run takes: its packed ids, its decoded text, a place in the table."""
+    return 250 + len(entry[0]) + len(entry[1])
+
+
 class Vocabulary:
     """What a vocabulary file says, small enough to be sent to every task."""
 
@@ -82,7 +94,7 @@ class Encoder:
             if ends:
                 inner[-1] += 256
             self.joined[inner[:-1], inner[1:]] = True
-        self.known: dict = {}  # word: its ids
+        self.known = Generations(REMEMBER_WORDS)  # word: its ids
 
     def ranks(self, left, right):
         """Place of each pair among the merges; beyond all of them if there is none."""
@@ -153,9 +165,9 @@ class Encoder:
 
     def learn(self, words) -> None:
         """Ids of all words that are not known yet: cut, encode the fragments, concatenate."""
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
-        words = [w for w in set(words) if w not in self.known]
+        self.known.renew()
+        words = list(set(words))
+        words = [words[i] for i in self.known.missing(words, word_bytes)]
         if not words:
             return
         raw = [w.encode() for w in words]
@@ -185,7 +197,8 @@ class Encoder:
         per_word = np.searchsorted(starts, stops)
         at = 0
         for word, stop in zip(words, per_word.tolist()):
-            self.known[word] = fragments[at] if stop - at == 1 else [i for x in fragments[at:stop] for i in x]
+            ids = fragments[at] if stop - at == 1 else [i for x in fragments[at:stop] for i in x]
+            self.known.put(word, ids, word_bytes(ids))
             at = stop
 
     def split(self, text: str) -> list:
@@ -211,7 +224,7 @@ class Encoder:
     def encode_all(self, texts: list) -> list:
         parts = [self.split(x) for x in texts]
         self.learn(w for words in parts for w in words if isinstance(w, str))
-        known = self.known
+        known = self.known.young
         return [known[words[0]] if len(words) == 1 and words[0] in known else
                 [i for w in words for i in (known[w] if isinstance(w, str) else (w,))] for words in parts]
 
@@ -228,7 +241,7 @@ def encode_rows(vocabulary):
     def run(batches):
         encoder = Encoder(vocabulary.value)
         words = Words(lower=False)
-        remembered: dict = {}  # hash of a run between white space: its ids and its decoded text
+        remembered = Generations(REMEMBER_RUNS)  # hash of a run between white space: its ids and its decoded text
         for batch in batches:
             offsets, data = text_bytes(batch.column(1))
             for a, b in slices(offsets):
@@ -237,15 +250,15 @@ def encode_rows(vocabulary):
                 distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
                 packed, decoded = np.empty(len(distinct), object), np.empty(len(distinct), object)
                 raw = here.tobytes()
-                if len(remembered) >= REMEMBER:
-                    remembered.clear()
+                remembered.renew()
                 names = distinct.tolist()
-                new = [i for i, name in enumerate(names) if name not in remembered]
+                new = remembered.missing(names, run_bytes)
                 spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
                 for i, ids in zip(new, encoder.encode_all([raw[s:e].decode() for s, e in spans])):
-                    remembered[names[i]] = array.array("I", ids).tobytes(), encoder.decode(ids)
-                for i, name in enumerate(names):
-                    packed[i], decoded[i] = remembered[name]
+                    entry = array.array("I", ids).tobytes(), encoder.decode(ids)
+                    remembered.put(names[i], entry, run_bytes(entry))
+                for i, entry in enumerate(map(remembered.young.__getitem__, names)):
+                    packed[i], decoded[i] = entry
                 some = np.array([len(x) for x in packed], np.int64) > 0
                 ids, texts = [], []
                 for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -257,8 +270,7 @@ def encode_rows(vocabulary):
                     [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()),
                      pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
                     ["doc_id", "n_tokens", "ids", "decoded"])
-        remembered.clear()  # the worker lives on
-        del encoder, words
+        del remembered, encoder, words  # the worker lives on
         release()
     return run
 

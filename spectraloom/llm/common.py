@@ -47,6 +47,35 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+class Generations:
+    """A table of bounded bytes that keeps what is used: a full young generation becomes the old one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.young, self.old = limit, 0, {}, {}
+
+    def renew(self) -> None:
+        """Between batches, so that all that a batch has found or put is in the young generation."""
+        if self.size >= self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+
+    def missing(self, keys, size) -> list:
+        """Positions of the keys that are not known; those of the old generation come back, ``size(value)`` bytes each."""
+        young, old, found = self.young, self.old, []
+        for i, key in enumerate(keys):
+            if key in young:
+                continue
+            value = old.get(key)
+            if value is None:
+                found.append(i)
+            else:
+                self.put(key, value, size(value))
+        return found
+
+    def put(self, key, value, size: int) -> None:
+        self.young[key] = value
+        self.size += size
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than rows) and all UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
