@@ -21,7 +21,7 @@ def remainder(n: int):
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.drop_lines(pages, "source")
+    return line_dedup.drop_lines(pages, "source", distinct=True)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return mixing.mix_documents(docs, over="clip").select("doc_id", F.coalesce("source", F.lit("")).alias("source"),
+    return mixing.mix_documents(docs).select("doc_id", F.coalesce("source", F.lit("")).alias("source"),
                                              F.coalesce("lang", F.lit("")).alias("lang"), "topic", "n_tokens",
                                              "probability", "kept")
 
