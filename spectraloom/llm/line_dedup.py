@@ -2,9 +2,9 @@
 
 Method. Pages are grouped by host. A line's frequency is the number of the host's pages that contain it, divided by
 the host's pages. Lines above ``ratio`` (and on ``least`` pages, so that a handful of pages makes no boilerplate) are
-dropped from all pages of that host. Every row is a page, as in the query's SQL, or with ``distinct`` every different
-text of a host is one, so that the lines of a text with many exact copies are no boilerplate. Near copies are
-different texts and count each.
+dropped from all pages of that host. With ``distinct``, as in the query and its SQL, every different text of a host is a
+page, so that the lines of a text with many exact copies are no boilerplate; without, every row is one. Near copies
+are different texts and count each.
 
 Scale. Each page names a line once, as a 64-bit hash, and (host, line) pairs are counted with a combine before the
 shuffle, so neither a hot host nor a hot line gathers. With ``distinct`` a page's hashes meet its copies' by the hash
@@ -85,11 +85,10 @@ def marked_pages(pages: DataFrame, host: Column | str = "source", text_col: str
 
 
 SQL = f"""
-WITH pages AS (SELECT doc_id, source AS host, text, string_split(text, chr(10)) AS lines FROM documents),
-lines AS (SELECT doc_id, row_number() OVER () AS row, host, text, lines FROM pages),
-each AS (SELECT DISTINCT row, host, line FROM (SELECT row, host, unnest(lines) AS line FROM lines)
-         WHERE host IS NOT NULL AND trim(line) <> ''),
-totals AS (SELECT host, count(*) AS pages FROM lines WHERE host IS NOT NULL GROUP BY host),
+WITH lines AS (SELECT doc_id, source AS host, text, string_split(text, chr(10)) AS lines FROM documents),
+pages AS (SELECT DISTINCT host, text, lines FROM lines WHERE host IS NOT NULL),
+totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
+each AS (SELECT host, line FROM (SELECT host, text, unnest(list_distinct(lines)) AS line FROM pages) WHERE trim(line) <> ''),
 bad AS (SELECT host, list(line) AS drops FROM (SELECT host, line, count(*) AS n FROM each GROUP BY host, line)
         JOIN totals USING (host) WHERE n >= {LEAST} AND n > pages * CAST({RATIO} AS DOUBLE) GROUP BY host),
 marked AS (SELECT l.*, coalesce(drops, []) AS drops FROM lines l LEFT JOIN bad b ON l.host = b.host)
