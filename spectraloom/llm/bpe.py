@@ -16,9 +16,9 @@ text of any length is encoded whole; other columns are dropped, whatever their n
 
 from __future__ import annotations
 
-import array
 import heapq
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from spectraloom.llm.common import Generations, release, slices, text_bytes
+from spectraloom.llm.common import Generations, grown, release, slices, spans, text_bytes
 from spectraloom.llm.textscan import Words
 
 #: Unicode white space, as the file's pattern understands it.
@@ -34,8 +34,8 @@ WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: The file's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 LONG = 100             # symbols of a fragment from which on merging uses a heap
-REMEMBER_WORDS = 32 << 20  # bytes of one generation of a task's words
-REMEMBER_RUNS = 64 << 20   # and of its runs between white space
+REMEMBER_WORDS = 12 << 20  # bytes of one generation of a task's words
+REMEMBER_RUNS = 40 << 20   # and of its runs between white space
 
 
 def byte_characters() -> list[str]:
@@ -45,14 +45,67 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(printable) else chr(next(free)) for b in range(256)]
 
 
-def word_bytes(ids: list) -> int:
-    """About the bytes that a remembered word takes: a text, a list of numbers, a place in the table."""
-    return 250 + 40 * len(ids)
-
-
-def run_bytes(entry: tuple) -> int:
-    """About the bytes that a remembered run takes: its packed ids, its decoded text, a place in the table."""
-    return 250 + len(entry[0]) + len(entry[1])
+def word_bytes(packed: bytes) -> int:
+    """About the bytes that a remembered word takes: a text, its packed ids, a place in the table."""
+    return 220 + len(packed)
+
+
+def pack(ids) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Runs:
+    """Packed ids and decoded text of runs by their hash, in two generations of bounded bytes of flat arrays."""
+
+    def __init__(self, limit: int):
+        self.limit, self.old = limit, None
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.numbers: dict[int, int] = {}
+        self.bounds = np.zeros((1024, 2), np.int64)  # where a run's ids and text end; they start where the last one's end
+        self.ids, self.text = np.zeros(1024, np.uint32), np.zeros(4096, np.uint8)
+        self.size = 0
+
+    def renew(self) -> None:
+        """Between slices, so that all runs of a slice are in one generation."""
+        if self.size >= self.limit:
+            self.old = self.numbers, self.bounds, self.ids, self.text
+            self._fresh()
+
+    def missing(self, names: list[int]) -> list[int]:
+        """Positions of the names that are not known; those of the old generation come back."""
+        new = [i for i, name in enumerate(names) if name not in self.numbers]
+        if self.old is None:
+            return new
+        numbers, bounds, ids, text = self.old
+        back = [names[i] for i in new if names[i] in numbers]
+        if back:
+            at = np.array([numbers[name] for name in back])
+            lengths = bounds[at + 1] - bounds[at]
+            self.add(back, lengths[:, 0], ids[spans(bounds[at, 0], lengths[:, 0])],
+                     lengths[:, 1], text[spans(bounds[at, 1], lengths[:, 1])])
+        return [i for i in new if names[i] not in numbers]
+
+    def add(self, names: list[int], counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> None:
+        n = len(self.numbers)
+        used = self.bounds[n]
+        if n + len(names) + 1 > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros((max(len(names) + 1, len(self.bounds) // 2), 2), np.int64)])
+        self.ids, self.text = grown(self.ids, used[0] + len(ids)), grown(self.text, used[1] + len(text))
+        self.ids[used[0]:used[0] + len(ids)], self.text[used[1]:used[1] + len(text)] = ids, text
+        self.bounds[n + 1:n + len(names) + 1] = used + np.cumsum(np.stack([counts, sizes], 1), axis=0)
+        self.numbers.update(zip(names, range(n, n + len(names))))
+        self.size += 160 * len(names) + 4 * len(ids) + len(text)
+
+    def gather(self, names: list[int], which: np.ndarray):
+        """For the runs names[which] one after another: counts and ids, sizes and text."""
+        at = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))[which]
+        starts = self.bounds[at]
+        lengths = self.bounds[at + 1] - starts
+        return (lengths[:, 0], self.ids[spans(starts[:, 0], lengths[:, 0])],
+                lengths[:, 1], self.text[spans(starts[:, 1], lengths[:, 1])])
 
 
 class Vocabulary:
@@ -76,6 +129,9 @@ class Encoder:
         self.ids = vocabulary.tokens
         self.special = vocabulary.special
         self.names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        strings = [self.names.get(i, "").encode() + b" " for i in range(max(self.names) + 1)]
+        self.strings = np.frombuffer(b"".join(strings), np.uint8)  # by id
+        self.string_ends = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
         self.marks = regex.compile("|".join(regex.escape(x) for x in self.special)) if self.special else None
         self.words = regex.compile(PATTERN)
         characters = byte_characters()
@@ -94,7 +150,7 @@ class Encoder:
             if ends:
                 inner[-1] += 256
             self.joined[inner[:-1], inner[1:]] = True
-        self.known = Generations(REMEMBER_WORDS)  # word: its ids
+        self.known = Generations(REMEMBER_WORDS)  # word: its packed ids
 
     def ranks(self, left, right):
         """Place of each pair among the merges; beyond all of them if there is none."""
@@ -198,7 +254,8 @@ class Encoder:
         at = 0
         for word, stop in zip(words, per_word.tolist()):
             ids = fragments[at] if stop - at == 1 else [i for x in fragments[at:stop] for i in x]
-            self.known.put(word, ids, word_bytes(ids))
+            packed = pack(ids)
+            self.known.put(word, packed, word_bytes(packed))
             at = stop
 
     def split(self, text: str) -> list:
@@ -221,60 +278,79 @@ class Encoder:
             at = mark.end()
         return parts + self.split(text[at:])
 
-    def encode_all(self, texts: list) -> list:
+    def encode_all(self, texts: list) -> list[bytes]:
+        """Packed ids of all texts."""
         parts = [self.split(x) for x in texts]
         self.learn(w for words in parts for w in words if isinstance(w, str))
         known = self.known.young
         return [known[words[0]] if len(words) == 1 and words[0] in known else
-                [i for w in words for i in (known[w] if isinstance(w, str) else (w,))] for words in parts]
+                b"".join([known[w] if isinstance(w, str) else pack((w,)) for w in words]) for words in parts]
 
     def encode(self, text: str) -> list:
         """Ids of any text."""
-        return list(self.encode_all([text])[0])
+        return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()
+
+    def spelled(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' strings, each followed by a space, one after another; and the bytes of every ``counts`` of them."""
+        lengths = np.diff(self.string_ends)[ids]
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(counts)
+        return sums[ends] - sums[ends - counts], self.strings[spans(self.string_ends[ids], lengths)]
 
     def decode(self, ids) -> str:
-        names = self.names
-        return " ".join([names[i] for i in ids])
+        ids = np.asarray(ids, np.int64)
+        return self.spelled(ids, np.array([len(ids)]))[1].tobytes().decode()[:-1]
+
+
+def per_row(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where each row's part ends in what its runs have together, from the runs' lengths; one more at the start."""
+    return np.concatenate([[0], np.cumsum(lengths)])[first]
 
 
 def encode_rows(vocabulary):
     def run(batches):
         encoder = Encoder(vocabulary.value)
         words = Words(lower=False)
-        remembered = Generations(REMEMBER_RUNS)  # hash of a run between white space: its ids and its decoded text
+        remembered = Runs(REMEMBER_RUNS)
         for batch in batches:
             offsets, data = text_bytes(batch.column(1))
             for a, b in slices(offsets):
                 here = data[offsets[a]:offsets[b]]
                 starts, ends, hashes, first = words.scan(offsets[a:b + 1] - offsets[a], here)
                 distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-                packed, decoded = np.empty(len(distinct), object), np.empty(len(distinct), object)
                 raw = here.tobytes()
                 remembered.renew()
                 names = distinct.tolist()
-                new = remembered.missing(names, run_bytes)
-                spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
-                for i, ids in zip(new, encoder.encode_all([raw[s:e].decode() for s, e in spans])):
-                    entry = array.array("I", ids).tobytes(), encoder.decode(ids)
-                    remembered.put(names[i], entry, run_bytes(entry))
-                for i, entry in enumerate(map(remembered.young.__getitem__, names)):
-                    packed[i], decoded[i] = entry
-                some = np.array([len(x) for x in packed], np.int64) > 0
-                ids, texts = [], []
-                for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
-                    which_here = which[x:y]
-                    which_here = which_here[some[which_here]]
-                    ids.append(b"".join(packed[which_here].tolist()))
-                    texts.append(" ".join(decoded[which_here].tolist()))
+                new = remembered.missing(names)
+                if new:
+                    places = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
+                    packed = encoder.encode_all([raw[s:e].decode() for s, e in places])
+                    ids = np.frombuffer(b"".join(packed), "<u4")
+                    counts = np.array([len(x) // 4 for x in packed], np.int64)
+                    sizes, text = encoder.spelled(ids, counts)
+                    remembered.add([names[i] for i in new], counts, ids, sizes, text)
+                counts, ids, sizes, text = remembered.gather(names, which)
+                id_ends, text_ends = per_row(counts, first), per_row(sizes, first)
+                filled = np.flatnonzero(np.diff(text_ends))  # all rows with ids: their text ends with a space
+                keep = np.ones(len(text), bool)
+                keep[text_ends[1:][filled] - 1] = False
+                text_ends = text_ends - np.concatenate([[0], np.cumsum(np.diff(text_ends) > 0)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                     pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(id_ends)),
+                     buffers(pa.binary(), 4 * id_ends, ids), buffers(pa.string(), text_ends, text[keep])],
                     ["doc_id", "n_tokens", "ids", "decoded"])
         del remembered, encoder, words  # the worker lives on
         release()
     return run
 
 
+def buffers(kind: pa.DataType, offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    if offsets[-1] >= 1 << 31:  # a slice is small or one text, which Spark holds in 2 GB itself
+        raise ValueError("ids of one text beyond 2 GB")
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)),
+                                                          pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def read_vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as file:
         return Vocabulary(file.read())

@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from spectraloom.llm.common import release
+from spectraloom.llm.common import grown, release, spans
 from spectraloom.llm.textscan import BASE, byte_numbers, mix
 
 #: Letters and numbers that Unicode has had since version 17; the pattern is of version 16, where they
@@ -112,12 +112,6 @@ def join_bytes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), offsets
 
 
-def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All positions start, start + 1, ... of all spans."""
-    stops = np.cumsum(lengths)
-    return np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(starts - (stops - lengths), lengths)
-
-
 class Vocabulary:
     """Ranked byte strings with their perfect hash; small enough to be sent to every executor."""
 
@@ -204,11 +198,6 @@ class Remembered:
         return self.flat[spans(self.starts[at], counts)], counts
 
 
-def grown(array: np.ndarray, n: int) -> np.ndarray:
-    """The array with room for n numbers."""
-    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), np.int64)])
-
-
 def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
     """Ids of a pre-token: a heap of rankable neighbours over a linked list of parts.
 

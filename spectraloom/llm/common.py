@@ -95,6 +95,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]
 
 
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions start, start + 1, ... of all spans."""
+    stops = np.cumsum(lengths)
+    return np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(starts - (stops - lengths), lengths)
+
+
+def grown(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n numbers."""
+    return array if n <= len(array) else np.concatenate(
+        [array, np.zeros(max(n, 3 * len(array) // 2) - len(array), array.dtype)])
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
     """Row ranges of about ``limit`` bytes each, at least one row."""
     row, rows = 0, len(offsets) - 1

@@ -154,15 +154,16 @@ def test_vectors_against_brute_force(spark):
 
 
 def test_recall_on_the_given_table(spark):
-    frame = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 4000")
-    rows = sorted((r.vec_id, r.embedding) for r in frame.collect())
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = sorted((r.vec_id, r.embedding) for r in frame.select("vec_id", "embedding").collect())
     x = np.array([v for _, v in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     links = x @ x.T >= 0.95
     np.fill_diagonal(links, False)
     found = sorted(multi_index.near_vectors(frame).collect())
     mine = np.array([r.n_links for r in found])
-    assert (mine <= links.sum(1)).all() and mine.sum() >= 0.9 * links.sum()
+    print(links.sum(), mine.sum())
+    assert links.sum() > 100 and (mine <= links.sum(1)).all() and mine.sum() >= 0.9 * links.sum()
 
 
 def test_traversal_is_in_order_of_distance():

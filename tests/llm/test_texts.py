@@ -73,9 +73,16 @@ def test_native_operators_run_no_python(name, spark, sf_dir):
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_native_operators_on_odd_rows_equal_their_sql(name, spark, odd, tmp_path):
+    labels = [(1, 1, 0), (2, 0, None), (2, 1, 1), (3, None, 1), (None, 1, 1), (9, 0, 0), (77, 1, 1)]
+    vectors = [(i, [float((i * k) % 7 - 3) for k in range(32)], i % 3 or None) for i in range(80)] + [
+        (80, None, 1), (81, [math.nan] * 32, 1), (82, [None] * 32, None), (83, [math.inf] * 32, 2)]
     odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for table in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
     assert differences(queries.QUERIES[name](spark, str(tmp_path)), con, queries.SQL[name]) == []
 
 
