@@ -1,8 +1,8 @@
 """Classifiers by method name. Training data: an array column and a label 0..K-1.
 
 Every trainer returns a ``PipelineModel`` that adds a ``prediction`` column. Three methods are not the
-exact single-machine algorithm but its distributed counterpart: the kernel SVM (random Fourier features and
-linear one-vs-rest machines), the perceptron (full-batch subgradient steps) and the depth limit of forests.
+exact single-machine algorithm but its distributed counterpart: the kernel SVM beyond its number of landmarks, the
+perceptron beyond the rows of one block (averaged stochastic steps) and the depth limit of forests.
 """
 
 from __future__ import annotations
@@ -14,15 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from spectraloom import schema
-from spectraloom.functions.kernels import matrices
-from spectraloom.models.stages import LinearScores, RandomFourierFeatures, ToVector, WeightedVote
+from spectraloom.models import kernel_machines
+from spectraloom.models.stages import LinearScores, ToVector, WeightedVote
 from spectraloom.session import ensure_checkpoint_dir
 
 MAX_DEPTH = 30  # limit of MLlib trees
@@ -51,16 +50,10 @@ def kernel_width(df: DataFrame, intensities: str = "intensities") -> float:
 
 
 def _svm(df, params, seed):
-    n, _ = _size(df)
-    fourier = RandomFourierFeatures(inputCol="intensities", outputCol="features", gamma=kernel_width(df),
-                                    numFeatures=params.get("num_features", 256), seed=seed)
-    machine = LinearSVC(regParam=1.0 / (float(params.get("C", 1000.0)) * n), maxIter=params.get("max_iter", 20))
-    many = OneVsRest(classifier=machine, parallelism=params.get("parallelism", 4))
-    projected = fourier.transform(df).select("features", "label").persist()
-    try:
-        return PipelineModel([fourier, many.fit(projected)])
-    finally:
-        projected.unpersist()
+    df = df.where(F.col("intensities").isNotNull())
+    marks = params.get("landmarks", params.get("num_features", kernel_machines.LANDMARKS))
+    return PipelineModel([kernel_machines.fit_machines(
+        df, kernel_width(df), float(params.get("C", 1000.0)), marks, seed, params.get("max_iter", kernel_machines.STEPS))])
 
 
 def _random_forest(df, params, seed):
@@ -81,60 +74,79 @@ def _logistic_regression(df, params, seed):
     return _with_vector(df, regression.fit)
 
 
-def _perceptron_sums(df: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """Sum over the misclassified rows of (sign * point) per class, and the loss.
+PERCEPTRON_ROWS = 50_000  # that one task passes over by itself
+PERCEPTRON_PASSES = 5     # between two averages
 
-    Every task sends one row of classes x points numbers; they are added up in two levels.
-    """
-    classes, width = weights.shape
 
-    def partial(batches):
-        total = np.zeros((classes, width))
+def perceptron_passes(weights: np.ndarray, x: np.ndarray, signs: np.ndarray, step: float, alpha: float,
+                      passes: int) -> tuple[np.ndarray, float]:
+    """Single-row steps of all classes' machines, and the mean loss of the last pass.
+
+    The decay is kept as one factor per row, so that a step touches the machines that err only.
+    """
+    weights, factor = weights.copy(), 1.0
+    for _ in range(passes):
         loss = 0.0
-        for batch in batches:
-            labels = batch.column("label").to_numpy(zero_copy_only=False).astype(int)
-            for rows, x in matrices(batch.column("intensities")):
-                x = np.hstack([x, np.ones((len(x), 1))])
-                sign = np.where(labels[rows, None] == np.arange(classes), 1.0, -1.0)
-                margin = sign * (x @ weights.T)
-                wrong = margin <= 0
+        for row, sign in zip(x, signs):
+            margin = sign * (weights @ row) * factor
+            factor *= 1.0 - step * alpha
+            wrong = margin <= 0
+            if wrong.any():
                 loss -= float(margin[wrong].sum())
-                total += (sign * wrong).T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([np.append(total.ravel(), loss)], pa.list_(pa.float64()))], names=["s"])
-
-    sums = df.select("intensities", "label").mapInArrow(partial, "s array<double>")
+                weights[wrong, :] += (step / factor) * sign[wrong, None] * row
+    return weights * factor, loss / max(len(x), 1)
+
+
+def _perceptron_round(blocks: DataFrame, weights: np.ndarray, step: float, alpha: float, passes: int):
+    """Weights averaged over the tasks by their rows, and the mean loss."""
+    classes = len(weights)
+
+    def run(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        x = np.concatenate([b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1) for b in held])
+        labels = np.concatenate([b.column("label").to_numpy(zero_copy_only=False) for b in held]).astype(int)
+        signs = np.where(labels[:, None] == np.arange(classes), 1.0, -1.0)
+        new, loss = perceptron_passes(weights, np.hstack([x, np.ones((len(x), 1))]), signs, step, alpha, passes)
+        sums = np.concatenate([new.ravel(), [loss, 1.0]]) * len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    sums = blocks.mapInArrow(run, "s array<double>")
     vectors = sums.select(array_to_vector("s").alias("s"), (F.spark_partition_id() % 64).alias("part"))
     level = vectors.groupBy("part").agg(Summarizer.sum(F.col("s")).alias("s"))
-    return level.agg(Summarizer.sum(F.col("s")).alias("s")).first()["s"].toArray()
+    total = level.agg(Summarizer.sum(F.col("s")).alias("s")).first()["s"].toArray()
+    return (total[:-2] / total[-1]).reshape(weights.shape), total[-2] / total[-1]
 
 
 def _perceptron(df, params, seed):
-    """Averaged full-batch subgradient steps on the perceptron loss with weight decay ``alpha``.
+    """Stochastic steps on the perceptron loss with weight decay ``alpha``, one machine per class against the rest.
 
-    The step size falls with the round, as usual for a strongly convex loss.
+    Rows are dealt to blocks of about PERCEPTRON_ROWS by a hash of their content and passed over in the order of that
+    hash, so the result does not depend on how the table is partitioned. After PERCEPTRON_PASSES passes the blocks'
+    weights are averaged by their rows. The step is cut to a fifth when the loss has not fallen for that many passes;
+    below 1e-6 the training ends, or after ``max_iter`` passes. Up to PERCEPTRON_ROWS rows it is one machine's training.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read once per round
+    df = df.where(F.col("intensities").isNotNull())
     n, classes = _size(df)
     points = df.select(F.max(F.size("intensities"))).first()[0]
-    alpha = float(params.get("alpha", 0.1))
-    rounds, tolerance = params.get("max_iter", 30), params.get("tol", 1e-3)
-    weights = np.zeros((classes, points + 1))
-    average = np.zeros_like(weights)
-    best, waited = math.inf, 0
-    for t in range(1, rounds + 1):
-        sums = _perceptron_sums(df, weights)
-        loss = sums[-1] / n
-        step = 1.0 / (alpha * t)
-        weights = (1.0 - step * alpha) * weights + step * sums[:-1].reshape(weights.shape) / n
-        average += weights
-        if t > 1:
-            waited = 0 if loss < best * (1 - tolerance) else waited + 1
+    alpha, tolerance = float(params.get("alpha", 0.1)), params.get("tol", 1e-3)
+    step, least, most = params.get("eta0", 0.001), params.get("least_step", 1e-6), params.get("max_iter", 500)
+    blocks = max(1, math.ceil(n / PERCEPTRON_ROWS))
+    hashed = df.select(F.xxhash64("intensities", "label", F.lit(seed)).alias("h"), F.col("intensities").alias("x"), "label")
+    dealt = hashed.repartition(blocks, "h").sortWithinPartitions("h", "label").drop("h").persist(StorageLevel.MEMORY_AND_DISK)
+    weights, best, passed = np.zeros((classes, points + 1)), math.inf, 0
+    try:
+        while passed < most and step > least:
+            passes = min(PERCEPTRON_PASSES, most - passed)
+            weights, loss = _perceptron_round(dealt, weights, step, alpha, passes)
+            passed += passes
+            if loss > best - tolerance:
+                step /= 5.0
             best = min(best, loss)
-            if waited >= 5:
-                break
-    df.unpersist()
-    return PipelineModel([LinearScores(inputCol="intensities", outputCol="prediction",
-                                       weights=(average / t).tolist())])
+    finally:
+        dealt.unpersist()
+    return PipelineModel([LinearScores(inputCol="intensities", outputCol="prediction", weights=weights.tolist())])
 
 
 def _boosting(df, params, seed):

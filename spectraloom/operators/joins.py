@@ -6,23 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from spectraloom.sinks.shared import SharedTables
+
 SMALL_TABLE_ROWS = 20_000
-SMALL_TABLE_CHARACTERS = 64 * 1024 * 1024
+SMALL_TABLE_BYTES = 32 * 1024 * 1024  # as written, compressed
 
 
 def join_small(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
                max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Join a table that is expected to be small, NULL keys matching NULL keys.
 
-    Its rows are fetched up to the limit. Within it, and within a size limit, they are broadcast, so
-    ``df`` is not shuffled and ``table`` is computed once; beyond it the tables meet in a shuffle join.
+    It is written to the shared folder, so it is computed once. Up to a number of rows and bytes it is broadcast, and
+    ``df`` is not shuffled; beyond it the tables meet in a shuffle join. Its rows never pass through the driver.
     """
     renamed = table.withColumnsRenamed({key: f"_right_{key}" for key in on})
-    rows = renamed.take(max_rows + 1)
-    if len(rows) <= max_rows and len(repr(rows)) <= SMALL_TABLE_CHARACTERS:
-        renamed = F.broadcast(df.sparkSession.createDataFrame(rows, renamed.schema, verifySchema=False))
-    condition = [df[key].eqNullSafe(renamed[f"_right_{key}"]) for key in on]
-    return df.join(renamed, condition, how).drop(*[f"_right_{key}" for key in on])
+    kept = SharedTables(df.sparkSession, "small").keep(renamed, "table")
+    if kept.limit(max_rows + 1).count() <= max_rows and written_bytes(kept) <= SMALL_TABLE_BYTES:
+        kept = F.broadcast(kept)
+    condition = [df[key].eqNullSafe(kept[f"_right_{key}"]) for key in on]
+    return df.join(kept, condition, how).drop(*[f"_right_{key}" for key in on])
+
+
+def written_bytes(kept: DataFrame) -> int:
+    """Size of a written table's files, as the planner knows it."""
+    return int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def assert_unique(df: DataFrame, key: str = "spectrum_id") -> DataFrame:

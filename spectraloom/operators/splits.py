@@ -90,6 +90,23 @@ def stratified_folds(df: DataFrame, label: str, k: int = 5, key: str = "spectrum
     return folded.withColumn(output, fold).drop("cuts")
 
 
+def cap_per_class(df: DataFrame, label: str, most: int, key: str = "spectrum_id", seed: int = 0) -> DataFrame:
+    """At most ``most`` rows of every class, those with the smallest hashes of their key; NULL is a class too."""
+    h = order_hash(F.col(key), seed)
+    cuts = cut_hashes(df.select(label, h.alias("h")), [label], lambda n: F.array(F.lit(most).cast("long")))
+    capped = join_small(df, cuts, [label])
+    cut = F.get("cuts", F.lit(0))
+    return capped.where(cut.isNull() | (h < cut)).drop("cuts")
+
+
+def sample_n(df: DataFrame, n: int, key: str = "spectrum_id", seed: int = 0) -> DataFrame:
+    """The ``n`` rows with the smallest hashes of their key; all rows if there are no more."""
+    h = order_hash(F.col(key), seed)
+    hashed = df.select(F.lit(0).alias("all"), h.alias("h"))
+    found = cut_hashes(hashed, ["all"], lambda total: F.array(F.lit(n).cast("long"))).first()  # one hash
+    return df.where(h < F.lit(found["cuts"][0])) if found else df
+
+
 def stack(train: DataFrame, test: DataFrame) -> DataFrame:
     """Train and test rows in one table with their role, e.g. for a joint projection."""
     return (train.withColumn("role", F.lit("train"))

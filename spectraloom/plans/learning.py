@@ -10,12 +10,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from spectraloom import schema
-from spectraloom.models import embedding, evaluate, neighbours, search
+from spectraloom.models import embedding, evaluate, neighbours, network, search
 from spectraloom.models.classifiers import get_model, predict
 from spectraloom.operators import joins, labels, metrics, signal, splits, stats
 from spectraloom.plans import views
 from spectraloom.plans.relational import TARGETS, query, rounded
 from spectraloom.plans.views import table
+from spectraloom.sinks.shared import SharedTables
 
 
 def _training_table(spark, sf_dir):
@@ -33,35 +34,37 @@ def _fitted(spark, sf_dir, method, **params):
 
 @query()
 def clf_svm(spark, sf_dir):
-    return _fitted(spark, sf_dir, schema.METHOD_SVM, num_features=256, max_iter=10)
+    return _fitted(spark, sf_dir, schema.METHOD_SVM)
 
 
 @query()
 def clf_rf(spark, sf_dir):
-    return _fitted(spark, sf_dir, schema.METHOD_RANDOM_FOREST, num_trees=10, max_depth=10)
+    return _fitted(spark, sf_dir, schema.METHOD_RANDOM_FOREST)
 
 
 @query()
 def clf_logreg(spark, sf_dir):
-    return _fitted(spark, sf_dir, schema.METHOD_LOGISTIC_REGRESSION, max_iter=30)
+    return _fitted(spark, sf_dir, schema.METHOD_LOGISTIC_REGRESSION)
 
 
 @query()
 def clf_perceptron(spark, sf_dir):
-    return _fitted(spark, sf_dir, schema.METHOD_PERCEPTRON, max_iter=10)
+    return _fitted(spark, sf_dir, schema.METHOD_PERCEPTRON)
 
 
 @query()
 def clf_adaboost(spark, sf_dir):
-    return _fitted(spark, sf_dir, schema.METHOD_BOOSTING, rounds=5, boosting_depth=3)
+    return _fitted(spark, sf_dir, schema.METHOD_BOOSTING)
 
 
 @query()
 def cv_predict(spark, sf_dir):
     rows = _training_table(spark, sf_dir).drop("role")
-    trainer = get_model(schema.METHOD_LOGISTIC_REGRESSION, {"max_iter": 10})
-    done = evaluate.cross_validate(rows, trainer, k=5)
-    return done.predictions.select("spectrum_id", "fold", "y", "y_pred")
+    done = evaluate.cross_validate(rows, get_model(schema.METHOD_LOGISTIC_REGRESSION), k=5)
+    predictions = SharedTables(spark, "folds").keep(
+        done.predictions.select("spectrum_id", "fold", "y", "y_pred"), "predictions")
+    done.close()
+    return predictions
 
 
 def _multilabel_table(spark, sf_dir):
@@ -73,7 +76,7 @@ def _multilabel_table(spark, sf_dir):
 def clf_multilabel(spark, sf_dir):
     """Binary relevance: macro scores per role."""
     rows = splits.split_by_case(_multilabel_table(spark, sf_dir), "sample")
-    trainer = get_model(schema.METHOD_SVM, {"C": 10.0, "num_features": 128, "max_iter": 10})
+    trainer = get_model(schema.METHOD_SVM, {"C": 10.0})
     models = evaluate.fit_multilabel(rows.where("role = 'train'"), trainer, len(TARGETS))
     scored = evaluate.predict_multilabel(models, rows.select("role", "targets", "intensities"))
     parts = [metrics.multilabel_metrics(scored.where(F.col("role") == role), "targets", "predicted")
@@ -83,15 +86,16 @@ def clf_multilabel(spark, sf_dir):
 
 @query()
 def clf_mlp_multilabel(spark, sf_dir):
+    """One network for all labels with the default layers; probabilities and decisions of every row."""
     rows = _multilabel_table(spark, sf_dir)
-    model = evaluate.fit_multilabel_network(rows, len(TARGETS), hidden=(16, 16), max_iter=20)
-    scored = labels.threshold_labels(evaluate.label_probabilities(model, rows))
+    model, _ = network.fit_label_network(rows, len(TARGETS))
+    scored = labels.threshold_labels(model.transform(rows))
     return scored.select("spectrum_id", "targets", "probabilities", "predicted")
 
 
 @query()
 def train_test_report(spark, sf_dir):
-    trainer = get_model(schema.METHOD_LOGISTIC_REGRESSION, {"max_iter": 30})
+    trainer = get_model(schema.METHOD_LOGISTIC_REGRESSION)
     return evaluate.train_test_report(_training_table(spark, sf_dir), trainer)[1]
 
 
@@ -100,7 +104,7 @@ def score_saved_model(spark, sf_dir):
     """Train, save, load, score: the predictions table of the test role."""
     rows = _training_table(spark, sf_dir)
     folder = evaluate.scratch_folder(spark)
-    model = get_model(schema.METHOD_LOGISTIC_REGRESSION, {"max_iter": 30}).fit(rows.where("role = 'train'"))
+    model = get_model(schema.METHOD_LOGISTIC_REGRESSION).fit(rows.where("role = 'train'"))
     evaluate.save_model(model, folder, spark, {"method": schema.METHOD_LOGISTIC_REGRESSION, "seed": 0})
     loaded, _ = evaluate.load_model(folder, spark)
     test = rows.where("role = 'test'")
@@ -158,11 +162,22 @@ def grid_search_report(spark, sf_dir):
     return search.grid_search_report(train, test, models, grids, "l_extendedprice", "l_orderkey")
 
 
+def _search_table(spark, sf_dir):
+    return signal.normalize(views.spectra(spark, sf_dir)).select(
+        "spectrum_id", F.col("label").cast("double").alias("label"), array_to_vector("intensities").alias("features"))
+
+
+SEARCH_SPACE = {"regParam": ("interval", 0.0001, 0.1), "maxIter": ("choice", [5, 10, 20, 40])}
+
+
 @query()
 def random_search_trials(spark, sf_dir):
-    rows = signal.normalize(views.spectra(spark, sf_dir)).select(
-        "spectrum_id", F.col("label").cast("double").alias("label"), array_to_vector("intensities").alias("features"))
-    space = {"regParam": ("interval", 0.0001, 0.1), "maxIter": ("choice", [5, 10])}
-    return search.random_search_trials(rows, LogisticRegression(), space,
-                                       MulticlassClassificationEvaluator(metricName="accuracy"), "spectrum_id",
-                                       n_trials=4)
+    return search.random_search_trials(_search_table(spark, sf_dir), LogisticRegression(), SEARCH_SPACE,
+                                       MulticlassClassificationEvaluator(metricName="accuracy"), "spectrum_id")
+
+
+@query()
+def adaptive_search_trials(spark, sf_dir):
+    """Ten random trials, then proposals from what is known."""
+    return search.adaptive_search_trials(_search_table(spark, sf_dir), LogisticRegression(), SEARCH_SPACE,
+                                         MulticlassClassificationEvaluator(metricName="accuracy"), "spectrum_id")

@@ -511,6 +511,20 @@ def stratified_folds(spark, sf_dir):
     return splits.stratified_folds(spectra, "label", 5, "vec_id")
 
 
+@query("""
+SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
+  ORDER BY md5('0|' || CAST(doc_id AS VARCHAR))) AS rk FROM documents) WHERE rk <= 100""")
+def cap_per_class(spark, sf_dir):
+    return splits.cap_per_class(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 100, "doc_id")
+
+
+@query("""
+SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (
+  ORDER BY md5('0|' || CAST(o_orderkey AS VARCHAR))) AS rk FROM orders) WHERE rk <= 500""")
+def sample_n(spark, sf_dir):
+    return splits.sample_n(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 500, "o_orderkey")
+
+
 @query(f"""
 WITH {SQL_META}, {SQL_POINTS}
 SELECT p.spectrum_id, m.source, CAST(p.idx AS INTEGER) AS idx, p.x AS intensities,

@@ -183,3 +183,16 @@ def test_last_n_mean_skips_unfinished_blocks(spark):
     log = spark.range(7).select(F.lit(0).alias("epoch"), F.col("id").alias("iter"), F.col("id").cast("double").alias("loss"))
     got = {r["iter"]: r["loss"] for r in stats.last_n_mean(log, ["loss"], 3).collect()}
     assert got == {2: 1.0, 5: 4.0}
+
+
+def test_caps_and_samples(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.when(F.col("id") < 600, "a").otherwise("b")).alias("c"))
+    capped = splits.cap_per_class(df, "c", 50, "id")
+    assert {r["c"]: r["count"] for r in capped.groupBy("c").count().collect()} == {"a": 50, "b": 50, None: 50}
+    again = splits.cap_per_class(df.repartition(7), "c", 50, "id")
+    assert column(capped.orderBy("id"), "id") == column(again.orderBy("id"), "id")
+    assert splits.cap_per_class(df, "c", 5000, "id").count() == 1000 and splits.cap_per_class(df, "c", 0, "id").count() == 0
+    assert splits.sample_n(df, 77, "id").count() == 77 and splits.sample_n(df, 1000, "id").count() == 1000
+    assert splits.sample_n(df.where("false"), 5, "id").count() == 0
+    other = splits.cap_per_class(df, "c", 50, "id", seed=1)
+    assert column(other.orderBy("id"), "id") != column(capped.orderBy("id"), "id")
