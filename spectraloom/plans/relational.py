@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectraloom.operators import joins, labels, metrics, scaling, splits, stats
+from spectraloom.operators import joins, labels, metrics, names, scaling, splits, stats
 from spectraloom.operators.signal import explode_points
 from spectraloom.plans import views
 from spectraloom.plans.views import SQL_LOG, SQL_META, SQL_POINTS, SQL_PREDS, SQL_PROBS, table
@@ -112,6 +112,24 @@ def first_match_label(spark, sf_dir):
         "p_partkey", "p_name", labels.first_match(F.col("p_name"), COLOURS).alias("match"))
 
 
+WORDS = [*COLOURS, *SPECIES_10, "th", "der", "tion", "é", "le"]
+
+
+@query(f"""
+SELECT p_partkey, list_extract(list_filter({WORDS}, lambda w: contains(lower(p_name), w)), 1) AS match FROM part""")
+def first_name_match(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return names.first_name(rows, "p_name", WORDS, "match").drop("p_name")
+
+
+@query(f"""
+SELECT doc_id, array_to_string(list_filter({WORDS}, lambda w: contains(lower(text), w)), ',') AS names FROM documents""")
+def names_in_documents(spark, sf_dir):
+    """Whole texts, all names at once."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return names.names_found(rows, "text", WORDS).select("doc_id", F.array_join("names", ",").alias("names"))
+
+
 @query("""
 SELECT s_suppkey AS id_in_file, s_name AS name, s_acctbal AS balance, 'suppliers' AS "group",
        'notarget' AS target, 'supplier.tsv' AS filename, 'no target' AS is_target FROM supplier
