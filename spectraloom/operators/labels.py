@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spectraloom.operators.predicates import condition
+
 
 def _literals(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -45,8 +47,14 @@ def keep_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     return df.where(F.col(column).isin(list(values)))
 
 
-def filter_rows(df: DataFrame, keep: Mapping[str, object] | None = None, query: str | None = None) -> DataFrame:
-    """Rows that match every ``column: value(s)`` entry and the free SQL predicate."""
+def filter_rows(df: DataFrame, keep: Mapping[str, object] | None = None, query: str | None = None,
+                grammar: str = "sql") -> DataFrame:
+    """Rows that match every ``column: value(s)`` entry and the free predicate.
+
+    ``grammar``: ``sql`` (an SQL expression) or ``frame`` (a data-frame query string, see ``predicates``).
+    """
+    if grammar not in ("sql", "frame"):
+        raise ValueError(f"grammar must be 'sql' or 'frame', got {grammar!r}")
     if keep:
         tests = [F.col(name).isin([values] if isinstance(values, str) or not isinstance(values, Sequence)
                                   else list(values))
@@ -55,7 +63,7 @@ def filter_rows(df: DataFrame, keep: Mapping[str, object] | None = None, query:
     if query is not None:
         if not isinstance(query, str):
             raise ValueError(f"query must be a string: {query!r}")
-        df = df.where(F.expr(query))
+        df = df.where(F.expr(query) if grammar == "sql" else condition(query))
     return df
 
 

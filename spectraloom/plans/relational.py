@@ -201,6 +201,18 @@ def dict_and_query_filter(spark, sf_dir):
     return kept.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
 
 
+@query("""
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+WHERE o_totalprice > 100000 AND o_orderstatus IN ('F', 'O') AND NOT (o_orderpriority = '5-LOW')
+  AND (0 < o_custkey AND o_custkey <= 900 OR o_orderkey NOT IN (1, 2, 3) AND o_totalprice / 2 < 90000)""")
+def query_string_filter(spark, sf_dir):
+    kept = labels.filter_rows(
+        table(spark, sf_dir, "orders"), grammar="frame",
+        query="o_totalprice > 100000 & o_orderstatus in ['F', 'O'] and not `o_orderpriority` == '5-LOW' and "
+              "(0 < o_custkey <= 900 | o_orderkey not in [1, 2, 3] & o_totalprice / 2 < 90000)")
+    return kept.select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query(f"WITH {SQL_META} SELECT spectrum_id, name, CASE WHEN name = 'casei' THEN 1 ELSE -1 END AS target FROM meta")
 def detector_target(spark, sf_dir):
     return labels.detector_target(views.meta(spark, sf_dir), "casei", "name").select("spectrum_id", "name", "target")
