@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spectraloom.llm.common import slices, text_bytes
+from spectraloom.llm.common import Scratch, slices, text_bytes
 from spectraloom.llm.quality import labelled_sample, scored_rows
 from spectraloom.llm.textscan import Words
 
@@ -218,6 +218,7 @@ def fuzzy_rows(lexicon):
 
 
 FEATURES = 7
+CITED = 1  # the feature that may only lower a score
 
 
 class Finder:
@@ -289,16 +290,34 @@ class Scorer:
 
 
 def logistic(x, y, ridge=1.0):
-    """Newton's method; weights of abuse are not negative, quotation may only lower a score."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Projected Newton steps; weights of abuse are not negative, that of quotation (``CITED``) is not positive."""
+    signs = np.ones(x.shape[1])
+    signs[CITED:CITED + 1] = -1
+    x = np.column_stack([x * signs, np.ones(len(x))])  # now no weight but the constant may be negative
+    bounded = np.append(np.ones(len(signs), bool), False)
+    penalty = np.append(np.full(len(signs), ridge), 1e-6)
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * (penalty * w * w).sum()
     w = np.zeros(x.shape[1])
-    penalty = np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        w = w - np.linalg.solve(hessian, gradient)
-    return w[:-1], w[-1]
+        free = ~(bounded & (w <= 0) & (gradient > 0))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        step = np.zeros_like(w)
+        step[free] = -np.linalg.solve(curve[np.ix_(free, free)], gradient[free])
+        length, now = 1.0, loss(w)
+        while length > 1e-6:
+            trial = np.where(bounded, np.maximum(w + length * step, 0), w + length * step)
+            if loss(trial) <= now:
+                break
+            length /= 2
+        else:
+            break
+        moved = np.abs(trial - w).max()
+        w = trial
+        if moved < 1e-10:
+            break
+    return w[:-1] * signs, w[-1]
 
 
 def sample_features(lexicon):
@@ -330,8 +349,9 @@ def score_rows(model):
 def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, label_col: str = "toxic", id_col: str = "doc_id",
         text_col: str = "text", limit: int = SAMPLE) -> Scorer:
     context = docs.sparkSession.sparkContext
-    sample = labelled_sample(docs, labels, label_col, learn, id_col, text_col, limit).withColumn(
-        "label", (F.col("label") > 0).cast("int"))
+    sample = Scratch(docs.sparkSession, "toxicity").keep(  # at most ``limit`` texts, read four times
+        labelled_sample(docs, labels, label_col, learn, id_col, text_col, limit).withColumn(
+            "label", (F.col("label") > 0).cast("int")), "sample")
     toxic, other = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not toxic or not other:
         share = (toxic + 1) / (toxic + other + 2)

@@ -1,10 +1,12 @@
 """Quality and toxicity: held-out accuracy, the automaton against edit distances, odd rows; the pipeline."""
 
 import os
+import re
 import shutil
 import subprocess
 import sys
 
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -175,3 +177,51 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
     environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True)
     assert done.stdout.split() == ["72", "False"], done.stderr[-1000:]
+
+
+def test_signs_of_the_toxicity_model():
+    """Abuse never lowers a score and quotation never raises it, also where the sample says otherwise."""
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(size=(500, toxicity.FEATURES)))
+    lean = np.array([1.0, 2.0, -1.5, 0.5, 0.0, 0.3, -0.2])
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x @ lean - 1)))).astype(float)
+    weights, constant = toxicity.logistic(x, y)
+    assert weights[toxicity.CITED] <= 0 and (np.delete(weights, toxicity.CITED) >= 0).all()
+    loss = lambda w, c: (np.logaddexp(0, x @ w + c) - y * (x @ w + c)).sum() + 0.5 * (w * w).sum()
+    best = loss(weights, constant)
+    for _ in range(300):  # no allowed change is better
+        other = weights + rng.normal(size=len(weights)) * 0.05
+        other = np.where(np.arange(len(other)) == toxicity.CITED, np.minimum(other, 0), np.maximum(other, 0))
+        assert loss(other, constant + rng.normal() * 0.05) >= best - 1e-6
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores of whole texts from the model's parts, word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels, queries.remainder(4) != 2)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    some = sorted(found, key=found.get)[-40:] + sorted(found)[:60]
+    for ident in some:
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", texts[ident]) if w]
+        weights = [model.lexicon.weight(toxicity.plain_word(w)) if toxicity.plain_word(w) else 0.0 for w in words]
+        opens = [w[:1] in toxicity.OPENING for w in words]
+        closes = [w.rstrip(".,!?;:")[-1:] in toxicity.CLOSING for w in words]
+        reports = [toxicity.plain_word(w) in toxicity.REPORT for w in words]
+        free, cited = [0.0] * len(words), 0.0
+        hits = [i for i, w in enumerate(weights) if w]
+        for i in hits:
+            low, high = max(i - toxicity.WINDOW, 0), min(i + toxicity.WINDOW + 1, len(words))
+            if any(opens[low:i + 1]) and any(closes[i:high]) or any(reports[max(i - 3, 0):i]):
+                cited += weights[i]
+            else:
+                free[i] = weights[i]
+        total = sum(free)
+        window = max([sum(free[max(i - toxicity.WINDOW, 0):i + toxicity.WINDOW + 1]) for i in hits], default=0.0)
+        x = [np.log1p(total), np.log1p(cited), np.log1p(window), max([free[i] for i in hits], default=0.0),
+             np.log1p(sum(f > 0 for f in free)), np.log1p(1000 * total / max(len(words), 1)) / 4, float(total > 0)]
+        if not hits:
+            x = [0.0] * toxicity.FEATURES
+        expected = 1 / (1 + np.exp(-(np.dot(x, model.coefficients) + model.constant)))
+        assert abs(found[ident] - expected) < 1e-6, ident
