@@ -6,7 +6,6 @@ import shutil
 import subprocess
 import sys
 
-
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
