@@ -19,6 +19,7 @@ The next of the last document is the first one; a single document follows itself
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -119,16 +120,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string")
 
 
+def cuts_below(cuts: list[int], value):
+    """How many of the sorted cuts are below the value: first among every ``step``-th one, then among those between."""
+    step = max(1, math.isqrt(len(cuts)))
+    numbers = lambda some: F.array(*[F.lit(c) for c in some]).cast("array<bigint>")
+    below = lambda some: F.size(F.filter(some, lambda c: c < value))
+    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    whole = below(numbers([group[-1] for group in groups]))  # groups that are below as a whole
+    group = F.coalesce(F.get(F.array(*[numbers(g) for g in [*groups, []]]), whole), numbers([]))
+    return F.least(whole * step, F.lit(len(cuts))) + below(group)
+
+
 def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     """``run(batches)`` over (part, guest, doc_id, text) rows: partitions in descending order of id, each followed
-    by the first document of the next one (``guest``)."""
+    by the first document of the next one (``guest``). A part is a partition of its own."""
     spark = docs.sparkSession
     parts = max(1, total_bytes(docs) // PARTITION_BYTES)
     ids = docs.select("doc_id").where("doc_id is not null")
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if (
         parts > 1) else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    above = F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))
+    above = cuts_below([int(c) for c in cuts], F.col("doc_id"))
     placed = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1))
                              .otherwise(F.lit(len(cuts)) - above).cast("int"))
     # the head of each partition: a row per partition
@@ -139,7 +150,7 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     first = placed.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("head")))
     both = placed.withColumn("guest", F.lit(False)).select("part", "guest", "doc_id", "text").unionByName(
         first.select(F.col("host").alias("part"), F.lit(True).alias("guest"), "doc_id", "text"))
-    return (both.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
+    return (both.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
             .mapInArrow(run, schema))
 
 

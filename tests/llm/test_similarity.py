@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from spectraloom.llm import chunking, jaccard, multi_index
 from spectraloom.llm.common import Scratch
 from spectraloom.llm.graph import components
@@ -262,3 +264,11 @@ def test_containment_is_symmetric(pair):
         data = np.frombuffer(x.encode(), np.uint8)
         sets += chunking.chunk_sets(np.array([0, len(data)]), data, chunking.gear_table())
     assert chunking.containment(*sets) == chunking.containment(*sets[::-1])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 99, 100])
+def test_cuts_are_counted_in_two_steps(spark, n):
+    rng = np.random.default_rng(n)
+    cuts = sorted({int(c) for c in rng.integers(-50, 50, n)})
+    frame = spark.range(-60, 60).withColumn("below", chunking.cuts_below(cuts, F.col("id")))
+    assert all(r.below == sum(c < r.id for c in cuts) for r in frame.collect())
