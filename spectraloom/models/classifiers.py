@@ -1,8 +1,8 @@
 """Classifiers by method name. Training data: an array column and a label 0..K-1.
 
-Every trainer returns a ``PipelineModel`` that adds a ``prediction`` column. Three methods are not the
-exact single-machine algorithm but its distributed counterpart: the kernel SVM beyond its number of landmarks, the
-perceptron beyond the rows of one block (averaged stochastic steps) and the depth limit of forests.
+Every trainer returns a ``PipelineModel`` that adds a ``prediction`` column. Three methods are the exact
+single-machine algorithm only up to a size, and its distributed counterpart beyond: the kernel SVM beyond its number of
+landmarks, the perceptron and the forest beyond the rows of one block.
 """
 
 from __future__ import annotations
@@ -14,18 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from spectraloom import schema
-from spectraloom.models import kernel_machines
+from spectraloom.models import forest, kernel_machines
 from spectraloom.models.stages import LinearScores, ToVector, WeightedVote
 from spectraloom.session import ensure_checkpoint_dir
 
-MAX_DEPTH = 30  # limit of MLlib trees
-
 
 def _with_vector(df: DataFrame, fit) -> PipelineModel:
     to_vector = ToVector(inputCol="intensities", outputCol="features")
@@ -57,9 +55,8 @@ def _svm(df, params, seed):
 
 
 def _random_forest(df, params, seed):
-    depth = params.get("max_depth") or MAX_DEPTH
-    forest = RandomForestClassifier(numTrees=params.get("num_trees", 100), maxDepth=min(int(depth), MAX_DEPTH), seed=seed)
-    return _with_vector(df, forest.fit)
+    depth = params.get("max_depth")
+    return PipelineModel([forest.fit_forest(df, params.get("num_trees", 100), None if depth is None else int(depth), seed)])
 
 
 def _logistic_regression(df, params, seed):
