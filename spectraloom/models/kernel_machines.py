@@ -10,7 +10,8 @@ one scan adds up gradients and curvatures per pair, which are solved pair by pai
 compares a few step lengths. What the driver holds is a row of weights per pair.
 
 Scale. Two scans per step, some dozens of steps whatever the number of rows. A task's sums are pairs x landmarks^2 numbers, so
-rows are read in large slices (``SLICE_ROWS`` a task). The landmarks are a bounded sample by hash of the row's content.
+rows are read in large slices (``SLICE_ROWS`` a task). Of a table of up to ``APART_ROWS`` rows each pair's go to one
+task, which takes the same steps. The landmarks are a bounded sample by hash of the row's content.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from spectraloom.models.array_stage import ArrayStage
 
 LANDMARKS = 512
 SLICE_ROWS = 50_000
+APART_ROWS = 5_000      # up to so many rows in all, each machine is trained by one task
 CORNERS = (2.0, 0.5, 0.05)  # half widths of the rounded corner, one after another; the first takes in a margin of 0
 STEPS = 25              # Newton steps at most per corner
 SETTLED = 1e-6          # relative gain of a step below which a machine is done
@@ -114,6 +116,37 @@ def batch_rows(batches, width: int):
             yield batch.column("label").to_numpy(zero_copy_only=False), z
 
 
+def direction_of(weights: np.ndarray, slope: np.ndarray, curve: np.ndarray, c: float) -> np.ndarray:
+    """Newton direction from the sums of slopes and curvatures."""
+    plain = np.ones(len(weights))
+    plain[-1] = 0.0  # the offset is free
+    return -np.linalg.solve(c * curve + np.eye(len(weights)), plain * weights + c * slope)  # for the offset a brake only
+
+
+def better_step(weights: np.ndarray, direction: np.ndarray, loss: float, along: np.ndarray, c: float):
+    """Weights after the best step length, and whether the machine still gains."""
+    now = c * loss + 0.5 * float(weights[:-1] @ weights[:-1])
+    trial = weights + LENGTHS[:, None] * direction
+    then = c * along + 0.5 * (trial[:, :-1] ** 2).sum(axis=1)
+    best = int(then.argmin())
+    return trial[best] if then[best] < now else weights, now - then[best] > SETTLED * abs(now)
+
+
+def train_machine(z: np.ndarray, sign: np.ndarray, c: float, steps: int) -> np.ndarray:
+    """One pair's machine from all rows of its classes."""
+    weights = np.zeros(z.shape[1])
+    for corner in CORNERS:
+        for _ in range(steps):
+            loss, slope, curve = rounded_hinge(sign * (z @ weights), corner)
+            bent = z[curve > 0] * np.sqrt(curve[curve > 0])[:, None]
+            direction = direction_of(weights, z.T @ (sign * slope), bent.T @ bent, c)
+            at = (sign * (z @ weights))[:, None] + (sign * (z @ direction))[:, None] * LENGTHS
+            weights, gains = better_step(weights, direction, float(loss.sum()), rounded_hinge(at, corner)[0].sum(axis=0), c)
+            if not gains:
+                break
+    return weights
+
+
 def newton_directions(rows: DataFrame, named: dict, weights: np.ndarray, open_pairs: list[int], c: float,
                       corner: float) -> dict[int, tuple[float, np.ndarray]]:
     """Per open pair: the sum of losses and the direction, from one scan; solved where the sums are."""
@@ -149,12 +182,7 @@ def newton_directions(rows: DataFrame, named: dict, weights: np.ndarray, open_pa
         for j, packed in totals.items():
             upper = np.zeros((width, width))
             upper[np.triu_indices(width)] = packed[1 + width:]
-            curve = c * (upper + upper.T - np.diag(np.diag(upper)))
-            plain = np.ones(width)
-            plain[-1] = 0.0  # the offset is free
-            slope = plain * held[j] + c * packed[1:1 + width]
-            curve[np.diag_indices(width)] += 1.0  # for the offset a brake only
-            direction = -np.linalg.solve(curve, slope)
+            direction = direction_of(held[j], packed[1:1 + width], upper + upper.T - np.diag(np.diag(upper)), c)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([j], pa.int32()), pa.array([float(packed[0])]), pa.array([direction.tobytes()], pa.binary())],
                 names=["pair", "loss", "direction"])
@@ -188,6 +216,28 @@ def losses_along(rows: DataFrame, named: dict, weights: np.ndarray, directions:
     return {r["pair"]: np.array([r[f"l{i}"] for i in range(len(LENGTHS))]) for r in added.collect()}
 
 
+def fit_pairs_apart(rows: DataFrame, classes: np.ndarray, width: int, c: float, steps: int = STEPS):
+    """The same for few rows: each pair's rows go to one task, which takes all steps of its machine."""
+    pairs = list(combinations(range(len(classes)), 2))
+    named = F.array(*[F.struct(F.lit(j).alias("pair"), F.lit(float(classes[a])).alias("one"), F.lit(float(classes[b])).alias("other"))
+                      for j, (a, b) in enumerate(pairs)])
+    mine = F.filter(named, lambda p: (p["one"] == F.col("label")) | (p["other"] == F.col("label")))
+
+    def run(key, table):
+        z = table.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        weights = train_machine(z, table.column("sign").to_numpy(), c, steps)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([weights.tolist()], pa.list_(pa.float64()))],
+                        names=["pair", "weights"])
+
+    each = rows.select("label", "z", F.explode(mine).alias("p")).select(
+        F.col("p.pair").alias("pair"), F.when(F.col("label") == F.col("p.one"), 1.0).otherwise(-1.0).alias("sign"), "z")
+    found = each.groupBy("pair").applyInArrow(run, "pair int, weights array<double>").collect()  # one row per pair
+    weights = np.zeros((len(pairs), width))
+    for r in found:
+        weights[r["pair"]] = r["weights"]
+    return weights, pairs
+
+
 def fit_pairs(rows: DataFrame, classes: np.ndarray, width: int, c: float, steps: int = STEPS):
     """(weights, pairs): a row of weights per pair of classes, the offset last."""
     pairs = list(combinations(range(len(classes)), 2))
@@ -201,13 +251,8 @@ def fit_pairs(rows: DataFrame, classes: np.ndarray, width: int, c: float, steps:
             along = losses_along(rows, named, weights, moves, corner)
             still = []
             for j, (loss, direction) in found.items():
-                now = c * loss + 0.5 * float(weights[j, :-1] @ weights[j, :-1])
-                trial = weights[j] + LENGTHS[:, None] * direction
-                then = c * along[j] + 0.5 * (trial[:, :-1] ** 2).sum(axis=1)
-                best = int(then.argmin())
-                if then[best] < now:
-                    weights[j] = trial[best]
-                if now - then[best] > SETTLED * abs(now):
+                weights[j], gains = better_step(weights[j], direction, loss, along[j], c)
+                if gains:
                     still.append(j)
             open_pairs = still
             if not open_pairs:
@@ -228,7 +273,8 @@ def fit_machines(df: DataFrame, gamma: float, c: float, landmarks: int = LANDMAR
     rows = described(df, marks, basis, gamma).coalesce(slices).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         width = basis.shape[1] + 1
-        weights, pairs = fit_pairs(rows, classes, width, c, steps) if len(classes) > 1 else (np.zeros((0, width)), [])
+        fit = fit_pairs_apart if total <= APART_ROWS else fit_pairs
+        weights, pairs = fit(rows, classes, width, c, steps) if len(classes) > 1 else (np.zeros((0, width)), [])
     finally:
         rows.unpersist()
     return LandmarkMachines({"landmarks": marks, "basis": basis, "weights": weights, "classes": classes,

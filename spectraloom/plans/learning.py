@@ -101,8 +101,8 @@ def train_test_report(spark, sf_dir):
 
 @query()
 def score_saved_model(spark, sf_dir):
-    """Train, save, load, score: the predictions table of the test role."""
-    rows = _training_table(spark, sf_dir)
+    """Train, save, load, score: the predictions table of the test role. The rows are prepared once."""
+    rows = SharedTables(spark, "scoring").keep(_training_table(spark, sf_dir), "rows")
     folder = evaluate.scratch_folder(spark)
     model = get_model(schema.METHOD_LOGISTIC_REGRESSION).fit(rows.where("role = 'train'"))
     evaluate.save_model(model, folder, spark, {"method": schema.METHOD_LOGISTIC_REGRESSION, "seed": 0})

@@ -62,12 +62,16 @@ def test_rounded_corner():
 
 
 def test_slices_do_not_matter(spark, monkeypatch):
+    """Each machine in one task, one slice for all machines, four slices."""
     x, y = overlapping(200, 3, 4, 2)
     df = frame(spark, x, y)
-    one = get_model(schema.METHOD_SVM, {"C": 10.0}).fit(df).stages[0]
-    monkeypatch.setattr(kernel_machines, "SLICE_ROWS", 50)
-    four = get_model(schema.METHOD_SVM, {"C": 10.0}).fit(df).stages[0]
-    np.testing.assert_allclose(one.arrays["weights"], four.arrays["weights"], rtol=1e-3, atol=1e-4)
+    found = []
+    for apart, rows in ((1000, 1000), (0, 1000), (0, 50)):
+        monkeypatch.setattr(kernel_machines, "APART_ROWS", apart)
+        monkeypatch.setattr(kernel_machines, "SLICE_ROWS", rows)
+        found.append(get_model(schema.METHOD_SVM, {"C": 10.0}).fit(df).stages[0].arrays["weights"])
+    for other in found[1:]:
+        np.testing.assert_allclose(found[0], other, rtol=1e-3, atol=1e-4)
 
 
 def test_one_class_equal_rows_and_nulls(spark):
