@@ -15,8 +15,10 @@ by its hash, and ``probability`` is the expected number of copies.
 Targets of a marginal are either given weights per level or a power of the present shares (below 1: rare levels gain).
 Levels without a given weight get none.
 
-Scale. One scan sums tokens with a combine before the shuffle; raking works on the cell table alone, by sums and
-joins that Spark plans by size, and each round is written to the shared folder. Documents meet their cell's factor by
+Scale. One scan sums tokens with a combine before the shuffle; raking works on the cell table alone. The targets are
+joined to it once. Up to ``FEW_CELLS`` cells are one partition, in which a level's sums are windows, without shuffles or
+joins, and ``STRETCH`` rounds are written at a time; more are summed and joined by Spark, and each round is written. So
+the driver holds few and small plans. Documents meet their cell's factor by
 a broadcast behind a row check, else by a join. No document is moved in the first case.
 
 Defined cases: null source, language or text count as levels of their own ('' for source and language, topic ``none``)
@@ -27,7 +29,7 @@ ones, which are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spectraloom.llm.common import Scratch, small_side
 
@@ -35,6 +37,8 @@ ROUNDS = 12
 RATE = 0.7
 ROOM = 0.85    # of a level's tokens that a target may ask for
 SETTLED = 1e-14  # of a cell's tokens: a round that moves no cell by more is the last
+STRETCH = 4    # rounds between two looks at whether the cells have settled
+FEW_CELLS = 20_000  # up to so many cells a round needs no shuffle
 FILLS = 8      # steps at most in which what levels cannot give is dealt to the others
 POWER = 0.7
 SEED = "mix"
@@ -100,22 +104,32 @@ def targets_of(cells: DataFrame, scratch: Scratch, targets: dict, rate: float, r
 def rake(cells: DataFrame, scratch: Scratch, goals: dict, rounds: int = ROUNDS, most: float | None = None) -> DataFrame:
     """The cells (axes, tokens) with ``raked`` tokens, at most ``most`` times the tokens."""
     bound = F.lit(float("inf")) if most is None else F.col("tokens") * most
+    few = cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS
     raked = cells.withColumns({"raked": F.col("tokens"), "before": F.col("tokens")})
-    for _ in range(rounds):
-        raked = raked.withColumn("before", F.col("raked"))
-        for axis in AXES:
-            sums = raked.groupBy(axis).agg(
-                F.sum("raked").alias("now"), F.sum(F.when(F.col("raked") >= bound, F.col("raked")).otherwise(0.0)).alias("full"))
-            now, full, target = F.col("now"), F.col("full"), F.col("target")
-            factor = sums.join(goals[axis].select(axis, "target"), axis).select(axis, (
-                F.when((target > now) & (now > full), (target - full) / (now - full))
-                .when(now > 0, target / now).otherwise(0.0)).alias("factor"))
-            raked = raked.join(factor, axis).select(
-                *AXES, "tokens", "before", F.least(F.col("raked") * F.col("factor"), bound).alias("raked"))
-        raked = scratch.keep(raked, "raked")
+    for axis in AXES:
+        raked = raked.join(goals[axis].select(axis, F.col("target").alias(f"target_{axis}")), axis, "left")
+    raked = scratch.keep(raked, "raked")
+    for start in range(0, rounds, STRETCH):
+        raked = raked.coalesce(1) if few else raked
+        for _ in range(start, min(start + STRETCH, rounds)):
+            raked = raked.withColumn("before", F.col("raked"))
+            for axis in AXES:
+                sums = {"now": F.sum("raked"), "full": F.sum(F.when(F.col("raked") >= bound, F.col("raked")).otherwise(0.0))}
+                if few:
+                    raked = raked.withColumns({k: v.over(Window.partitionBy(axis)) for k, v in sums.items()})
+                else:
+                    raked = raked.join(raked.groupBy(axis).agg(*[v.alias(k) for k, v in sums.items()]), axis)
+                now, full, target = F.col("now"), F.col("full"), F.col(f"target_{axis}")
+                factor = (F.when((target > now) & (now > full), (target - full) / (now - full))
+                          .when(now > 0, target / now).otherwise(0.0))
+                raked = raked.where(target.isNotNull()).withColumn(
+                    "raked", F.least(F.col("raked") * factor, bound)).drop(*sums)
+            if not few:
+                raked = scratch.keep(raked, "raked")
+        raked = scratch.keep(raked, "raked") if few else raked
         if not raked.where(F.abs(F.col("raked") - F.col("before")) > SETTLED * F.col("tokens")).limit(1).count():
             break
-    return raked.drop("before")
+    return raked.select(*AXES, "tokens", "raked")
 
 
 def cells_of(plain: DataFrame) -> DataFrame:

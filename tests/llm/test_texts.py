@@ -189,6 +189,20 @@ def test_repeated_documents_come_as_often_as_their_probability(spark):
     assert found.select("doc_id").distinct().count() == 4000
 
 
+def test_mixing_takes_few_jobs_and_many_cells_give_the_same(spark, monkeypatch):
+    """The plans of all jobs are what the driver's memory goes to."""
+    rows = [(i, "word " * (i % 7 + 1), "abcdef"[i % 6], ["en", "de", "fr"][i % 11 % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    spark.sparkContext.setJobGroup("mixing", "mixing")
+    found = {r.doc_id: r.probability for r in mixing.mix_documents(docs).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mixing"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    other = {r.doc_id: r.probability for r in mixing.mix_documents(docs).collect()}
+    assert found.keys() == other.keys() and all(abs(found[i] - other[i]) < 2e-9 for i in found)
+    assert jobs < 120
+
+
 def test_mixing_odd_rows(odd, none):
     found = mixing.mix_documents(odd)
     rows = found.collect()
