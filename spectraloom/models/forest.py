@@ -8,8 +8,9 @@ Each tree sees each row as often as a hash of the row's content and the tree say
 root of the number of features per node (more, until one of them can part the rows) and splits by Gini impurity. The
 forest's class is the one with the largest mean share, the smaller one on ties.
 
-Scale. Rows travel once per tree. Subtrees are a table in the shared folder, as an unlimited forest grows with the data;
-prediction reads it in slices of bounded bytes, each sent to all tasks, and adds up shares row by row in place.
+Scale. Rows travel once per tree. Subtrees are a table in the shared folder, as an unlimited forest grows with the data.
+Up to ``SLICE_BYTES`` of them are sent to all tasks, which add up shares row by row in place; of a larger forest each
+subtree meets the rows of its leaf in one group, so a task's memory does not grow with the forest.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from spectraloom.sinks.shared import SharedTables
 
 GROUP_ROWS = 50_000
 TOP_DEPTH = 25           # of the MLlib trees, at most
-SLICE_BYTES = 64 << 20   # of subtrees that are sent to the tasks at a time
+SLICE_BYTES = 64 << 20   # of subtrees that are sent to all tasks; of more, each goes to the rows of its leaf
 SUBTREES = ("tree int, leaf int, feature array<int>, threshold array<double>, below array<int>, above array<int>, "
             "shares array<double>")
 
@@ -186,20 +187,77 @@ class DeepForest(Transformer, HasInputCol, HasOutputCol, MLWritable, MLReadable)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         classes, points = self.getOrDefault(self.numClasses), self.getInputCol()
-        context = df.sparkSession.sparkContext
-        rows = with_leaves(df, self.top, points).withColumn(
-            "_shares", F.array_repeat(F.lit(0.0), classes))
-        for first, last in self.slices():
+        rows, slices = with_leaves(df, self.top, points), list(self.slices())
+        if len(slices) > 1:
+            rows = meet_subtrees(rows, self.subtrees, points, slices[-1][1] + 1, classes)
+        else:
+            rows = rows.withColumn("_shares", F.array_repeat(F.lit(0.0), classes))
             held = {}
-            for r in self.subtrees.where(F.col("tree").between(first, last)).toLocalIterator():
-                held.setdefault(r["tree"], {})[r["leaf"]] = (
-                    np.array(r["feature"]), np.array(r["threshold"]), np.array(r["below"]), np.array(r["above"]),
-                    np.array(r["shares"]).reshape(-1, classes))
-            rows = add_shares(rows, points, context.broadcast(held), classes)
+            for r in self.subtrees.collect():  # of one slice at most
+                held.setdefault(r["tree"], {})[r["leaf"]] = subtree_of(r, classes)
+            rows = add_shares(rows, points, df.sparkSession.sparkContext.broadcast(held), classes)
         best = (F.array_position("_shares", F.array_max("_shares")) - 1).cast("double")
         return rows.withColumn(self.getOutputCol(), F.when(F.col(points).isNotNull(), best)).drop("_shares", "_leaves")
 
 
+def subtree_of(row, classes: int):
+    return (np.array(row["feature"]), np.array(row["threshold"]), np.array(row["below"]), np.array(row["above"]),
+            np.array(row["shares"]).reshape(-1, classes))
+
+
+def meet_subtrees(rows: DataFrame, subtrees: DataFrame, points: str, trees: int, classes: int) -> DataFrame:
+    """Adds ``_shares`` by sending each row once per tree to the subtree of its leaf.
+
+    No task holds more than one subtree and ``GROUP_ROWS`` rows: those of a leaf with more rows are dealt to several
+    copies of it. A row's shares are added up in the order of the trees.
+    """
+    tables = SharedTables(rows.sparkSession, "forest-scores")
+    rows = tables.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written: the numbers hold
+    parted = F.when(F.size("_leaves") > 0, F.get("_leaves", F.col("tree")).cast("int")).otherwise(F.lit(0))
+    each = rows.where(F.col(points).isNotNull()).select(
+        "_row", F.col(points).alias("x"), "_leaves", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    each = each.select("_row", "x", "tree", parted.alias("leaf"))
+    copies = tables.keep(each.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select(
+        "tree", "leaf", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("copies")), "copies")
+    each = each.join(copies, ["tree", "leaf"], "left").select(
+        "_row", "x", "tree", "leaf", F.coalesce(F.pmod(F.xxhash64("_row"), "copies"), F.lit(0)).cast("int").alias("copy"))
+    model = subtrees.where(F.col("tree") < trees).join(copies, ["tree", "leaf"], "left").withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+
+    def score(key, table: pa.Table, model: pa.Table) -> pa.Table:
+        shares = np.zeros((table.num_rows, classes))
+        if table.num_rows and model.num_rows:  # a leaf that the tree has seen no rows of gives nothing
+            subtree = subtree_of(model.to_pylist()[0], classes)
+            for some, x in matrices(table.column("x").combine_chunks()):
+                shares[some] = leaf_shares(subtree, x)
+        offsets = np.arange(table.num_rows + 1, dtype=np.int32) * classes
+        return pa.table([table.column("_row"), table.column("tree"),
+                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(shares.ravel()))],
+                        names=["_row", "tree", "part"])
+
+    def added(batches):
+        ids, parts = np.zeros(0, np.int64), np.zeros((0, classes))
+        for batch in batches:
+            new = batch.column("part").flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
+            ids, parts = np.concatenate([ids, batch.column("_row").to_numpy()]), np.concatenate([parts, new])
+            whole = len(ids) // trees  # every row has one part per tree
+            of_trees, sums = parts[:whole * trees].reshape(whole, trees, classes), np.zeros((whole, classes))
+            for t in range(trees):
+                sums += of_trees[:, t]
+            offsets = np.arange(whole + 1, dtype=np.int32) * classes
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[:whole * trees:trees]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))],
+                names=["_row", "_shares"])
+            ids, parts = ids[whole * trees:], parts[whole * trees:]
+
+    keys = ["tree", "leaf", "copy"]
+    scored = each.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(
+        score, "_row long, tree int, part array<double>")
+    sums = (scored.repartition("_row").sortWithinPartitions("_row", "tree").select("_row", "part")
+            .mapInArrow(added, "_row long, _shares array<double>"))
+    return rows.join(sums, "_row", "left").drop("_row")
+
+
 def with_leaves(df: DataFrame, top: RandomForestClassificationModel | None, points: str) -> DataFrame:
     """Adds ``_leaves``: for every tree the leaf of the parting trees, or an empty array without them."""
     if top is None:

@@ -75,6 +75,25 @@ def test_forest_learns_and_survives_saving(spark, spiral, group, monkeypatch, tm
     assert len(list(model.stages[0].slices())) > 3 and key(model) == key(loaded)
 
 
+@pytest.mark.parametrize("group", [50_000, 120])
+def test_large_forests_are_not_sent_to_tasks(spark, spiral, group, monkeypatch):
+    """The same classes when each subtree goes to its rows; nothing is broadcast then, and no slices follow each other."""
+    monkeypatch.setattr(forest, "GROUP_ROWS", group)
+    model = get_model(schema.METHOD_RANDOM_FOREST, {"num_trees": 9, "max_depth": 6}).fit(spiral)
+    rows = spiral.withColumn("intensities", F.when(F.col("spectrum_id") > 5, F.col("intensities")))
+    key = lambda: {r["spectrum_id"]: r["y_pred"] for r in predict(model, rows.union(rows)).collect()}
+    whole = key()
+    monkeypatch.setattr(forest, "SLICE_BYTES", 4000)
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value))
+    large = predict(model, rows.union(rows))
+    assert not sent and large.count() == 1800 and large.columns == [*rows.columns, "y_pred"]
+    monkeypatch.undo()
+    monkeypatch.setattr(forest, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(forest, "GROUP_ROWS", group)
+    assert key() == whole and all(whole[i] is None for i in range(6))
+
+
 def test_bootstrap_and_odd_rows(spark, spiral):
     drawn = spark.range(20_000).select(forest.times_drawn(F.col("id"), F.lit(3), 0).alias("n")).groupBy("n").count().collect()
     share = {r["n"]: r["count"] / 20_000 for r in drawn}
