@@ -1,21 +1,20 @@
 """Language-model scores from a hierarchical Pitman-Yor process.
 
-Restaurants. Every context has a restaurant; all context restaurants share one parent, whose base is uniform over
-the known tokens and one unknown. A context is the class of the previous word's last two bytes (``CLASSES`` classes;
-the start of a text has its own), so restaurants are shared by words with equal endings and their number is bounded
-while what they seat grows with the corpus.
+Restaurants. A context is the previous word, as it is; the start of a text has its own. Every context has a restaurant;
+all context restaurants share one parent, whose base is uniform over the known tokens and one unknown.
 
 Seating. A sweep draws, for every restaurant and dish, the number of tables from its conditional distribution given
 all other seats (generalised Stirling numbers; beyond ``EXACT`` customers the further customers are seated in
-steps), then the parent's tables given the customers that the contexts send. All pairs of one word are in one
-bucket, so these draws are local; the restaurants' totals are global numbers and are refreshed between rounds.
-Predictive probabilities of the last ``SAMPLES`` sweeps, each with its own totals, are averaged, so the
-probabilities of a context add up to one.
+steps), then the parent's tables given the customers that the contexts send. The restaurants' totals are global numbers
+and are refreshed between rounds. Predictive probabilities of the last ``SAMPLES`` sweeps, each with its own totals, are
+averaged, so the probabilities of a context add up to one.
 
-Spark. Words are counted once with a combine per map task. The ``HEAD`` most frequent tokens (a bounded list) are
-counted per context in every task and scored with a broadcast matrix of HEAD x CLASSES numbers, so a frequent word
-is never gathered anywhere. The occurrences of all other words go packed to buckets by word, where they are counted,
-seated and scored; sums per document come back. Buckets are sized by the corpus.
+Spark. Words are counted once with a combine per map task. A map task packs its texts: the different pairs of context and
+token with their training counts go to buckets, and the texts stay as lists of pair numbers. All pairs of a word are in
+one bucket, so the parent's draws are local. The pairs of the ``HEAD`` most frequent words (a bounded list) are dealt by
+context instead, so a frequent word is never gathered anywhere; what their contexts send is a global number like the
+totals of the restaurants. Those are a table: a round sums it by context and joins the sums to the buckets that have the
+context. At last every bucket scores its pairs, and every pack adds up its texts. Buckets are sized by the corpus.
 
 Defined cases: null text is empty; an empty text has one token, its end. Null ids are held out. Repeated rows are
 scored each. Without training documents every probability is 1. Other columns are ignored.
@@ -28,34 +27,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spectraloom.llm.common import Scratch, slices, text_bytes, total_bytes
-from spectraloom.llm.textscan import Words, lower_table, mix
+from spectraloom.llm.textscan import Words
 
-CLASSES = 512          # contexts
-HEAD = 2048            # tokens scored by the broadcast matrix
-HEAD_PARTS = 32        # tasks that seat the head
+CLASSES = 512          # contexts of a seating that is not of a bucket
+HEAD = 2048            # words whose pairs are dealt by context
 EXACT = 32             # customers of one dish up to which table counts are drawn from their exact distribution
 BURN_IN, SAMPLES, ROUNDS = 2, 3, 3
 STRENGTH = 1.0
-END = 1                # the hash that stands for the end of a text
+START, END = 0, 1      # the context of a text's first word, and the hash that stands for the end of a text
 PACK = 1_000_000       # occurrences a map task gathers before it sends them
 BUCKET_BYTES = 24 << 20
 
 
-def tokens(offsets, data, words, lower):
-    """Of all rows: token hashes with one end per row, their context classes, their rows, and rows' first tokens."""
-    starts, ends, h, first = words.scan(offsets, data)
+def tokens(offsets, data, words):
+    """Of all rows: token hashes with one end per row, their contexts (the words before), and rows' first tokens."""
+    _, _, h, first = words.scan(offsets, data)
     rows, n = len(first) - 1, len(h)
-    row = np.repeat(np.arange(rows), np.diff(first))
-    last = lower[data[ends - 1]].astype(np.uint64)
-    before = np.where(ends - starts > 1, lower[data[np.maximum(ends - 2, 0)]], 0).astype(np.uint64)
-    own = (mix(before * np.uint64(256) + last) % np.uint64(CLASSES - 1)).astype(np.int64) + 1
     token = np.full(n + rows, END, np.uint64)
-    context = np.zeros(n + rows, np.int64)
-    at = np.arange(n) + row
-    token[at] = h
-    context[at + 1] = own          # the token after a word sees that word
-    context[first[:-1] + np.arange(rows)] = 0
-    return token, context, np.repeat(np.arange(rows), np.diff(first) + 1), first + np.arange(rows + 1)
+    token[np.arange(n) + np.repeat(np.arange(rows), np.diff(first))] = h
+    first = first + np.arange(rows + 1)
+    context = np.zeros(n + rows, np.uint64)
+    context[1:] = token[:-1]
+    context[first[:-1]] = START
+    return token, context, first
 
 
 def summed(keys, counts):
@@ -65,7 +59,7 @@ def summed(keys, counts):
 
 def word_counts(batches):
     """Training tokens of a map task with their counts."""
-    words, lower = Words(), lower_table()
+    words = Words()
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     waiting, held = [], 0
 
@@ -76,7 +70,7 @@ def word_counts(batches):
     for batch in batches:
         offsets, data = text_bytes(batch.column(0))
         for a, b in slices(offsets):
-            token = tokens(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]], words, lower)[0]
+            token = tokens(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]], words)[0]
             waiting.append(np.unique(token, return_counts=True))
             held += len(waiting[-1][0])
             if held > max(PACK, len(keys)):
@@ -89,84 +83,69 @@ def word_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
 
 
-PACKS = ("pack long, bucket int, position array<int>, count array<long>, doc_id {0}, text_hash array<long>, "
-         "words binary, runs binary, context binary, ordinal binary, trained binary")
+PACKS = ("pack long, bucket int, words binary, runs binary, context binary, count binary, doc_id {0}, "
+         "train array<boolean>, first binary, pairs binary")
 
 
-def occurrences(head, buckets):
-    """Packs of a map task: head counts (bucket -1), the documents (-2) and the other tokens by bucket."""
-    order = np.argsort(head)
-    ranked, rank_of = head[order], order
+def ranks(head, token):
+    """Positions of the tokens in the sorted head, and which of them are in it."""
+    at = np.minimum(np.searchsorted(head, token), max(len(head) - 1, 0))
+    return at, head[at] == token if len(head) else np.zeros(len(token), bool)
+
 
+def occurrences(head, buckets):
+    """Packs of a map task: its pairs by bucket (those of the head: ``buckets`` and more), and its texts (-1)."""
     def run(batches):
         from pyspark import TaskContext
-        words, lower = Words(), lower_table()
-        dense = np.zeros(len(head) * CLASSES, np.int64)
+        words, kinds = Words(), {}
         serial, held, parts, ids = TaskContext.get().partitionId() << 32, 0, [], []
-        schema = None
 
-        def rows(items):
-            columns = {f.name: [] for f in schema}
-            for item in items:
-                for name in columns:
-                    columns[name].append(item.get(name))
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+        def row(**values):
+            return pa.RecordBatch.from_arrays([pa.array([values.get(name)], kind) for name, kind in kinds.items()],
+                                              names=list(kinds))
 
         def pack():
-            token, context, ordinal, trained = (np.concatenate(x) for x in zip(*parts))
-            bucket = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((token, bucket))
-            token, context, ordinal, bucket = token[by], context[by], ordinal[by], bucket[by]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            flags = np.packbits(trained[by])
-            flags = np.unpackbits(flags, count=len(by))
+            token, context, trained = (np.concatenate(x) for x in zip(*(p[:3] for p in parts)))
+            bucket = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            frequent = ranks(head, token)[1]
+            bucket[frequent] = buckets + ((context[frequent] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            by = np.lexsort((context, token, bucket))
+            token, context, bucket = token[by], context[by], bucket[by]
+            new = np.ones(len(by), bool)
+            new[1:] = (token[1:] != token[:-1]) | (context[1:] != context[:-1])
+            number = np.empty(len(by), np.uint32)
+            number[by] = np.cumsum(new) - 1
+            start = np.flatnonzero(new)
+            count = np.add.reduceat(trained[by].astype(np.int64), start).astype(np.uint32)
+            token, context = token[start], context[start]
+            cuts = np.searchsorted(bucket[start], np.arange(2 * buckets + 1))
             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if y > x:
                     unique, runs = np.unique(token[x:y], return_counts=True)
-                    yield rows([{"pack": serial, "bucket": b, "words": unique.tobytes(),
-                                 "runs": runs.astype(np.uint32).tobytes(),
-                                 "context": context[x:y].astype(np.uint16).tobytes(),
-                                 "ordinal": ordinal[x:y].astype(np.uint32).tobytes(),
-                                 "trained": np.packbits(flags[x:y]).tobytes()}])
-            ident = pa.concat_arrays([x for x, _ in ids])
-            yield rows([{"pack": serial, "bucket": -2, "doc_id": ident.to_pylist(),
-                         "text_hash": np.concatenate([x for _, x in ids])}])
-
-        documents = 0
+                    yield row(pack=serial, bucket=b, words=unique.tobytes(), runs=runs.astype(np.uint32).tobytes(),
+                              context=context[x:y].tobytes(), count=count[x:y].tobytes())
+            yield row(pack=serial, bucket=-1, doc_id=pa.concat_arrays([x for x, _ in ids]).to_pylist(),
+                      train=np.concatenate([x for _, x in ids]).tolist(),
+                      first=np.concatenate([[0], *(p[3] for p in parts)]).cumsum().astype(np.uint32).tobytes(),
+                      pairs=number.tobytes())
+
         for batch in batches:
-            if schema is None:
-                schema = pa.schema([
-                    ("pack", pa.int64()), ("bucket", pa.int32()), ("position", pa.list_(pa.int32())),
-                    ("count", pa.list_(pa.int64())), ("doc_id", pa.list_(batch.column(0).type)),
-                    ("text_hash", pa.list_(pa.int64())), *[(x, pa.binary()) for x in
-                                                           ("words", "runs", "context", "ordinal", "trained")]])
-            offsets, data = text_bytes(batch.column(3))
-            train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            hashes = batch.column(1).to_numpy()
+            kinds = kinds or {"pack": pa.int64(), "bucket": pa.int32(), **dict.fromkeys(
+                ["words", "runs", "context", "count"], pa.binary()), "doc_id": pa.list_(batch.column(0).type),
+                "train": pa.list_(pa.bool_()), "first": pa.binary(), "pairs": pa.binary()}
+            offsets, data = text_bytes(batch.column(2))
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in slices(offsets):
-                token, context, row, _ = tokens(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]],
-                                                words, lower)
-                at = np.searchsorted(ranked, token)
-                at[at == len(ranked)] = 0
-                known = ranked[at] == token if len(ranked) else np.zeros(len(token), bool)
-                trained = train[a:b][row]
-                counted = known & trained
-                if counted.any():
-                    spots = rank_of[at[counted]] * CLASSES + context[counted]
-                    dense += np.bincount(spots, minlength=len(dense))
-                rest = ~known
-                parts.append((token[rest], context[rest], row[rest] + documents, trained[rest]))
-                ids.append((batch.column(0).slice(a, b - a), hashes[a:b]))
-                held += int(rest.sum())
-                documents += b - a
+                token, context, first = tokens(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]], words)
+                sizes = np.diff(first)
+                parts.append((token, context, np.repeat(train[a:b], sizes), sizes))
+                ids.append((batch.column(0).slice(a, b - a), train[a:b]))
+                held += len(token)
                 if held >= PACK:
                     yield from pack()
-                    serial, held, documents, parts, ids = serial + 1, 0, 0, [], []
+                    serial, held, parts, ids = serial + 1, 0, [], []
         if ids:
             yield from pack()
-        if schema is not None:
-            full = np.flatnonzero(dense)
-            yield rows([{"pack": serial, "bucket": -1, "position": full.astype(np.int32), "count": dense[full]}])
     return run
 
 
@@ -174,38 +153,81 @@ def array(value, kind):
     return np.frombuffer(value.as_buffer(), kind)
 
 
-def bucket_pairs(group: pa.Table) -> pa.Table:
-    """Training counts of one bucket: its words, and per word the contexts and their counts."""
-    keys, contexts = [], []
-    for w, r, c, t in zip(group["words"], group["runs"], group["context"], group["trained"]):
-        context = array(c, np.uint16)
-        token = np.repeat(array(w, np.uint64), array(r, np.uint32))
-        trained = np.unpackbits(array(t, np.uint8), count=len(context)).astype(bool)
-        keys.append(token[trained])
-        contexts.append(context[trained])
-    token, context = np.concatenate(keys), np.concatenate(contexts).astype(np.int64)
-    unique, at = np.unique(token, return_inverse=True)
-    pair, counts = np.unique(at * CLASSES + context, return_counts=True)
-    return pairs_row(group["bucket"][0].as_py(), unique, pair, counts)
-
-
-PAIRS = "bucket int, words binary, pair binary, count binary"
-
+PAIRS = ("bucket int, words binary, contexts binary, pair binary, count binary, packs array<long>, places array<binary>")
 
-def pairs_row(bucket, words, pair, counts):
-    return pa.table({"bucket": pa.array([bucket], pa.int32()),
-                     "words": pa.array([words.astype(np.uint64).tobytes()], pa.binary()),
-                     "pair": pa.array([pair.astype(np.int64).tobytes()], pa.binary()),
-                     "count": pa.array([counts.astype(np.int64).tobytes()], pa.binary())})
 
-
-def head_pairs(group: pa.Table) -> pa.Table:
-    """The same of a part of the head: here a word is its rank."""
-    position = group["position"].to_numpy()
-    order = np.argsort(position)
-    words, at = np.unique(position[order] // CLASSES, return_inverse=True)
-    return pairs_row(group["bucket"][0].as_py(), words, at * CLASSES + position[order] % CLASSES,
-                     group["n"].to_numpy()[order])
+def bucket_pairs(group: pa.Table) -> pa.Table:
+    """One bucket: its words and contexts, its pairs (word * contexts + context) with counts, and each pack's pairs."""
+    token = [np.repeat(array(w, np.uint64), array(r, np.uint32)) for w, r in zip(group["words"], group["runs"])]
+    context = [array(c, np.uint64) for c in group["context"]]
+    words, word = np.unique(np.concatenate(token), return_inverse=True)
+    contexts, near = np.unique(np.concatenate(context), return_inverse=True)
+    pair, place = np.unique(word * len(contexts) + near, return_inverse=True)
+    counts = np.bincount(place, np.concatenate([array(c, np.uint32) for c in group["count"]]), len(pair))
+    places = np.split(place.astype(np.uint32), np.cumsum([len(c) for c in context])[:-1])
+    held = [("bucket", group["bucket"][0].as_py(), pa.int32()), ("words", words.tobytes(), pa.binary()),
+            ("contexts", contexts.tobytes(), pa.binary()), ("pair", pair.astype(np.int64).tobytes(), pa.binary()),
+            ("count", counts.astype(np.int64).tobytes(), pa.binary()),
+            ("packs", group["pack"].to_pylist(), pa.list_(pa.int64())),
+            ("places", [x.tobytes() for x in places], pa.list_(pa.binary()))]
+    return pa.table({name: pa.array([value], kind) for name, value, kind in held})
+
+
+class Bucket:
+    """The numbers of a bucket's row; ``trained`` are the pairs with a count."""
+
+    def __init__(self, row, head, buckets):
+        self.number = row["bucket"].as_py()
+        self.words, self.contexts = array(row["words"], np.uint64), array(row["contexts"], np.uint64)
+        self.pair, counts = array(row["pair"], np.int64), array(row["count"], np.int64)
+        self.trained = np.flatnonzero(counts)
+        self.counts = counts[self.trained]
+        self.word, self.context = self.pair // len(self.contexts), self.pair % len(self.contexts)
+        self.rank = ranks(head, self.words)[0] if self.number >= buckets else None
+
+    def seating(self, sums: pa.Table, totals, number):
+        """Sampled tables with the restaurants' totals of ``sums``, and the rows of ``sums`` by context."""
+        at = np.searchsorted(self.contexts, sums["key"].to_numpy().view(np.uint64))
+        table = {name: np.zeros(len(self.contexts)) for name in ("customers", "used", "t0", "t1", "t2")}
+        for name, values in table.items():
+            if name in sums.column_names:
+                values[at] = sums[name].to_numpy()
+        own = totals | {"customers": table["customers"], "tables": table["used"]}
+        sent = None if self.rank is None else [totals["head"][k][self.rank] for k in range(2)]
+        return Seating(self.pair[self.trained], self.counts, len(self.words), own,
+                       np.random.default_rng([number, self.number + 1_000_000]), sent), table
+
+
+SUMS = "kind int, bucket int, key long, t0 long, t1 long, t2 long"
+CONTEXT, WORD, PARENT = 0, 1, 2  # kinds of sums: of a context, of a head word, of all
+
+
+def sums_table(bucket, *parts):
+    """Rows (kind, bucket, key, t0, t1, t2) of (kind, keys, three numbers each)."""
+    kinds = np.concatenate([np.full(len(keys), kind, np.int32) for kind, keys, _ in parts])
+    numbers = np.concatenate([np.asarray(n, np.int64).reshape(-1, 3) for _, _, n in parts])
+    keys = np.concatenate([np.asarray(k).astype(np.int64, copy=False) if k.dtype != np.uint64 else k.view(np.int64)
+                           for _, k, _ in parts])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kinds), pa.array(np.full(len(kinds), bucket, np.int32)), pa.array(keys),
+         *[pa.array(np.ascontiguousarray(numbers[:, i])) for i in range(3)]], names=["kind", "bucket", "key", "t0", "t1", "t2"])
+
+
+def first_sums(head, buckets):
+    """Before any round: customers and dishes of the contexts, contexts of the head's words, pairs seen once and twice."""
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                held = Bucket({name: batch.column(name)[i] for name in batch.schema.names}, head, buckets)
+                context, width = held.context[held.trained], len(held.contexts)
+                customers, dishes = np.bincount(context, held.counts, width), np.bincount(context, minlength=width)
+                parts = [(CONTEXT, held.contexts, np.stack([customers, dishes, dishes], 1)),
+                         (PARENT, np.zeros(1, np.int64), [(held.counts == 1).sum(), (held.counts == 2).sum(), 0])]
+                if held.rank is not None:
+                    seen = np.bincount(held.word[held.trained], minlength=len(held.words))
+                    parts.append((WORD, held.rank, np.stack([seen] * 3, 1)))
+                yield sums_table(held.number, *parts)
+    return run
 
 
 def log_stirling(discount):
@@ -250,8 +272,9 @@ def draw_tables(customers, weight, discount, stirling, rng):
 class Seating:
     """Samples of one bucket, given the restaurants' totals."""
 
-    def __init__(self, pair, counts, words, totals, rng):
-        self.word, self.context = pair // CLASSES, pair % CLASSES
+    def __init__(self, pair, counts, words, totals, rng, head=None):
+        """``head``: customers that all buckets send to the parent and its tables, per word, if words are in several."""
+        self.word, self.context = np.divmod(pair, max(len(totals["customers"]), 1))
         d1, d0, base = totals["d1"], totals["d0"], totals["base"]
         open_root = STRENGTH + d0 * totals["root_tables"]
         all_root = STRENGTH + totals["root_customers"]
@@ -259,26 +282,30 @@ class Seating:
         one, two = log_stirling(d1), log_stirling(d0)
         tables = np.ones(len(pair), np.int64)
         self.counts, self.totals, self.samples = counts, totals, []
-        root = np.ones(words, np.int64)
+        root = np.ones(words, np.int64) if head is None else head[1]
         for sweep in range(BURN_IN + SAMPLES):
-            sent = np.bincount(self.word, tables, words).astype(np.int64)
-            others = sent[self.word] - tables
+            sent = np.bincount(self.word, tables, words).astype(np.int64) if head is None else head[0]
+            others = np.maximum(sent[self.word] - tables, 0)
             beside = np.minimum(root[self.word], others)
             parent = (others - d0 * beside + open_root * base) / all_root
             tables = draw_tables(counts, open_context[self.context] * parent, d1, one, rng)
             sent = np.bincount(self.word, tables, words).astype(np.int64)
-            root = draw_tables(sent, np.full(words, open_root * base), d0, two, rng)
+            if head is None:
+                root = draw_tables(sent, np.full(words, open_root * base), d0, two, rng)
             if sweep >= BURN_IN:
                 self.samples.append((tables, sent, root))
 
-    def predict(self, matched):
-        """Averaged predictive probabilities; ``matched`` has the restaurants' totals of the same samples."""
+    def predict(self, matched, rank=None):
+        """Averaged predictive probabilities; ``matched`` has the restaurants' totals of the same samples, and what
+        all buckets send of words of the head, by ``rank``."""
         d1, d0, base = self.totals["d1"], self.totals["d0"], self.totals["base"]
         share = STRENGTH + self.totals["customers"]
         self.left = (STRENGTH + d1 * matched["tables"]) / share  # of a context's mass, what goes to the parent
         self.added, self.parent, self.unknown = np.zeros(len(self.counts)), [], []
-        for (tables, sent, root), opened, seated in zip(self.samples, matched["root_tables"],
-                                                        matched["root_customers"]):
+        for k, ((tables, sent, root), opened, seated) in enumerate(zip(self.samples, matched["root_tables"],
+                                                                       matched["root_customers"])):
+            if rank is not None:
+                sent, root = (matched["head"][k][i][rank] for i in range(2))
             self.added += (self.counts - d1 * tables) / share[self.context] / SAMPLES
             new = (STRENGTH + d0 * opened) * base
             self.parent.append((sent - d0 * root + new) / (STRENGTH + seated))
@@ -286,127 +313,58 @@ class Seating:
         return self
 
 
-def seat(totals, number):
-    """One round over all buckets: for each sample the customers and tables per context and of the parent (-1)."""
-    def run(batches):
-        customers, tables = np.zeros((SAMPLES, CLASSES)), np.zeros((SAMPLES, CLASSES))
-        root = np.zeros((SAMPLES, 2))
-        for batch in batches:
-            for bucket, w, p, c in zip(*(batch.column(i) for i in range(4))):
-                words, pair, counts = array(w, np.uint64), array(p, np.int64), array(c, np.int64)
-                found = Seating(pair, counts, len(words), totals,
-                                np.random.default_rng([number, bucket.as_py() + 1_000_000]))
-                for k, (seated, sent, opened) in enumerate(found.samples):
-                    customers[k] += np.bincount(found.context, counts, CLASSES)
-                    tables[k] += np.bincount(found.context, seated, CLASSES)
-                    root[k] += [sent.sum(), opened.sum()]
-        for k in range(SAMPLES):
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(CLASSES + 1, k, np.int32)), pa.array(np.arange(-1, CLASSES, dtype=np.int32)),
-                pa.array(np.concatenate([root[k, :1], customers[k]]).astype(np.int64)),
-                pa.array(np.concatenate([root[k, 1:], tables[k]]).astype(np.int64))],
-                ["sample", "context", "customers", "tables"])
-    return run
-
-
-def head_scores(totals, matched):
-    """Of the head's buckets: one row per token, its log10 probability in every context and its count."""
-    def run(batches):
-        for batch in batches:
-            for bucket, w, p, c in zip(*(batch.column(i) for i in range(4))):
-                words, pair, counts = array(w, np.uint64), array(p, np.int64), array(c, np.int64)
-                found = Seating(pair, counts, len(words), totals,
-                                np.random.default_rng([ROUNDS, bucket.as_py() + 1_000_000])).predict(matched)
-                chance = sum(p[:, None] * left[None, :] for p, left in zip(found.parent, found.left)) / SAMPLES
-                chance[found.word, found.context] += found.added
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(words.astype(np.int32)), pa.array(list(np.log10(chance)), pa.list_(pa.float64())),
-                    pa.array(np.bincount(found.word, counts, len(words)).astype(np.int64))],
-                    ["rank", "scores", "n"])
-    return run
-
-
-def bucket_scores(totals, matched):
-    """Sums over the occurrences of one bucket's words, per pack: aligned with the pack's documents."""
-    def run(key, model: pa.Table, packs: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        if model.num_rows:
-            words, pair, counts = (array(model[x][0], k) for x, k in
-                                   (("words", np.uint64), ("pair", np.int64), ("count", np.int64)))
+def seat(head, buckets, totals, number):
+    """One round of a bucket: for each sample its contexts' tables beyond one a dish, and what is sent to the parent."""
+    def run(key, pairs: pa.Table, sums: pa.Table) -> pa.Table:
+        held = Bucket({name: pairs[name][0] for name in pairs.column_names}, head, buckets)
+        found, _ = held.seating(sums, totals, number)
+        beyond = np.stack([np.bincount(found.context, t - 1, len(held.contexts)) for t, _, _ in found.samples], 1)
+        live = beyond.any(axis=1)  # every dish has one table, known from the start
+        parts = [(CONTEXT, held.contexts[live], beyond[live])]
+        sent = np.stack([s for _, s, _ in found.samples], 1)
+        if held.rank is None:
+            root = [r.sum() for _, _, r in found.samples]
+            parts.append((PARENT, np.arange(2), [sent.sum(axis=0), root]))
         else:
-            words, pair, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = Seating(pair, counts, len(words), totals,
-                        np.random.default_rng([ROUNDS, bucket + 1_000_000])).predict(matched)
-        n = np.bincount(found.word, counts, len(words)) if len(words) else np.zeros(0)
-        base = np.log10((np.append(n, 0) + 0.1) / totals["base_all"])
-        parent = [np.append(p, u) for p, u in zip(found.parent, found.unknown)]
-        out = {x: [] for x in ("pack", "ordinal", "score", "base_score", "n_known")}
-        for pack, w, r, c, o in zip(packs["pack"], packs["words"], packs["runs"], packs["context"], packs["ordinal"]):
-            token, context = array(w, np.uint64), array(c, np.uint16).astype(np.int64)
-            ordinal, runs = array(o, np.uint32).astype(np.int64), array(r, np.uint32)
-            at = np.searchsorted(words, token)
-            at[at == len(words)] = 0
-            at = np.where(words[at] == token, at, len(words)) if len(words) else np.zeros(len(token), np.int64)
-            at = np.repeat(at, runs)
-            chance = sum(p[at] * left[context] for p, left in zip(parent, found.left)) / SAMPLES
-            if len(pair):
-                wanted = at * CLASSES + context
-                spot = np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)
-                chance += np.where(pair[spot] == wanted, found.added[spot], 0.0)
-            rows, here = np.unique(ordinal, return_inverse=True)
-            out["pack"].append(pack.as_py())
-            out["ordinal"].append(rows.astype(np.int32))
-            out["score"].append(np.bincount(here, np.log10(chance)))
-            out["base_score"].append(np.bincount(here, base[at]))
-            out["n_known"].append(np.bincount(here, at < len(words)).astype(np.int32))
-        kinds = {"pack": pa.int64(), "ordinal": pa.list_(pa.int32()), "score": pa.list_(pa.float64()),
-                 "base_score": pa.list_(pa.float64()), "n_known": pa.list_(pa.int32())}
-        return pa.table({x: pa.array(v, kinds[x]) for x, v in out.items()})
+            parts.append((WORD, held.rank, sent))
+        return pa.Table.from_batches([sums_table(held.number, *parts)])
     return run
 
 
-def pack_documents(key, documents: pa.Table, sums: pa.Table) -> pa.Table:
-    """One pack's documents with the sums of all buckets."""
-    ident = documents["doc_id"].combine_chunks().flatten() if documents.num_rows else pa.array([], pa.int64())
-    hashes = documents["text_hash"].combine_chunks().flatten() if documents.num_rows else pa.array([], pa.int64())
-    n = len(ident)
-    score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-    for o, s, b, k in zip(sums["ordinal"], sums["score"], sums["base_score"], sums["n_known"]):
-        at = o.values.to_numpy()
-        score[at] += s.values.to_numpy()
-        base[at] += b.values.to_numpy()
-        known[at] += k.values.to_numpy()
-    return pa.table({"doc_id": ident, "text_hash": hashes, "score": score, "base_score": base, "n_known": known})
-
+SCORES = "pack long, bucket int, score binary, count binary"
+
+
+def pair_scores(head, buckets, totals, matched, head_counts):
+    """Of one bucket: log10 probabilities of the pairs of each pack, in the pack's order, and counts of their words."""
+    def run(key, pairs: pa.Table, sums: pa.Table) -> pa.Table:
+        row = {name: pairs[name][0] for name in pairs.column_names}
+        held = Bucket(row, head, buckets)
+        found, table = held.seating(sums, totals, ROUNDS)
+        found.predict(matched | {"tables": np.stack([table[f"t{k}"] for k in range(SAMPLES)])}, held.rank)
+        n = (np.bincount(held.word[held.trained], held.counts, len(held.words)) if held.rank is None
+             else head_counts[held.rank])
+        chance = sum(p[held.word] * left[held.context] for p, left in zip(found.parent, found.left)) / SAMPLES
+        chance[held.trained] += found.added
+        score, count = np.log10(chance), n.astype(np.int64)[held.word]
+        places = [array(x, np.uint32) for x in row["places"].values]
+        return pa.table({"pack": row["packs"].values, "bucket": pa.array([held.number] * len(places), pa.int32()),
+                         "score": pa.array([score[x].tobytes() for x in places], pa.binary()),
+                         "count": pa.array([count[x].tobytes() for x in places], pa.binary())})
+    return run
 
-def score_head(head, matrix, base):
-    """Per document: tokens, and the sums over its head tokens."""
-    order = np.argsort(head)
-    ranked = head[order]
 
-    def run(batches):
-        words, lower = Words(), lower_table()
-        flat, logs = matrix.value
-        for batch in batches:
-            offsets, data = text_bytes(batch.column(3))
-            counts, sums = [np.zeros(0, np.int64)] * 2, [np.zeros(0)] * 2
-            counts, sums = [[], []], [[], []]
-            for a, b in slices(offsets):
-                token, context, row, first = tokens(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]],
-                                                    words, lower)
-                at = np.searchsorted(ranked, token)
-                at[at == len(ranked)] = 0
-                known = ranked[at] == token if len(ranked) else np.zeros(len(token), bool)
-                rank, row, context = order[at[known]] if len(ranked) else at[known], row[known], context[known]
-                counts[0].append(np.diff(first))
-                counts[1].append(np.bincount(row, minlength=b - a))
-                sums[0].append(np.bincount(row, flat[rank * CLASSES + context], b - a))
-                sums[1].append(np.bincount(row, logs[rank], b - a))
-            join = [np.concatenate(x) if x else np.zeros(0) for x in (*counts, *sums)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), batch.column(2), pa.array(join[0].astype(np.int64)),
-                pa.array(join[1].astype(np.int64)), pa.array(join[2].astype(float)), pa.array(join[3].astype(float))],
-                ["doc_id", "text_hash", "train", "n_tokens", "n_known", "score", "base_score"])
+def pack_documents(base_all):
+    """One pack's documents: sums over the pairs of their tokens."""
+    def run(key, documents: pa.Table, scores: pa.Table) -> pa.Table:
+        order = np.argsort(scores["bucket"].to_numpy())
+        score, count = (np.concatenate([array(scores[x][int(i)], kind) for i in order])
+                        for x, kind in (("score", np.float64), ("count", np.int64)))
+        first = array(documents["first"][0], np.uint32).astype(np.int64)
+        pairs = array(documents["pairs"][0], np.uint32)
+        add = lambda values: np.add.reduceat(values[pairs], first[:-1])
+        return pa.table({"doc_id": documents["doc_id"][0].values, "train": documents["train"][0].values,
+                         "n_tokens": np.diff(first), "n_known": add((count > 0).astype(np.int64)),
+                         "base_score": add(np.log10((count + 0.1) / base_all)), "score": add(score)})
     return run
 
 
@@ -418,8 +376,8 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "pitman-yor")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"),
-                       F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"),
+                       F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     buckets = max(1, total_bytes(docs) // BUCKET_BYTES)
 
@@ -430,66 +388,59 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     n = n or 0
     top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
     head = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    by = np.argsort(head)
+    head, head_counts = head[by], np.array([r["n"] for r in top], np.int64)[by]
 
     packs = scratch.keep(docs.mapInArrow(occurrences(head, buckets), PACKS.format(f"array<{kind}>")), "packs")
-    parts = HEAD_PARTS
-    of_head = (packs.where("bucket = -1").select(F.explode(F.arrays_zip("position", "count")).alias("x"))
-               .groupBy(F.col("x.position").alias("position")).agg(F.sum("x.count").alias("n"))
-               .withColumn("bucket", (-1 - F.floor(F.col("position") / CLASSES) % parts).cast("int"))
-               .groupBy("bucket").applyInArrow(head_pairs, PAIRS))
-    of_rest = packs.where("bucket >= 0").groupBy("bucket").applyInArrow(bucket_pairs, PAIRS)
-    pairs = scratch.keep(of_head.unionByName(of_rest), "pairs").repartition("bucket")
+    pairs = scratch.keep(packs.where("bucket >= 0").select("pack", "bucket", "words", "runs", "context", "count")
+                         .groupBy("bucket").applyInArrow(bucket_pairs, PAIRS), "pairs")
+    model = pairs.drop("packs", "places")
+    sums = scratch.keep(model.mapInArrow(first_sums(head, buckets), SUMS), "sums")
+
+    def of_kind(rows, kind):
+        """Sums over the buckets by key: a few thousand rows at most."""
+        return {r["key"]: [r[f"t{k}"] for k in range(3)] for r in rows.where(F.col("kind") == kind).groupBy("key").agg(
+            *[F.sum(f"t{k}").alias(f"t{k}") for k in range(3)]).collect()}
+
+    def of_head(rows):
+        found = np.zeros((3, len(head)), np.int64)
+        for rank, numbers in of_kind(rows, WORD).items():
+            found[:, rank] = numbers
+        return found
 
     def discount(once, twice):
         return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
-    sizes = pairs.mapInArrow(singles, "one long, two long").agg(F.sum("one"), F.sum("two")).first()
-    totals = {"d1": discount(sizes[0] or 0, sizes[1] or 0), "d0": discount(ones, twos), "base": 1 / (v + 1),
-              "base_all": n + 0.1 * (v + 1), "customers": np.zeros(CLASSES), "tables": np.ones(CLASSES),
-              "root_tables": v, "root_customers": max(v, 1)}
+    once, twice, _ = of_kind(sums, PARENT).get(0, [0, 0, 0])
+    totals = {"d1": discount(once, twice), "d0": discount(ones, twos), "base": 1 / (v + 1),
+              "base_all": n + 0.1 * (v + 1), "root_tables": v, "root_customers": max(v, 1),
+              "head": (of_head(sums)[0], np.ones(len(head), np.int64))}
+    asked = sums.where(F.col("kind") == CONTEXT).select("bucket", "key")
+    known = scratch.keep(sums.where(F.col("kind") == CONTEXT).groupBy("key").agg(
+        F.sum("t0").alias("customers"), F.sum("t1").alias("dishes")).withColumn("used", F.col("dishes")), "customers")
+    stirling = log_stirling(totals["d0"])
     for number in range(ROUNDS + 1):  # the last one gives the totals of the samples that are scored with
-        rows = (pairs.mapInArrow(seat(totals, number), "sample int, context int, customers long, tables long")
-                .groupBy("sample", "context").agg(F.sum("customers"), F.sum("tables")).collect())  # a few thousand
-        found = np.zeros((SAMPLES, CLASSES + 1, 2))
-        for sample, context, customers, tables in rows:
-            found[sample, context + 1] = customers, tables
-        matched = {"tables": found[:, 1:, 1], "root_customers": found[:, 0, 0], "root_tables": found[:, 0, 1]}
+        seated = scratch.keep(
+            model.groupBy("bucket").cogroup(asked.join(known.select("key", "used"), "key").groupBy("bucket"))
+            .applyInArrow(seat(head, buckets, totals, number), SUMS), "seated")
+        all_sent, parent, rng = of_head(seated), of_kind(seated, PARENT), np.random.default_rng(number)
+        opening = (STRENGTH + totals["d0"] * totals["root_tables"]) * totals["base"]
+        opened = [draw_tables(s, np.full(len(head), opening), totals["d0"], stirling, rng) for s in all_sent]
+        customers, tables = (np.array(parent.get(i, [0] * 3)) + [x.sum() for x in of] for i, of in enumerate((all_sent, opened)))
+        matched = {"root_customers": customers, "root_tables": tables, "head": list(zip(all_sent, opened))}
+        added = seated.where(F.col("kind") == CONTEXT).groupBy("key").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(3)])
+        known = scratch.keep(known.select("key", "customers", "dishes", "used").join(added, "key", "left").select(
+            "key", "customers", "dishes", "used", *[(F.col("dishes") + F.coalesce(f"t{k}", F.lit(0))).alias(f"t{k}")
+                                                    for k in range(3)]), "totals")
         if number < ROUNDS:
-            totals = totals | {"customers": found[-1, 1:, 0], **{k: v[-1] for k, v in matched.items()}}
-
-    flat, logs = np.zeros(len(head) * CLASSES), np.zeros(len(head))
-    of_head = pairs.where("bucket < 0").mapInArrow(head_scores(totals, matched), "rank int, scores array<double>, n long")
-    for row in of_head.toArrow().to_batches():  # at most HEAD rows of CLASSES numbers
-        for rank, scores, seen in zip(row.column(0), row.column(1), row.column(2)):
-            rank = rank.as_py()
-            flat[rank * CLASSES:(rank + 1) * CLASSES] = scores.values.to_numpy()
-            logs[rank] = np.log10((seen.as_py() + 0.1) / totals["base_all"])
-    matrix = spark.sparkContext.broadcast((flat, logs))
-
-    sums = (pairs.where("bucket >= 0").groupBy("bucket").cogroup(packs.where("bucket >= 0").groupBy("bucket"))
-            .applyInArrow(bucket_scores(totals, matched), "pack long, ordinal array<int>, score array<double>, "
-                                                 "base_score array<double>, n_known array<int>"))
-    of_rest = (packs.where("bucket = -2").select("pack", "doc_id", "text_hash").groupBy("pack")
-               .cogroup(sums.groupBy("pack"))
-               .applyInArrow(pack_documents, f"doc_id {kind}, text_hash long, score double, base_score double, "
-                                             "n_known long"))
-    of_head = docs.mapInArrow(score_head(head, matrix, logs), f"doc_id {kind}, text_hash long, train boolean, "
-                              "n_tokens long, n_known long, score double, base_score double")
-    both = of_head.unionByName(of_rest, allowMissingColumns=True).groupBy("doc_id", "text_hash").agg(
-        F.max("train").alias("train"), F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("rows"),
-        *[F.sum(x).alias(x) for x in ("n_known", "score", "base_score")])
-    each = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return each.select("doc_id", "train", "n_tokens", (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
-                       F.lit(n).cast("long").alias("train_tokens"),
-                       (F.col("base_score") / F.col("rows")).alias("base_score"),
-                       (F.col("score") / F.col("rows")).alias("score"))
-
-
-def singles(batches):
-    for batch in batches:
-        one = two = 0
-        for c in batch.column(3):
-            counts = array(c, np.int64)
-            one += int((counts == 1).sum())
-            two += int((counts == 2).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([two], pa.int64())], ["one", "two"])
+            known = known.withColumn("used", F.col("t2"))
+            totals = totals | {k: x[-1] for k, x in matched.items()}
+
+    scores = (pairs.groupBy("bucket").cogroup(asked.join(known, "key").groupBy("bucket"))
+              .applyInArrow(pair_scores(head, buckets, totals, matched, head_counts), SCORES))
+    rows = (packs.where("bucket = -1").select("pack", "doc_id", "train", "first", "pairs").groupBy("pack")
+            .cogroup(scores.groupBy("pack")).applyInArrow(
+                pack_documents(totals["base_all"]), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, "
+                "score double"))
+    return rows.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+                       "base_score", "score")

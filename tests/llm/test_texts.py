@@ -289,6 +289,22 @@ def test_language_model_counts_and_base(spark, sf_dir, monkeypatch, head):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.2 * sum(r.n_tokens for r in held)
 
 
+def test_contexts_are_the_words_before(spark, monkeypatch):
+    """Words with equal endings are contexts of their own, also when pairs are in many buckets and the head is small."""
+    rows = [(i, f"{a} {b} {a} {b}") for i in range(60) for a, b in [("banding", "one"), ("bonding", "two")]]
+    asked = {-1: "banding one", -2: "bonding one", -3: "banding two", -4: "bonding two"}
+    docs = spark.createDataFrame([*rows, *asked.items()], "doc_id long, text string").repartition(3)
+    found = {}
+    for head, size in ((2048, 24 << 20), (2, 400)):
+        monkeypatch.setattr(pitman_yor, "HEAD", head)
+        monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", size)
+        scored = pitman_yor.score_documents(docs, F.col("doc_id") >= 0).where("doc_id < 0").collect()
+        found[head] = {r.doc_id: r.score for r in scored}
+        s = found[head]
+        assert s[-1] > s[-2] + 1 and s[-4] > s[-3] + 1
+    assert all(abs(found[2][i] - found[2048][i]) < 0.5 for i in asked)
+
+
 def test_probabilities_of_a_context_add_up_to_one():
     rng = np.random.default_rng(0)
     word, context = rng.integers(0, 60, 400), rng.integers(0, 4, 400)
