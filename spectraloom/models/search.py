@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from spectraloom.models import fold_sums
@@ -26,9 +28,22 @@ def with_fold(df: DataFrame, key: str, k: int, seed: int = 0, output: str = "fol
 
 
 def _cross_validate(estimator: Estimator, maps: Sequence[dict], evaluator: Evaluator, folded: DataFrame,
-                    k: int, parallelism: int) -> CrossValidatorModel:
-    return CrossValidator(estimator=estimator, estimatorParamMaps=list(maps), evaluator=evaluator, numFolds=k,
-                          foldCol="fold", parallelism=parallelism).fit(folded)
+                    k: int, parallelism: int) -> list[float]:
+    """Mean metric over the folds for each setting; ``folded`` is persisted and is all that is.
+
+    ``CrossValidator`` with a fold column sends every row to Python twice a fold, and keeps copies of each fold's rows.
+    """
+    scores = []
+    with ThreadPool(min(parallelism, len(maps))) as pool:
+        for fold in range(k):
+            train, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+            for name, rows in (("training", train), ("validation", held)):
+                if not rows.take(1):
+                    raise ValueError(f"The {name} data at fold {fold} is empty.")
+            score = inheritable_thread_target(folded.sparkSession)(
+                lambda setting: float(evaluator.evaluate(estimator.fit(train, setting).transform(held, setting))))
+            scores.append(pool.map(score, maps))
+    return [sum(of_setting) / k for of_setting in zip(*scores)]
 
 
 def _describe(params: Mapping) -> str:
@@ -67,10 +82,11 @@ def grid_search_report(train: DataFrame, test: DataFrame, models: Mapping[str, E
             for param, values in grids[name].items():
                 builder = builder.addGrid(estimator.getParam(param), list(values))
             maps = builder.build()
-            fitted = _cross_validate(estimator, maps, evaluator, folded, k, parallelism)
-            best = maps[max(range(len(maps)), key=lambda i: fitted.avgMetrics[i])]
-            rows.append((name, _describe(best), float(evaluator.evaluate(fitted.bestModel.transform(folded))),
-                         float(evaluator.evaluate(fitted.bestModel.transform(test)))))
+            scores = _cross_validate(estimator, maps, evaluator, folded, k, parallelism)
+            best = maps[max(range(len(maps)), key=scores.__getitem__)]
+            model = estimator.fit(folded, best)
+            rows.append((name, _describe(best), float(evaluator.evaluate(model.transform(folded))),
+                         float(evaluator.evaluate(model.transform(test)))))
     finally:
         folded.unpersist()
     return train.sparkSession.createDataFrame(rows, "model string, best_params string, train_r2 double, test_r2 double")
@@ -85,7 +101,7 @@ def random_search_trials(df: DataFrame, estimator: Estimator, space: Mapping[str
     maps = [{estimator.getParam(name): value for name, value in setting.items()} for setting in settings]
     folded = with_fold(df, key, k).persist()
     try:
-        scores = _cross_validate(estimator, maps, evaluator, folded, k, parallelism).avgMetrics
+        scores = _cross_validate(estimator, maps, evaluator, folded, k, parallelism)
     finally:
         folded.unpersist()
     return trials_table(df, list(zip(settings, scores)), evaluator.isLargerBetter())
@@ -111,8 +127,8 @@ def adaptive_search_trials(df: DataFrame, estimator: Estimator, space: Mapping[s
             count = min(startup, n_trials) if not trials else min(per_round, n_trials - len(trials))
             settings = settings_of_round(space, [(s, sign * v) for s, v in trials], count, startup, rng)
             maps = [{estimator.getParam(name): value for name, value in setting.items()} for setting in settings]
-            scores = _cross_validate(estimator, maps, evaluator, folded, k, parallelism).avgMetrics
-            trials += list(zip(settings, map(float, scores)))
+            scores = _cross_validate(estimator, maps, evaluator, folded, k, parallelism)
+            trials += list(zip(settings, scores))
     finally:
         folded.unpersist()
     return trials_table(df, trials, evaluator.isLargerBetter())

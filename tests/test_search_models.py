@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from spectraloom import schema
@@ -70,6 +71,22 @@ def test_report_from_sums_equals_the_searched_one(regression):
     assert abs(mine["train_r2"] - slow["train_r2"]) < 1e-8 and abs(mine["test_r2"] - slow["test_r2"]) < 1e-8
 
 
+def test_folds_score_like_the_cross_validator_without_python(regression, monkeypatch):
+    """The same means as ``CrossValidator``, but no row is sent to Python."""
+    estimator, evaluator = LinearRegression(labelCol="y"), RegressionEvaluator(labelCol="y", metricName="r2")
+    maps = [{estimator.regParam: value} for value in (0.0, 5.0, 90.0)]
+    plans, fit = [], LinearRegression.fit
+    monkeypatch.setattr(LinearRegression, "fit", lambda self, rows, *a: (
+        plans.append(rows._jdf.queryExecution().executedPlan().toString()), fit(self, rows, *a))[1])
+    scores = search._cross_validate(estimator, maps, evaluator, regression, 3, 2)
+    assert len(plans) == 9 and not any("EvalPython" in plan for plan in plans)
+    monkeypatch.undo()
+    whole = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=3, foldCol="fold")
+    assert np.allclose(scores, whole.fit(regression).avgMetrics, rtol=1e-9)
+    with pytest.raises(ValueError):
+        search._cross_validate(estimator, maps, evaluator, regression.where("fold < 2"), 3, 2)
+
+
 SPACE = {"rate": ("interval", 0.0, 1.0), "width": ("interval", -5.0, 5.0), "size": ("choice", [32, 64, 128, 256])}
 
 
