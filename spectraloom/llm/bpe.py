@@ -34,8 +34,10 @@ WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: The file's word pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 LONG = 100             # symbols of a fragment from which on merging uses a heap
-REMEMBER_WORDS = 12 << 20  # bytes of one generation of a task's words
-REMEMBER_RUNS = 40 << 20   # and of its runs between white space
+REMEMBER_WORDS = 8 << 20   # bytes of one generation of a task's words
+REMEMBER_RUNS = 10 << 20   # and of its runs between white space
+RUN_BYTES = 20             # of a run beside its ids and text
+SLICE = 256 << 10          # text that one numpy pass looks at
 
 
 def byte_characters() -> list[str]:
@@ -63,51 +65,65 @@ class Runs:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.numbers: dict[int, int] = {}
-        self.bounds = np.zeros((1024, 2), np.int64)  # where a run's ids and text end; they start where the last one's end
+        self.names, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and the runs' numbers
+        self.bounds = np.zeros((1024, 2), np.int32)  # where a run's ids and text end; they start where the last one's end
         self.ids, self.text = np.zeros(1024, np.uint32), np.zeros(4096, np.uint8)
         self.size = 0
 
     def renew(self) -> None:
         """Between slices, so that all runs of a slice are in one generation."""
         if self.size >= self.limit:
-            self.old = self.numbers, self.bounds, self.ids, self.text
+            self.old = self.names, self.numbers, self.bounds, self.ids, self.text
             self._fresh()
 
-    def missing(self, names: list[int]) -> list[int]:
-        """Positions of the names that are not known; those of the old generation come back."""
-        new = [i for i, name in enumerate(names) if name not in self.numbers]
+    def missing(self, names: np.ndarray) -> np.ndarray:
+        """Positions of the names (sorted, different) that are not known; those of the old generation come back."""
+        new = np.flatnonzero(~found(self.names, names)[1])
         if self.old is None:
             return new
-        numbers, bounds, ids, text = self.old
-        back = [names[i] for i in new if names[i] in numbers]
-        if back:
-            at = np.array([numbers[name] for name in back])
-            lengths = bounds[at + 1] - bounds[at]
-            self.add(back, lengths[:, 0], ids[spans(bounds[at, 0], lengths[:, 0])],
-                     lengths[:, 1], text[spans(bounds[at, 1], lengths[:, 1])])
-        return [i for i in new if names[i] not in numbers]
-
-    def add(self, names: list[int], counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> None:
-        n = len(self.numbers)
-        used = self.bounds[n]
+        held, numbers, bounds, ids, text = self.old
+        place, known = found(held, names[new])
+        if known.any():
+            at = numbers[place[known]]
+            starts = bounds[at].astype(np.int64)
+            lengths = bounds[at + 1] - starts
+            self.add(names[new[known]], lengths[:, 0], ids[spans(starts[:, 0], lengths[:, 0])],
+                     lengths[:, 1], text[spans(starts[:, 1], lengths[:, 1])])
+        return new[~known]
+
+    def add(self, names: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> None:
+        n = len(self.names)
+        used = self.bounds[n].astype(np.int64)
         if n + len(names) + 1 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros((max(len(names) + 1, len(self.bounds) // 2), 2), np.int64)])
+            self.bounds = np.concatenate([self.bounds, np.zeros((max(len(names) + 1, len(self.bounds) // 2), 2), np.int32)])
         self.ids, self.text = grown(self.ids, used[0] + len(ids)), grown(self.text, used[1] + len(text))
         self.ids[used[0]:used[0] + len(ids)], self.text[used[1]:used[1] + len(text)] = ids, text
-        self.bounds[n + 1:n + len(names) + 1] = used + np.cumsum(np.stack([counts, sizes], 1), axis=0)
-        self.numbers.update(zip(names, range(n, n + len(names))))
-        self.size += 160 * len(names) + 4 * len(ids) + len(text)
-
-    def gather(self, names: list[int], which: np.ndarray):
+        ends = used + np.cumsum(np.stack([counts, sizes], 1), axis=0)
+        if len(ends) and ends[-1].max() >= 1 << 31:  # a generation takes little more than its limit and one slice or text
+            raise ValueError("ids or text of one slice beyond 2 GB")
+        self.bounds[n + 1:n + len(names) + 1] = ends
+        place = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, place, names)
+        self.numbers = np.insert(self.numbers, place, np.arange(n, n + len(names), dtype=np.int32))
+        self.size += RUN_BYTES * len(names) + 4 * len(ids) + len(text)
+
+    def gather(self, names: np.ndarray, which: np.ndarray):
         """For the runs names[which] one after another: counts and ids, sizes and text."""
-        at = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))[which]
-        starts = self.bounds[at]
+        at = self.numbers[np.searchsorted(self.names, names)][which]
+        starts = self.bounds[at].astype(np.int64)
         lengths = self.bounds[at + 1] - starts
         return (lengths[:, 0], self.ids[spans(starts[:, 0], lengths[:, 0])],
                 lengths[:, 1], self.text[spans(starts[:, 1], lengths[:, 1])])
 
 
+def found(held: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the names in a sorted array, and which of them are in it."""
+    if not len(held):
+        return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    place = np.minimum(np.searchsorted(held, names), len(held) - 1)
+    return place, held[place] == names
+
+
 class Vocabulary:
     """What a vocabulary file says, small enough to be sent to every task."""
 
@@ -116,7 +132,8 @@ class Vocabulary:
         model = held["model"]
         self.tokens = model["vocab"]
         self.special = {x["content"]: x["id"] for x in held["added_tokens"]}
-        self.merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+        merges = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
+        self.pairs = np.array([[self.tokens[x], self.tokens[y], self.tokens[x + y]] for x, y in merges], np.int64)
         self.suffix = model["end_of_word_suffix"]
         if model["type"] != "BPE" or not self.suffix or held["decoder"] is not None:
             raise ValueError("not a byte-level BPE file with word ends and without a decoder")
@@ -128,8 +145,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.ids = vocabulary.tokens
         self.special = vocabulary.special
-        self.names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        strings = [self.names.get(i, "").encode() + b" " for i in range(max(self.names) + 1)]
+        names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        strings = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
         self.strings = np.frombuffer(b"".join(strings), np.uint8)  # by id
         self.string_ends = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
         self.marks = regex.compile("|".join(regex.escape(x) for x in self.special)) if self.special else None
@@ -137,7 +154,7 @@ class Encoder:
         characters = byte_characters()
         self.first = np.array([self.ids[c] for c in characters])                     # a byte inside a word
         self.last = np.array([self.ids[c + vocabulary.suffix] for c in characters])  # the last byte of a word
-        pairs = np.array([[self.ids[x], self.ids[y], self.ids[x + y]] for x, y in vocabulary.merges], np.int64)
+        pairs = vocabulary.pairs
         keys = pairs[:, 0] << 32 | pairs[:, 1]
         order = np.argsort(keys)
         self.pair, self.rank, self.merged = keys[order], order, pairs[:, 2]  # rank: place among the merges
@@ -314,31 +331,33 @@ def encode_rows(vocabulary):
         remembered = Runs(REMEMBER_RUNS)
         for batch in batches:
             offsets, data = text_bytes(batch.column(1))
-            for a, b in slices(offsets):
+            names = batch.column(0).take(pa.array(np.arange(len(batch))))  # a copy, so that what is sent holds no texts
+            for a, b in slices(offsets, SLICE):
                 here = data[offsets[a]:offsets[b]]
                 starts, ends, hashes, first = words.scan(offsets[a:b + 1] - offsets[a], here)
                 distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
                 raw = here.tobytes()
                 remembered.renew()
-                names = distinct.tolist()
-                new = remembered.missing(names)
-                if new:
+                new = remembered.missing(distinct)
+                if len(new):
                     places = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
                     packed = encoder.encode_all([raw[s:e].decode() for s, e in places])
                     ids = np.frombuffer(b"".join(packed), "<u4")
                     counts = np.array([len(x) // 4 for x in packed], np.int64)
                     sizes, text = encoder.spelled(ids, counts)
-                    remembered.add([names[i] for i in new], counts, ids, sizes, text)
-                counts, ids, sizes, text = remembered.gather(names, which)
+                    remembered.add(distinct[new], counts, ids, sizes, text)
+                counts, ids, sizes, text = remembered.gather(distinct, which)
                 id_ends, text_ends = per_row(counts, first), per_row(sizes, first)
                 filled = np.flatnonzero(np.diff(text_ends))  # all rows with ids: their text ends with a space
                 keep = np.ones(len(text), bool)
                 keep[text_ends[1:][filled] - 1] = False
                 text_ends = text_ends - np.concatenate([[0], np.cumsum(np.diff(text_ends) > 0)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(id_ends)),
+                    [names.slice(a, b - a), pa.array(np.diff(id_ends)),
                      buffers(pa.binary(), 4 * id_ends, ids), buffers(pa.string(), text_ends, text[keep])],
                     ["doc_id", "n_tokens", "ids", "decoded"])
+                del here, raw
+            del batch, data  # before the next batch is read
         del remembered, encoder, words  # the worker lives on
         release()
     return run

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spectraloom.llm import bpe, chat, line_dedup, mixing, pitman_yor, queries
+from spectraloom.llm.textscan import mix
 from tests.llm.conftest import CLASH, COPY, LONG, ODD
 from tests.oracle import connect, differences
 
@@ -263,6 +265,33 @@ def test_odd_conversations(spark):
     assert chat.conversation_digests(chat.format_turns(frame.where("false"))).collect() == []
 
 
+def test_remembered_runs_stay_small():
+    """Two full generations of short runs, and what a slice adds, take less than 40 MB; the old one still answers."""
+    tracemalloc.start()
+    runs, n, least = bpe.Runs(bpe.REMEMBER_RUNS), 0, None
+    while least is None or len(runs.names) < least:
+        runs.renew()
+        if runs.old is not None and least is None:
+            least = n - 2_000  # as many again
+        names = np.sort(mix(np.arange(n, n + 2_000, dtype=np.uint64)))
+        new = runs.missing(names)
+        assert len(new) == len(names)
+        ones = np.ones(len(new), np.int64)
+        runs.add(names[new], 2 * ones, np.repeat(names[new], 2).astype(np.uint32), 8 * ones, names[new].view(np.uint8))
+        n += 2_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert least > 200_000 and peak < 40 << 20
+    names = np.sort(mix(np.array([5, 60_000, n - 1, n + 7], np.uint64)))  # two old, one young, one unknown
+    new = runs.missing(names)
+    assert names[new].tolist() == mix(np.array([n + 7], np.uint64)).tolist()
+    known = np.delete(names, new)
+    counts, ids, sizes, text = runs.gather(known, np.array([2, 0, 0, 1]))
+    assert counts.tolist() == [2] * 4 and sizes.tolist() == [8] * 4
+    assert text.view(np.uint64).tolist() == known[[2, 0, 0, 1]].tolist()
+    assert ids.tolist() == np.repeat(known[[2, 0, 0, 1]], 2).astype(np.uint32).tolist()
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["</end>"]
 
