@@ -13,8 +13,12 @@ Spark. Words are counted once with a combine per map task. A map task packs its
 token with their training counts go to buckets, and the texts stay as lists of pair numbers. All pairs of a word are in
 one bucket, so the parent's draws are local. The pairs of the ``HEAD`` most frequent words (a bounded list) are dealt by
 context instead, so a frequent word is never gathered anywhere; what their contexts send is a global number like the
-totals of the restaurants. Those are a table: a round sums it by context and joins the sums to the buckets that have the
-context. At last every bucket scores its pairs, and every pack adds up its texts. Buckets are sized by the corpus.
+totals of the restaurants. Those are a table: a round sums it by context and sends the sums to the buckets that have the
+context. A pair with one customer always has one table, so rounds carry the other pairs and the numbers of these. At last
+every bucket scores its pairs, and every pack adds up its texts. Buckets are sized by the corpus.
+
+Disk. Numbers are written as planes of bytes, contexts as two bytes if they are among the frequent words; a table goes
+when no later step reads it, the shuffle files of a write when it ends.
 
 Defined cases: null text is empty; an empty text has one token, its end. Null ids are held out. Repeated rows are
 scored each. Without training documents every probability is 1. Other columns are ignored.
@@ -31,6 +35,8 @@ from spectraloom.llm.textscan import Words
 
 CLASSES = 512          # contexts of a seating that is not of a bucket
 HEAD = 2048            # words whose pairs are dealt by context
+COMMON = 65_000        # words whose hashes are sent as numbers of two bytes, at most
+RARE = 65_535          # the number of all others, whose hashes follow
 EXACT = 32             # customers of one dish up to which table counts are drawn from their exact distribution
 BURN_IN, SAMPLES, ROUNDS = 2, 3, 3
 STRENGTH = 1.0
@@ -83,8 +89,18 @@ def word_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
 
 
-PACKS = ("pack long, bucket int, words binary, runs binary, context binary, count binary, doc_id {0}, "
-         "train array<boolean>, first binary, pairs binary")
+def planes(values) -> bytes:
+    """Unsigned numbers as bytes, first all lowest ones: the upper ones of small or sorted numbers compress to little."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unplaned(value, kind):
+    raw, width = np.frombuffer(value.as_buffer(), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).ravel()
+
+
+PACKS = ("pack long, bucket int, words binary, runs binary, context binary, rare binary, count binary, doc_id {0}, "
+         "train array<boolean>, sizes binary, pairs binary")
 
 
 def ranks(head, token):
@@ -93,7 +109,7 @@ def ranks(head, token):
     return at, head[at] == token if len(head) else np.zeros(len(token), bool)
 
 
-def occurrences(head, buckets):
+def occurrences(head, common, buckets):
     """Packs of a map task: its pairs by bucket (those of the head: ``buckets`` and more), and its texts (-1)."""
     def run(batches):
         from pyspark import TaskContext
@@ -122,17 +138,18 @@ def occurrences(head, buckets):
             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if y > x:
                     unique, runs = np.unique(token[x:y], return_counts=True)
-                    yield row(pack=serial, bucket=b, words=unique.tobytes(), runs=runs.astype(np.uint32).tobytes(),
-                              context=context[x:y].tobytes(), count=count[x:y].tobytes())
+                    at, known = ranks(common, context[x:y])
+                    yield row(pack=serial, bucket=b, words=planes(unique), runs=planes(runs.astype(np.uint32)),
+                              context=planes(np.where(known, at, RARE).astype(np.uint16)),
+                              rare=planes(context[x:y][~known]), count=planes(count[x:y]))
             yield row(pack=serial, bucket=-1, doc_id=pa.concat_arrays([x for x, _ in ids]).to_pylist(),
                       train=np.concatenate([x for _, x in ids]).tolist(),
-                      first=np.concatenate([[0], *(p[3] for p in parts)]).cumsum().astype(np.uint32).tobytes(),
-                      pairs=number.tobytes())
+                      sizes=planes(np.concatenate([p[3] for p in parts]).astype(np.uint32)), pairs=planes(number))
 
         for batch in batches:
             kinds = kinds or {"pack": pa.int64(), "bucket": pa.int32(), **dict.fromkeys(
-                ["words", "runs", "context", "count"], pa.binary()), "doc_id": pa.list_(batch.column(0).type),
-                "train": pa.list_(pa.bool_()), "first": pa.binary(), "pairs": pa.binary()}
+                ["words", "runs", "context", "rare", "count"], pa.binary()), "doc_id": pa.list_(batch.column(0).type),
+                "train": pa.list_(pa.bool_()), "sizes": pa.binary(), "pairs": pa.binary()}
             offsets, data = text_bytes(batch.column(2))
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in slices(offsets):
@@ -149,28 +166,36 @@ def occurrences(head, buckets):
     return run
 
 
-def array(value, kind):
-    return np.frombuffer(value.as_buffer(), kind)
-
+PAIRS = ("bucket int, words binary, runs binary, contexts binary, context binary, count binary, packs array<long>, "
+         "places array<binary>")
 
-PAIRS = ("bucket int, words binary, contexts binary, pair binary, count binary, packs array<long>, places array<binary>")
 
+def bucket_pairs(common):
+    """One bucket: its words and contexts, its pairs (by word, then context) with counts, and each pack's pairs."""
+    def hashes(code, rare):
+        code = unplaned(code, np.uint16)
+        found = common[np.minimum(code, len(common) - 1)]
+        found[code == RARE] = unplaned(rare, np.uint64)
+        return found
 
-def bucket_pairs(group: pa.Table) -> pa.Table:
-    """One bucket: its words and contexts, its pairs (word * contexts + context) with counts, and each pack's pairs."""
-    token = [np.repeat(array(w, np.uint64), array(r, np.uint32)) for w, r in zip(group["words"], group["runs"])]
-    context = [array(c, np.uint64) for c in group["context"]]
-    words, word = np.unique(np.concatenate(token), return_inverse=True)
-    contexts, near = np.unique(np.concatenate(context), return_inverse=True)
-    pair, place = np.unique(word * len(contexts) + near, return_inverse=True)
-    counts = np.bincount(place, np.concatenate([array(c, np.uint32) for c in group["count"]]), len(pair))
-    places = np.split(place.astype(np.uint32), np.cumsum([len(c) for c in context])[:-1])
-    held = [("bucket", group["bucket"][0].as_py(), pa.int32()), ("words", words.tobytes(), pa.binary()),
-            ("contexts", contexts.tobytes(), pa.binary()), ("pair", pair.astype(np.int64).tobytes(), pa.binary()),
-            ("count", counts.astype(np.int64).tobytes(), pa.binary()),
-            ("packs", group["pack"].to_pylist(), pa.list_(pa.int64())),
-            ("places", [x.tobytes() for x in places], pa.list_(pa.binary()))]
-    return pa.table({name: pa.array([value], kind) for name, value, kind in held})
+    def run(group: pa.Table) -> pa.Table:
+        token = [np.repeat(unplaned(w, np.uint64), unplaned(r, np.uint32)) for w, r in zip(group["words"], group["runs"])]
+        context = [hashes(c, r) for c, r in zip(group["context"], group["rare"])]
+        words, word = np.unique(np.concatenate(token), return_inverse=True)
+        contexts, near = np.unique(np.concatenate(context), return_inverse=True)
+        pair, place = np.unique(word * len(contexts) + near, return_inverse=True)
+        counts = np.bincount(place, np.concatenate([unplaned(c, np.uint32) for c in group["count"]]), len(pair))
+        places = np.split(place.astype(np.uint32), np.cumsum([len(c) for c in context])[:-1])
+        word, near = np.divmod(pair, len(contexts))
+        held = [("bucket", group["bucket"][0].as_py(), pa.int32()), ("words", planes(words), pa.binary()),
+                ("runs", planes(np.bincount(word, minlength=len(words)).astype(np.uint32)), pa.binary()),
+                ("contexts", planes(contexts), pa.binary()), ("context", planes(near.astype(np.uint32)), pa.binary()),
+                ("count", planes(counts.astype(np.uint64)), pa.binary()),
+                ("packs", group["pack"].to_pylist(), pa.list_(pa.int64())),
+                # a pack's pairs are sorted like the bucket's: steps are small numbers
+                ("places", [planes(np.diff(x, prepend=np.uint32(0))) for x in places], pa.list_(pa.binary()))]
+        return pa.table({name: pa.array([value], kind) for name, value, kind in held})
+    return run
 
 
 class Bucket:
@@ -178,24 +203,62 @@ class Bucket:
 
     def __init__(self, row, head, buckets):
         self.number = row["bucket"].as_py()
-        self.words, self.contexts = array(row["words"], np.uint64), array(row["contexts"], np.uint64)
-        self.pair, counts = array(row["pair"], np.int64), array(row["count"], np.int64)
+        self.words, self.contexts = unplaned(row["words"], np.uint64), unplaned(row["contexts"], np.uint64)
+        self.word = np.repeat(np.arange(len(self.words)), unplaned(row["runs"], np.uint32))
+        self.context = unplaned(row["context"], np.uint32).astype(np.int64)
+        counts = unplaned(row["count"], np.uint64).astype(np.int64)
         self.trained = np.flatnonzero(counts)
         self.counts = counts[self.trained]
-        self.word, self.context = self.pair // len(self.contexts), self.pair % len(self.contexts)
         self.rank = ranks(head, self.words)[0] if self.number >= buckets else None
 
     def seating(self, sums: pa.Table, totals, number):
         """Sampled tables with the restaurants' totals of ``sums``, and the rows of ``sums`` by context."""
-        at = np.searchsorted(self.contexts, sums["key"].to_numpy().view(np.uint64))
+        at = places_of(self.contexts, sums)
         table = {name: np.zeros(len(self.contexts)) for name in ("customers", "used", "t0", "t1", "t2")}
-        for name, values in table.items():
-            if name in sums.column_names:
-                values[at] = sums[name].to_numpy()
+        customers = sums["customers"].to_numpy()
+        for name, values in table.items():  # only pairs of more than one customer have more tables than customers
+            values[at] = sums[name].fill_null(-1).to_numpy()
+            values[at] = np.where(values[at] < 0, customers, values[at])
         own = totals | {"customers": table["customers"], "tables": table["used"]}
         sent = None if self.rank is None else [totals["head"][k][self.rank] for k in range(2)]
-        return Seating(self.pair[self.trained], self.counts, len(self.words), own,
-                       np.random.default_rng([number, self.number + 1_000_000]), sent), table
+        return Seating(self.word[self.trained] * len(self.contexts) + self.context[self.trained], self.counts,
+                       len(self.words), own, seeds(number, self.number), sent), table
+
+
+def places_of(contexts, sums: pa.Table):
+    return np.searchsorted(contexts, sums["key"].to_numpy().astype(np.int64, copy=False).view(np.uint64))
+
+
+def seeds(number, bucket):
+    return np.random.default_rng([number, bucket + 1_000_000])
+
+
+LIVE = ("bucket int, rank binary, ones binary, runs binary, contexts binary, context binary, count binary, alone long")
+
+
+def live_pairs(head, buckets):
+    """Of each bucket what rounds draw: pairs of two or more customers (others have one table) and their contexts, words
+    with two or more in the parent, or of the head (others, ``alone``, have one table there), with their single pairs."""
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                held = Bucket({name: batch.column(name)[i] for name in batch.schema.names}, head, buckets)
+                word, context = held.word[held.trained], held.context[held.trained]
+                many = held.counts > 1
+                ones = np.bincount(word[~many], minlength=len(held.words))
+                runs = np.bincount(word[many], minlength=len(held.words))
+                live = (ones + runs > 1) | (runs > 0)
+                if held.rank is not None:
+                    live[:] = True
+                contexts, near = np.unique(context[many], return_inverse=True)
+                rank = held.rank if held.rank is not None else np.zeros(0, np.int64)
+                values = [pa.array([held.number], pa.int32()), *[pa.array([planes(x)], pa.binary()) for x in (
+                    rank.astype(np.uint32), ones[live].astype(np.uint64), runs[live].astype(np.uint32),
+                    held.contexts[contexts], near.astype(np.uint32), held.counts[many].astype(np.uint64))],
+                    pa.array([int((ones[~live] > 0).sum())])]
+                yield pa.RecordBatch.from_arrays(
+                    values, names=["bucket", "rank", "ones", "runs", "contexts", "context", "count", "alone"])
+    return run
 
 
 SUMS = "kind int, bucket int, key long, t0 long, t1 long, t2 long"
@@ -221,7 +284,7 @@ def first_sums(head, buckets):
                 held = Bucket({name: batch.column(name)[i] for name in batch.schema.names}, head, buckets)
                 context, width = held.context[held.trained], len(held.contexts)
                 customers, dishes = np.bincount(context, held.counts, width), np.bincount(context, minlength=width)
-                parts = [(CONTEXT, held.contexts, np.stack([customers, dishes, dishes], 1)),
+                parts = [(CONTEXT, held.contexts, np.stack([customers, dishes, customers > dishes], 1)),
                          (PARENT, np.zeros(1, np.int64), [(held.counts == 1).sum(), (held.counts == 2).sum(), 0])]
                 if held.rank is not None:
                     seen = np.bincount(held.word[held.trained], minlength=len(held.words))
@@ -272,8 +335,9 @@ def draw_tables(customers, weight, discount, stirling, rng):
 class Seating:
     """Samples of one bucket, given the restaurants' totals."""
 
-    def __init__(self, pair, counts, words, totals, rng, head=None):
-        """``head``: customers that all buckets send to the parent and its tables, per word, if words are in several."""
+    def __init__(self, pair, counts, words, totals, rng, head=None, ones=0):
+        """``head``: customers that all buckets send to the parent and its tables, per word, if words are in several;
+        ``ones``: pairs of a word with one customer that are not among ``pair``."""
         self.word, self.context = np.divmod(pair, max(len(totals["customers"]), 1))
         d1, d0, base = totals["d1"], totals["d0"], totals["base"]
         open_root = STRENGTH + d0 * totals["root_tables"]
@@ -284,12 +348,12 @@ class Seating:
         self.counts, self.totals, self.samples = counts, totals, []
         root = np.ones(words, np.int64) if head is None else head[1]
         for sweep in range(BURN_IN + SAMPLES):
-            sent = np.bincount(self.word, tables, words).astype(np.int64) if head is None else head[0]
+            sent = ones + np.bincount(self.word, tables, words).astype(np.int64) if head is None else head[0]
             others = np.maximum(sent[self.word] - tables, 0)
             beside = np.minimum(root[self.word], others)
             parent = (others - d0 * beside + open_root * base) / all_root
             tables = draw_tables(counts, open_context[self.context] * parent, d1, one, rng)
-            sent = np.bincount(self.word, tables, words).astype(np.int64)
+            sent = ones + np.bincount(self.word, tables, words).astype(np.int64)
             if head is None:
                 root = draw_tables(sent, np.full(words, open_root * base), d0, two, rng)
             if sweep >= BURN_IN:
@@ -316,18 +380,27 @@ class Seating:
 def seat(head, buckets, totals, number):
     """One round of a bucket: for each sample its contexts' tables beyond one a dish, and what is sent to the parent."""
     def run(key, pairs: pa.Table, sums: pa.Table) -> pa.Table:
-        held = Bucket({name: pairs[name][0] for name in pairs.column_names}, head, buckets)
-        found, _ = held.seating(sums, totals, number)
-        beyond = np.stack([np.bincount(found.context, t - 1, len(held.contexts)) for t, _, _ in found.samples], 1)
+        row = {name: pairs[name][0] for name in pairs.column_names}
+        bucket, alone = row["bucket"].as_py(), row["alone"].as_py()
+        contexts, ones = unplaned(row["contexts"], np.uint64), unplaned(row["ones"], np.uint64).astype(np.int64)
+        word = np.repeat(np.arange(len(ones)), unplaned(row["runs"], np.uint32))
+        used = np.zeros(len(contexts))
+        used[places_of(contexts, sums)] = sums["used"].to_numpy()
+        rank = unplaned(row["rank"], np.uint32).astype(np.int64) if bucket >= buckets else None
+        found = Seating(word * len(contexts) + unplaned(row["context"], np.uint32),
+                        unplaned(row["count"], np.uint64).astype(np.int64), len(ones),
+                        totals | {"customers": np.zeros(len(contexts)), "tables": used}, seeds(number, bucket),
+                        None if rank is None else [totals["head"][k][rank] for k in range(2)], ones)
+        beyond = np.stack([np.bincount(found.context, t - 1, len(contexts)) for t, _, _ in found.samples], 1)
         live = beyond.any(axis=1)  # every dish has one table, known from the start
-        parts = [(CONTEXT, held.contexts[live], beyond[live])]
+        parts = [(CONTEXT, contexts[live], beyond[live])]
         sent = np.stack([s for _, s, _ in found.samples], 1)
-        if held.rank is None:
-            root = [r.sum() for _, _, r in found.samples]
-            parts.append((PARENT, np.arange(2), [sent.sum(axis=0), root]))
+        if rank is None:
+            root = [r.sum() + alone for _, _, r in found.samples]
+            parts.append((PARENT, np.arange(2), [sent.sum(axis=0) + alone, root]))
         else:
-            parts.append((WORD, held.rank, sent))
-        return pa.Table.from_batches([sums_table(held.number, *parts)])
+            parts.append((WORD, rank, sent))
+        return pa.Table.from_batches([sums_table(bucket, *parts)])
     return run
 
 
@@ -345,11 +418,11 @@ def pair_scores(head, buckets, totals, matched, head_counts):
              else head_counts[held.rank])
         chance = sum(p[held.word] * left[held.context] for p, left in zip(found.parent, found.left)) / SAMPLES
         chance[held.trained] += found.added
-        score, count = np.log10(chance), n.astype(np.int64)[held.word]
-        places = [array(x, np.uint32) for x in row["places"].values]
+        score, count = np.log10(chance), n.astype(np.uint64)[held.word]
+        places = [np.cumsum(unplaned(x, np.uint32), dtype=np.uint32) for x in row["places"].values]
         return pa.table({"pack": row["packs"].values, "bucket": pa.array([held.number] * len(places), pa.int32()),
-                         "score": pa.array([score[x].tobytes() for x in places], pa.binary()),
-                         "count": pa.array([count[x].tobytes() for x in places], pa.binary())})
+                         "score": pa.array([planes(score[x]) for x in places], pa.binary()),
+                         "count": pa.array([planes(count[x]) for x in places], pa.binary())})
     return run
 
 
@@ -357,10 +430,11 @@ def pack_documents(base_all):
     """One pack's documents: sums over the pairs of their tokens."""
     def run(key, documents: pa.Table, scores: pa.Table) -> pa.Table:
         order = np.argsort(scores["bucket"].to_numpy())
-        score, count = (np.concatenate([array(scores[x][int(i)], kind) for i in order])
-                        for x, kind in (("score", np.float64), ("count", np.int64)))
-        first = array(documents["first"][0], np.uint32).astype(np.int64)
-        pairs = array(documents["pairs"][0], np.uint32)
+        score, count = (np.concatenate([unplaned(scores[x][int(i)], kind) for i in order])
+                        for x, kind in (("score", np.float64), ("count", np.uint64)))
+        count = count.astype(np.int64)
+        first = np.concatenate([[0], unplaned(documents["sizes"][0], np.uint32).astype(np.int64)]).cumsum()
+        pairs = unplaned(documents["pairs"][0], np.uint32)
         add = lambda values: np.add.reduceat(values[pairs], first[:-1])
         return pa.table({"doc_id": documents["doc_id"][0].values, "train": documents["train"][0].values,
                          "n_tokens": np.diff(first), "n_known": add((count > 0).astype(np.int64)),
@@ -368,6 +442,18 @@ def pack_documents(base_all):
     return run
 
 
+def common_words(counts: DataFrame) -> np.ndarray:
+    """Sorted hashes of up to COMMON words, no less frequent than others up to a step of counts, and of the start."""
+    step = F.floor(4 * F.log2("n"))
+    room, least = COMMON, None
+    for level, n in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, level
+    rows = counts.where(step >= least).select("word").toArrow()["word"].to_numpy() if least is not None else []
+    return np.unique(np.append(np.asarray(rows, np.int64).view(np.uint64), np.uint64(START)))
+
+
 def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text",
                     scratch: Scratch | None = None) -> DataFrame:
     """Learn from the rows where ``train`` holds and score every row.
@@ -381,7 +467,7 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     kind = dict(docs.dtypes)["doc_id"]
     buckets = max(1, total_bytes(docs) // BUCKET_BYTES)
 
-    counts = scratch.keep(docs.where("train").select("text").mapInArrow(word_counts, "word long, n long")
+    counts = scratch.keep_lean(docs.where("train").select("text").mapInArrow(word_counts, "word long, n long")
                           .groupBy("word").agg(F.sum("n").alias("n")), "words")
     n, v, ones, twos = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1),
                                   F.count_if(F.col("n") == 2)).first()
@@ -390,12 +476,14 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     head = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     by = np.argsort(head)
     head, head_counts = head[by], np.array([r["n"] for r in top], np.int64)[by]
+    common = common_words(counts)
+    scratch.drop(counts)
 
-    packs = scratch.keep(docs.mapInArrow(occurrences(head, buckets), PACKS.format(f"array<{kind}>")), "packs")
-    pairs = scratch.keep(packs.where("bucket >= 0").select("pack", "bucket", "words", "runs", "context", "count")
-                         .groupBy("bucket").applyInArrow(bucket_pairs, PAIRS), "pairs")
+    packs = scratch.keep_lean(docs.mapInArrow(occurrences(head, common, buckets), PACKS.format(f"array<{kind}>")), "packs")
+    pairs = scratch.keep_lean(packs.where("bucket >= 0").select("pack", "bucket", "words", "runs", "context", "rare", "count")
+                              .groupBy("bucket").applyInArrow(bucket_pairs(common), PAIRS), "pairs")
     model = pairs.drop("packs", "places")
-    sums = scratch.keep(model.mapInArrow(first_sums(head, buckets), SUMS), "sums")
+    sums = scratch.keep_lean(model.mapInArrow(first_sums(head, buckets), SUMS), "sums")
 
     def of_kind(rows, kind):
         """Sums over the buckets by key: a few thousand rows at most."""
@@ -415,30 +503,42 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     totals = {"d1": discount(once, twice), "d0": discount(ones, twos), "base": 1 / (v + 1),
               "base_all": n + 0.1 * (v + 1), "root_tables": v, "root_customers": max(v, 1),
               "head": (of_head(sums)[0], np.ones(len(head), np.int64))}
-    asked = sums.where(F.col("kind") == CONTEXT).select("bucket", "key")
-    known = scratch.keep(sums.where(F.col("kind") == CONTEXT).groupBy("key").agg(
-        F.sum("t0").alias("customers"), F.sum("t1").alias("dishes")).withColumn("used", F.col("dishes")), "customers")
+    known = scratch.keep_lean(sums.where(F.col("kind") == CONTEXT).groupBy("key").agg(
+        F.sum("t0").alias("customers"), F.sum("t1").alias("dishes"), F.collect_list("bucket").alias("buckets"),
+        F.collect_list(F.when(F.col("t2") > 0, F.col("bucket"))).alias("live")).where("customers > 0"), "customers")
+    scratch.drop(sums)
+    live = scratch.keep_lean(model.mapInArrow(live_pairs(head, buckets), LIVE), "live")
+    drawn = scratch.keep_lean(known.where(F.size("live") > 0).select("key", "live", "dishes", F.col("dishes").alias("used")),
+                              "drawn")
     stirling = log_stirling(totals["d0"])
     for number in range(ROUNDS + 1):  # the last one gives the totals of the samples that are scored with
-        seated = scratch.keep(
-            model.groupBy("bucket").cogroup(asked.join(known.select("key", "used"), "key").groupBy("bucket"))
-            .applyInArrow(seat(head, buckets, totals, number), SUMS), "seated")
+        asked = drawn.select(F.explode("live").alias("bucket"), "key", "used")
+        seated = scratch.keep_lean(live.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
+            seat(head, buckets, totals, number), SUMS), "seated")
         all_sent, parent, rng = of_head(seated), of_kind(seated, PARENT), np.random.default_rng(number)
         opening = (STRENGTH + totals["d0"] * totals["root_tables"]) * totals["base"]
         opened = [draw_tables(s, np.full(len(head), opening), totals["d0"], stirling, rng) for s in all_sent]
         customers, tables = (np.array(parent.get(i, [0] * 3)) + [x.sum() for x in of] for i, of in enumerate((all_sent, opened)))
         matched = {"root_customers": customers, "root_tables": tables, "head": list(zip(all_sent, opened))}
         added = seated.where(F.col("kind") == CONTEXT).groupBy("key").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(3)])
-        known = scratch.keep(known.select("key", "customers", "dishes", "used").join(added, "key", "left").select(
-            "key", "customers", "dishes", "used", *[(F.col("dishes") + F.coalesce(f"t{k}", F.lit(0))).alias(f"t{k}")
-                                                    for k in range(3)]), "totals")
+        before = drawn
+        drawn = scratch.keep_lean(drawn.select("key", "live", "dishes", "used").join(added, "key", "left").select(
+            "key", "live", "dishes", "used", *[(F.col("dishes") + F.coalesce(f"t{k}", F.lit(0))).alias(f"t{k}")
+                                               for k in range(3)]), "totals")
+        scratch.drop(before)
+        scratch.drop(seated)
         if number < ROUNDS:
-            known = known.withColumn("used", F.col("t2"))
+            drawn = drawn.withColumn("used", F.col("t2"))
             totals = totals | {k: x[-1] for k, x in matched.items()}
-
-    scores = (pairs.groupBy("bucket").cogroup(asked.join(known, "key").groupBy("bucket"))
-              .applyInArrow(pair_scores(head, buckets, totals, matched, head_counts), SCORES))
-    rows = (packs.where("bucket = -1").select("pack", "doc_id", "train", "first", "pairs").groupBy("pack")
+    scratch.drop(live)
+
+    asked = known.join(drawn.select("key", "used", "t0", "t1", "t2"), "key", "left").select(
+        F.explode("buckets").alias("bucket"), "key", "customers", "used", "t0", "t1", "t2")
+    scores = scratch.keep_lean(pairs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
+        pair_scores(head, buckets, totals, matched, head_counts), SCORES), "scores")
+    for done in (pairs, known, drawn):
+        scratch.drop(done)
+    rows = (packs.where("bucket = -1").select("pack", "doc_id", "train", "sizes", "pairs").groupBy("pack")
             .cogroup(scores.groupBy("pack")).applyInArrow(
                 pack_documents(totals["base_all"]), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, "
                 "score double"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import re
 import tracemalloc
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spectraloom.llm import bpe, chat, line_dedup, mixing, pitman_yor, queries
+from spectraloom.llm.common import CLEAN_SHUFFLES, Scratch, total_bytes
 from spectraloom.llm.textscan import mix
 from tests.llm.conftest import CLASH, COPY, LONG, ODD
 from tests.oracle import connect, differences
@@ -334,6 +337,35 @@ def test_contexts_are_the_words_before(spark, monkeypatch):
     assert all(abs(found[2][i] - found[2048][i]) < 0.5 for i in asked)
 
 
+def test_language_model_leaves_little_on_disk(spark, sf_dir):
+    """What no later step reads is gone: packs of texts and scores stay, in less than four times the text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(2)
+    scratch = Scratch(spark, "test")
+    rows = pitman_yor.score_documents(docs, F.col("doc_id") % 10 != 0, scratch=scratch)
+    files = [f for f in pathlib.Path(scratch.root.removeprefix("file:")).rglob("*") if f.is_file()]
+    assert {f.parent.name[4:] for f in files} == {"packs", "scores"}
+    assert sum(f.stat().st_size for f in files) < 4 * total_bytes(docs)
+    assert spark.conf.get(CLEAN_SHUFFLES, "false") == "false"
+    assert rows.count() == docs.count()
+
+
+def test_pairs_of_one_customer_need_no_draw():
+    """A seating of the other pairs, told how often a word is in pairs of one customer, draws the same tables."""
+    rng = np.random.default_rng(3)
+    word, context = rng.integers(0, 50, 600), rng.integers(0, 20, 600)
+    pair, counts = np.unique(word * 20 + context, return_counts=True)
+    totals = {"d1": 0.6, "d0": 0.4, "base": 1 / 51, "customers": np.zeros(20), "tables": np.ones(20),
+              "root_tables": 50, "root_customers": 50}
+    many = counts > 1
+    ones = np.bincount(pair[~many] // 20, minlength=50)
+    every = pitman_yor.Seating(pair, counts, 50, totals, np.random.default_rng(1)).samples
+    some = pitman_yor.Seating(pair[many], counts[many], 50, totals, np.random.default_rng(1), ones=ones).samples
+    for (tables, sent, root), (fewer, sent_too, root_too) in zip(every, some):
+        assert (tables[many] == fewer).all() and (sent == sent_too).all() and (root == root_too).all()
+    values = np.array([0, 5, 70_000, 2 ** 40], np.uint64)
+    assert (pitman_yor.unplaned(pa.scalar(pitman_yor.planes(values)), np.uint64) == values).all()
+
+
 def test_probabilities_of_a_context_add_up_to_one():
     rng = np.random.default_rng(0)
     word, context = rng.integers(0, 60, 400), rng.integers(0, 4, 400)
