@@ -25,7 +25,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from spectraloom.models.neighbours import listed, nearest_graph, number_points, thinned
+from spectraloom.models.neighbours import nearest_graph, neighbours_kept, number_points, share_kept, thinned
 from spectraloom.sinks.shared import SharedTables
 
 NEIGHBOURS = 15
@@ -172,13 +172,45 @@ def embed_2d(df: DataFrame, key: str = "spectrum_id", intensities: str = "intens
     if count < 2 or not width:
         return points.select(F.col("key").alias(key), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     k = min(neighbours, count - 1)
-    graph = nearest_graph(points, k, tables, seed=seed)
+    places = place_graph(points, nearest_graph(points, k, tables, seed=seed), k, tables, count, width, seed)
+    return points.select("node", F.col("key").alias(key)).join(places, "node").select(
+        key, F.col("px").alias("x"), F.col("py").alias("y"))
+
+
+def place_graph(points: DataFrame, graph: DataFrame, k: int, tables: SharedTables, count: int, width: int,
+                seed: int = 0) -> DataFrame:
+    """(node, px, py) for the numbered points and the graph of their ``k`` nearest."""
     edges = weighted_edges(graph, k, tables)
     places = tables.keep(first_places(points, width, seed), "places")
     for r in range(ROUNDS):
         places = tables.keep(move_round(edges, places, count, r, seed), "places")
-    return points.select("node", F.col("key").alias(key)).join(places, "node").select(
-        key, F.col("px").alias("x"), F.col("py").alias("y"))
+    return places
+
+
+def planes_kept(df: DataFrame, project, key: str = "spectrum_id", intensities: str = "intensities",
+                neighbours: int = NEIGHBOURS, seed: int = 0) -> DataFrame:
+    """(projection, kept, n): the share of the nearest that the principal plane (``project`` of the rows) and the
+    neighbour embedding keep; all comparisons use one graph. Keys that repeat are compared row by row, as by
+    ``neighbours_kept``, which needs a graph for each plane."""
+    tables = SharedTables(df.sparkSession, "planes")
+    df = tables.keep(df.select(key, intensities), "rows")
+    principal = project(df)
+    rows = df.where(F.col(key).isNotNull())
+    points = number_points(rows, key, intensities, tables)
+    count, width, keys = points.agg(F.count("*"), F.max(F.size("x")), F.countDistinct("key")).first()
+    if keys < count or rows.count() > count or count < 2 or not width:
+        planes = {"principal": principal, "neighbours": embed_2d(df, key, intensities, neighbours, seed)}
+        kept = [neighbours_kept(df, plane, neighbours, key, intensities, seed) for plane in planes.values()]
+    else:
+        k = min(neighbours, count - 1)
+        graph = nearest_graph(points, k, tables, seed=seed)
+        flat = principal.select(F.col(key).alias("key"), F.array("x", "y").cast("array<float>").alias("x"))
+        planes = {"principal": points.select("node", "key").join(flat, "key").select("node", "x"),
+                  "neighbours": place_graph(points, graph, k, tables, count, width, seed).select(
+                      "node", F.array("px", "py").cast("array<float>").alias("x"))}
+        kept = [share_kept(graph, tables.keep(plane, "flat"), neighbours, tables, seed) for plane in planes.values()]
+    parts = [one.select(F.lit(name).alias("projection"), "kept", "n") for name, one in zip(planes, kept)]
+    return parts[0].unionByName(parts[1])
 
 
 def embed_train_test(train: DataFrame, test: DataFrame, key: str = "spectrum_id", intensities: str = "intensities",

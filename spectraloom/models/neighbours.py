@@ -205,7 +205,12 @@ def neighbours_kept(df: DataFrame, projected: DataFrame, k: int = 15, key: str =
     numbered = tables.keep(df.select(key, points).join(flat, key).select(
         F.monotonically_increasing_id().alias("node"), F.col(points).cast("array<float>").alias("x"),
         F.col("flat").cast("array<float>").alias("flat")), "both")
-    one = listed(nearest_graph(numbered.select("node", "x"), k, tables, seed=seed))
-    two = listed(nearest_graph(numbered.select("node", F.col("flat").alias("x")), k, tables, seed=seed))
-    both = one.join(two.select("node", "neighbour", F.lit(1).alias("hit")), ["node", "neighbour"], "left")
+    graph = nearest_graph(numbered.select("node", "x"), k, tables, seed=seed)
+    return share_kept(graph, numbered.select("node", F.col("flat").alias("x")), k, tables, seed)
+
+
+def share_kept(graph: DataFrame, flat: DataFrame, k: int, tables: SharedTables, seed: int = 0) -> DataFrame:
+    """``neighbours_kept`` for a graph of the points and their places (node, x)."""
+    two = listed(nearest_graph(flat, k, tables, seed=seed))
+    both = listed(graph).join(two.select("node", "neighbour", F.lit(1).alias("hit")), ["node", "neighbour"], "left")
     return both.agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("kept"), F.countDistinct("node").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from spectraloom import schema
-from spectraloom.models import embedding, evaluate, neighbours, network, search
+from spectraloom.models import embedding, evaluate, network, search
 from spectraloom.models.classifiers import get_model, predict
 from spectraloom.operators import joins, labels, metrics, signal, splits, stats
 from spectraloom.plans import views
@@ -143,10 +143,7 @@ def embed_culture_means(spark, sf_dir):
 def projection_report(spark, sf_dir):
     """Share of the 15 nearest spectra that each projection keeps."""
     rows = signal.normalize(views.spectra(spark, sf_dir))
-    planes = {"principal": evaluate.project_2d(rows), "neighbours": embedding.embed_2d(rows)}
-    parts = [neighbours.neighbours_kept(rows, plane).select(F.lit(name).alias("projection"), "kept", "n")
-             for name, plane in planes.items()]
-    return parts[0].unionByName(parts[1])
+    return embedding.planes_kept(rows, evaluate.project_2d)
 
 
 @query()

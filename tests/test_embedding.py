@@ -138,3 +138,19 @@ def test_share_kept_is_measured(spark):
     plane = evaluate.project_2d(df)
     got = neighbours.neighbours_kept(df, plane).first()
     assert got["n"] == 300 and abs(got["kept"] - exact.kept(x, places(plane))) < 0.02
+
+
+def test_planes_are_compared_with_one_graph(spark, monkeypatch):
+    """The graph of the spectra is built once for both planes; repeated keys are compared as before."""
+    x = clusters(300, 12, 6, 8)
+    df = frame(spark, x)
+    single = {"principal": evaluate.project_2d(df), "neighbours": embedding.embed_2d(df)}
+    widths, compare = [], neighbours.block_pairs
+    monkeypatch.setattr(neighbours, "block_pairs", lambda *a: widths.append(a[2]) or compare(*a))
+    got = {r["projection"]: r for r in embedding.planes_kept(df, evaluate.project_2d).collect()}
+    assert sorted(widths) == [2, 2, 12]
+    for name, plane in single.items():
+        assert got[name]["n"] == 300 and abs(got[name]["kept"] - exact.kept(x, places(plane))) < 0.03
+    twice = df.union(df.limit(40))
+    got = {r["projection"]: r for r in embedding.planes_kept(twice, evaluate.project_2d).collect()}
+    assert {r["n"] for r in got.values()} == {420}
