@@ -17,8 +17,11 @@ totals of the restaurants. Those are a table: a round sums it by context and sen
 context. A pair with one customer always has one table, so rounds carry the other pairs and the numbers of these. At last
 every bucket scores its pairs, and every pack adds up its texts. Buckets are sized by the corpus.
 
-Disk. Numbers are written as planes of bytes, contexts as two bytes if they are among the frequent words; a table goes
-when no later step reads it, the shuffle files of a write when it ends.
+Disk. Numbers are sent and written as compressed planes of bytes, contexts as two bytes if they are among the frequent
+words; a table goes when no later step reads it, the shuffle files of a write when it ends.
+
+Memory. Rows of a bucket or a pack are megabytes: they are written in small row groups, since a reader takes a group of
+them at once, and a worker hands back after each of them what it took.
 
 Defined cases: null text is empty; an empty text has one token, its end. Null ids are held out. Repeated rows are
 scored each. Without training documents every probability is 1. Other columns are ignored.
@@ -30,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spectraloom.llm.common import Scratch, slices, text_bytes, total_bytes
+from spectraloom.llm.common import Scratch, release, slices, text_bytes, total_bytes
 from spectraloom.llm.textscan import Words
 
 CLASSES = 512          # contexts of a seating that is not of a bucket
@@ -58,6 +61,12 @@ def tokens(offsets, data, words):
     return token, context, first
 
 
+def handed_back(found):
+    """The result of a group, when what it was computed with is freed: the worker lives on."""
+    release()
+    return found
+
+
 def summed(keys, counts):
     unique, at = np.unique(keys, return_inverse=True)
     return unique, np.bincount(at, counts, len(unique)).astype(np.int64)
@@ -87,15 +96,21 @@ def word_counts(batches):
                     keys, counts = keys[:0], counts[:0]
     keys, counts = merge()
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
+    del keys, counts, waiting, words
+    release()
 
 
 def planes(values) -> bytes:
-    """Unsigned numbers as bytes, first all lowest ones: the upper ones of small or sorted numbers compress to little."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Unsigned numbers as bytes, first all lowest ones: the upper ones of small or sorted numbers compress to little.
+    Compressed here already, so that what is shuffled and what the executors hold is small; the size comes first."""
+    raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unplaned(value, kind):
-    raw, width = np.frombuffer(value.as_buffer(), np.uint8), np.dtype(kind).itemsize
+    held, width = value.as_buffer(), np.dtype(kind).itemsize
+    size = int.from_bytes(held.slice(0, 8).to_pybytes(), "little")
+    raw = np.frombuffer(pa.decompress(held.slice(8), size, "zstd"), np.uint8) if size else np.zeros(0, np.uint8)
     return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).ravel()
 
 
@@ -163,6 +178,8 @@ def occurrences(head, common, buckets):
                     serial, held, parts, ids = serial + 1, 0, [], []
         if ids:
             yield from pack()
+        del parts, ids, words
+        release()
     return run
 
 
@@ -178,23 +195,30 @@ def bucket_pairs(common):
         found[code == RARE] = unplaned(rare, np.uint64)
         return found
 
-    def run(group: pa.Table) -> pa.Table:
-        token = [np.repeat(unplaned(w, np.uint64), unplaned(r, np.uint32)) for w, r in zip(group["words"], group["runs"])]
-        context = [hashes(c, r) for c, r in zip(group["context"], group["rare"])]
-        words, word = np.unique(np.concatenate(token), return_inverse=True)
-        contexts, near = np.unique(np.concatenate(context), return_inverse=True)
-        pair, place = np.unique(word * len(contexts) + near, return_inverse=True)
-        counts = np.bincount(place, np.concatenate([unplaned(c, np.uint32) for c in group["count"]]), len(pair))
-        places = np.split(place.astype(np.uint32), np.cumsum([len(c) for c in context])[:-1])
+    def numbered(group):
+        runs = [(unplaned(w, np.uint64), unplaned(r, np.uint32)) for w, r in zip(group["words"], group["runs"])]
+        words = np.unique(np.concatenate([w for w, _ in runs]))
+        pairs = [hashes(c, r) for c, r in zip(group["context"], group["rare"])]
+        contexts = np.unique(np.concatenate(pairs))
+        for i, (w, r) in enumerate(runs):  # in place of the contexts' hashes: as many numbers once, not per step
+            pairs[i] = np.repeat(np.searchsorted(words, w) * len(contexts), r) + np.searchsorted(contexts, pairs[i])
+        pair = np.unique(np.concatenate(pairs))
+        counts = np.zeros(len(pair), np.uint64)
+        for i, c in enumerate(group["count"]):
+            place = np.searchsorted(pair, pairs[i])
+            counts[place] += unplaned(c, np.uint32)  # a pack's pairs differ
+            # a pack's pairs are sorted like the bucket's: steps are small numbers
+            pairs[i] = planes(np.diff(place.astype(np.uint32), prepend=np.uint32(0)))
         word, near = np.divmod(pair, len(contexts))
         held = [("bucket", group["bucket"][0].as_py(), pa.int32()), ("words", planes(words), pa.binary()),
                 ("runs", planes(np.bincount(word, minlength=len(words)).astype(np.uint32)), pa.binary()),
                 ("contexts", planes(contexts), pa.binary()), ("context", planes(near.astype(np.uint32)), pa.binary()),
-                ("count", planes(counts.astype(np.uint64)), pa.binary()),
-                ("packs", group["pack"].to_pylist(), pa.list_(pa.int64())),
-                # a pack's pairs are sorted like the bucket's: steps are small numbers
-                ("places", [planes(np.diff(x, prepend=np.uint32(0))) for x in places], pa.list_(pa.binary()))]
+                ("count", planes(counts), pa.binary()), ("packs", group["pack"].to_pylist(), pa.list_(pa.int64())),
+                ("places", pairs, pa.list_(pa.binary()))]
         return pa.table({name: pa.array([value], kind) for name, value, kind in held})
+
+    def run(group: pa.Table) -> pa.Table:
+        return handed_back(numbered(group))
     return run
 
 
@@ -258,6 +282,8 @@ def live_pairs(head, buckets):
                     pa.array([int((ones[~live] > 0).sum())])]
                 yield pa.RecordBatch.from_arrays(
                     values, names=["bucket", "rank", "ones", "runs", "contexts", "context", "count", "alone"])
+                del held, word, context, many, ones, runs, live, contexts, near, values
+                release()
     return run
 
 
@@ -290,6 +316,8 @@ def first_sums(head, buckets):
                     seen = np.bincount(held.word[held.trained], minlength=len(held.words))
                     parts.append((WORD, held.rank, np.stack([seen] * 3, 1)))
                 yield sums_table(held.number, *parts)
+                del held, context, customers, dishes, parts
+                release()
     return run
 
 
@@ -379,7 +407,7 @@ class Seating:
 
 def seat(head, buckets, totals, number):
     """One round of a bucket: for each sample its contexts' tables beyond one a dish, and what is sent to the parent."""
-    def run(key, pairs: pa.Table, sums: pa.Table) -> pa.Table:
+    def drawn(pairs, sums):
         row = {name: pairs[name][0] for name in pairs.column_names}
         bucket, alone = row["bucket"].as_py(), row["alone"].as_py()
         contexts, ones = unplaned(row["contexts"], np.uint64), unplaned(row["ones"], np.uint64).astype(np.int64)
@@ -401,6 +429,9 @@ def seat(head, buckets, totals, number):
         else:
             parts.append((WORD, rank, sent))
         return pa.Table.from_batches([sums_table(bucket, *parts)])
+
+    def run(key, pairs: pa.Table, sums: pa.Table) -> pa.Table:
+        return handed_back(drawn(pairs, sums))
     return run
 
 
@@ -409,8 +440,8 @@ SCORES = "pack long, bucket int, score binary, count binary"
 
 def pair_scores(head, buckets, totals, matched, head_counts):
     """Of one bucket: log10 probabilities of the pairs of each pack, in the pack's order, and counts of their words."""
-    def run(key, pairs: pa.Table, sums: pa.Table) -> pa.Table:
-        row = {name: pairs[name][0] for name in pairs.column_names}
+    def chances(row, sums):
+        """Of the bucket's pairs: their probabilities, and how often their words are in the training texts."""
         held = Bucket(row, head, buckets)
         found, table = held.seating(sums, totals, ROUNDS)
         found.predict(matched | {"tables": np.stack([table[f"t{k}"] for k in range(SAMPLES)])}, held.rank)
@@ -418,17 +449,26 @@ def pair_scores(head, buckets, totals, matched, head_counts):
              else head_counts[held.rank])
         chance = sum(p[held.word] * left[held.context] for p, left in zip(found.parent, found.left)) / SAMPLES
         chance[held.trained] += found.added
-        score, count = np.log10(chance), n.astype(np.uint64)[held.word]
-        places = [np.cumsum(unplaned(x, np.uint32), dtype=np.uint32) for x in row["places"].values]
-        return pa.table({"pack": row["packs"].values, "bucket": pa.array([held.number] * len(places), pa.int32()),
-                         "score": pa.array([planes(score[x]) for x in places], pa.binary()),
-                         "count": pa.array([planes(count[x]) for x in places], pa.binary())})
+        return np.log10(chance), n.astype(np.uint64)[held.word]
+
+    def scored(pairs, sums):
+        row = {name: pairs[name][0] for name in pairs.column_names}
+        values = chances(row, sums)
+        release()  # what is sent can be as large as what the seating took
+        steps = row["places"].values
+        score, count = (pa.array([planes(value[np.cumsum(unplaned(x, np.uint32), dtype=np.uint32)]) for x in steps], pa.binary())
+                        for value in values)
+        return pa.table({"pack": row["packs"].values, "bucket": pa.array([row["bucket"].as_py()] * len(steps), pa.int32()),
+                         "score": score, "count": count})
+
+    def run(key, pairs: pa.Table, sums: pa.Table) -> pa.Table:
+        return handed_back(scored(pairs, sums))
     return run
 
 
 def pack_documents(base_all):
     """One pack's documents: sums over the pairs of their tokens."""
-    def run(key, documents: pa.Table, scores: pa.Table) -> pa.Table:
+    def added(documents, scores):
         order = np.argsort(scores["bucket"].to_numpy())
         score, count = (np.concatenate([unplaned(scores[x][int(i)], kind) for i in order])
                         for x, kind in (("score", np.float64), ("count", np.uint64)))
@@ -439,6 +479,9 @@ def pack_documents(base_all):
         return pa.table({"doc_id": documents["doc_id"][0].values, "train": documents["train"][0].values,
                          "n_tokens": np.diff(first), "n_known": add((count > 0).astype(np.int64)),
                          "base_score": add(np.log10((count + 0.1) / base_all)), "score": add(score)})
+
+    def run(key, documents: pa.Table, scores: pa.Table) -> pa.Table:
+        return handed_back(added(documents, scores))
     return run
 
 
@@ -479,9 +522,11 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     common = common_words(counts)
     scratch.drop(counts)
 
-    packs = scratch.keep_lean(docs.mapInArrow(occurrences(head, common, buckets), PACKS.format(f"array<{kind}>")), "packs")
+    packs = scratch.keep_lean(docs.mapInArrow(occurrences(head, common, buckets), PACKS.format(f"array<{kind}>")), "packed")
     pairs = scratch.keep_lean(packs.where("bucket >= 0").select("pack", "bucket", "words", "runs", "context", "rare", "count")
                               .groupBy("bucket").applyInArrow(bucket_pairs(common), PAIRS), "pairs")
+    documents = scratch.keep_lean(packs.where("bucket = -1").select("pack", "doc_id", "train", "sizes", "pairs"), "packs")
+    scratch.drop(packs)  # its pairs are in the buckets, and would be the largest table on disk when pairs are scored
     model = pairs.drop("packs", "places")
     sums = scratch.keep_lean(model.mapInArrow(first_sums(head, buckets), SUMS), "sums")
 
@@ -538,7 +583,7 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
         pair_scores(head, buckets, totals, matched, head_counts), SCORES), "scores")
     for done in (pairs, known, drawn):
         scratch.drop(done)
-    rows = (packs.where("bucket = -1").select("pack", "doc_id", "train", "sizes", "pairs").groupBy("pack")
+    rows = (documents.groupBy("pack")
             .cogroup(scores.groupBy("pack")).applyInArrow(
                 pack_documents(totals["base_all"]), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, "
                 "score double"))

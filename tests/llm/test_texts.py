@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -349,6 +350,76 @@ def test_language_model_leaves_little_on_disk(spark, sf_dir):
     assert rows.count() == docs.count()
 
 
+def test_pairs_of_packs_are_gone_when_buckets_are_scored(spark, sf_dir, monkeypatch):
+    """Once the buckets hold the pairs, the packs' own copy of them leaves the disk."""
+    found, write = {}, Scratch.write
+
+    def watched(self, df, name, **options):
+        found[name] = {p.name[4:]: p for p in pathlib.Path(self.root.removeprefix("file:")).iterdir()}
+        if name == "scores":
+            rows = spark.read.parquet(str(found[name]["packs"]))
+            assert rows.columns == ["pack", "doc_id", "train", "sizes", "pairs"]
+        return write(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "write", watched)
+    pitman_yor.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id") % 10 != 0)
+    assert set(found["scores"]) == {"packs", "pairs", "customers", "totals"}
+
+
+def test_large_rows_are_written_in_small_groups(spark):
+    """A reader takes a row group at once: rows of a megabyte do not come a hundred at a time."""
+    rows = spark.range(0, 64, 1, 1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16_000)), lambda i: F.sha2(
+        F.concat_ws("-", "id", i).cast("binary"), 256)), "").alias("text"))
+    scratch = Scratch(spark, "test")
+    assert scratch.keep_lean(rows, "large").count() == 64
+    files = pathlib.Path(scratch.root.removeprefix("file:")).rglob("*.parquet")
+    groups = [g for f in files for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == 64 and max(g.total_byte_size for g in groups) < 20 << 20
+
+
+def pack_rows(packs, size):
+    """Of one bucket: rows of packs as the map task sends them, and the numbers of their pairs by word and context."""
+    rng, rows, counts = np.random.default_rng(4), [], Counter()
+    common = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    seen, other = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (3_000, 2_000))
+    for pack in range(packs):
+        near = np.concatenate([common, other])
+        pair = np.unique(np.stack([rng.choice(seen, size), rng.choice(near, size)], 1), axis=0)
+        n = rng.integers(0, 5, len(pair)).astype(np.uint32)
+        words, runs = np.unique(pair[:, 0], return_counts=True)
+        at, known = pitman_yor.ranks(common, pair[:, 1])
+        rows.append({"pack": pack, "bucket": 0, "words": pitman_yor.planes(words),
+                     "runs": pitman_yor.planes(runs.astype(np.uint32)),
+                     "context": pitman_yor.planes(np.where(known, at, pitman_yor.RARE).astype(np.uint16)),
+                     "rare": pitman_yor.planes(pair[~known, 1].copy()), "count": pitman_yor.planes(n)})
+        counts.update(dict(zip(map(tuple, pair.tolist()), n.tolist())))
+    kinds = [("pack", pa.int64()), ("bucket", pa.int32()),
+             *[(c, pa.binary()) for c in ("words", "runs", "context", "rare", "count")]]
+    return common, pa.Table.from_pylist(rows, pa.schema(kinds)), counts
+
+
+def test_pairs_of_a_bucket_take_little_memory(monkeypatch):
+    """A bucket's pairs are merged in fewer than 60 bytes for each pair of a pack, and freed memory is handed back."""
+    common, group, counts = pack_rows(20, 40_000)
+    released = []
+    monkeypatch.setattr(pitman_yor, "release", lambda: released.append(True), raising=False)
+    n = sum(len(pitman_yor.unplaned(x, np.uint32)) for x in group["count"])
+    tracemalloc.start()
+    row = pitman_yor.bucket_pairs(common)(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    read = lambda name, kind: pitman_yor.unplaned(row[name][0], kind)
+    words, contexts = read("words", np.uint64), read("contexts", np.uint64)
+    word = np.repeat(words, read("runs", np.uint32)).tolist()
+    pairs = list(zip(word, contexts[read("context", np.uint32)].tolist()))
+    assert pairs == sorted(counts) and read("count", np.uint64).tolist() == [counts[p] for p in pairs]
+    for place, x in zip(row["places"][0].values, range(20)):
+        steps = np.cumsum(pitman_yor.unplaned(place, np.uint32))
+        mine = np.repeat(*(pitman_yor.unplaned(group[c][x], k) for c, k in (("words", np.uint64), ("runs", np.uint32))))
+        assert [pairs[i][0] for i in steps.tolist()] == mine.tolist()
+    assert released and peak < 60 * n, peak / n
+
+
 def test_pairs_of_one_customer_need_no_draw():
     """A seating of the other pairs, told how often a word is in pairs of one customer, draws the same tables."""
     rng = np.random.default_rng(3)
