@@ -18,7 +18,8 @@ context. A pair with one customer always has one table, so rounds carry the othe
 every bucket scores its pairs, and every pack adds up its texts. Buckets are sized by the corpus.
 
 Disk. Numbers are sent and written as compressed planes of bytes, contexts as two bytes if they are among the frequent
-words; a table goes when no later step reads it, the shuffle files of a write when it ends.
+words; a table goes when no later step reads it, the shuffle files of a write when it ends. Buckets, and at the end packs,
+are shuffled in up to ``GROUPS`` groups, one after another, so that only a part is in a table and in shuffle files at once.
 
 Memory. Rows of a bucket or a pack are megabytes: they are written in small row groups, since a reader takes a group of
 them at once, and a worker hands back after each of them what it took.
@@ -29,6 +30,8 @@ scored each. Without training documents every probability is 1. Other columns ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -46,6 +49,7 @@ STRENGTH = 1.0
 START, END = 0, 1      # the context of a text's first word, and the hash that stands for the end of a text
 PACK = 1_000_000       # occurrences a map task gathers before it sends them
 BUCKET_BYTES = 24 << 20
+GROUPS = 3             # parts, at most, of the buckets, and of the packs, that are shuffled one after another
 
 
 def tokens(offsets, data, words):
@@ -67,6 +71,29 @@ def handed_back(found):
     return found
 
 
+def distinct(*parts):
+    """Sorted different numbers of all arrays. A sort is several times faster than ``np.unique``, which hashes them."""
+    values = np.concatenate(parts)
+    values.sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+def pair_order(bucket, token, context, width):
+    """The order by bucket, token, context (numbers below ``width``), and in it where another pair begins."""
+    if (int(bucket.max(initial=0)) + 1) * width * width < 1 << 63:  # as one number
+        key = (bucket.astype(np.int64) * width + token) * width + context
+        by = np.argsort(key)
+        columns = [key[by]]
+    else:
+        by = np.lexsort((context, token, bucket))
+        columns = [x[by] for x in (bucket, token, context)]
+    new = np.ones(len(by), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return by, new
+
+
 def summed(keys, counts):
     unique, at = np.unique(keys, return_inverse=True)
     return unique, np.bincount(at, counts, len(unique)).astype(np.int64)
@@ -137,26 +164,26 @@ def occurrences(head, common, buckets):
 
         def pack():
             token, context, trained = (np.concatenate(x) for x in zip(*(p[:3] for p in parts)))
-            bucket = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-            frequent = ranks(head, token)[1]
-            bucket[frequent] = buckets + ((context[frequent] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-            by = np.lexsort((context, token, bucket))
-            token, context, bucket = token[by], context[by], bucket[by]
-            new = np.ones(len(by), bool)
-            new[1:] = (token[1:] != token[:-1]) | (context[1:] != context[:-1])
+            names, at = np.unique(np.append(token, np.uint64(START)), return_inverse=True)
+            near = np.append(at[-1], at[:-2])  # a context is the token before, or the start
+            near[context == START] = at[-1]
+            at = at[:-1]
+            own, frequent = ((names >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), ranks(head, names)[1]
+            coded, known = ranks(common, names)
+            bucket = np.where(frequent[at], buckets + own[near], own[at])
+            by, new = pair_order(bucket, at, near, len(names))
             number = np.empty(len(by), np.uint32)
             number[by] = np.cumsum(new) - 1
             start = np.flatnonzero(new)
             count = np.add.reduceat(trained[by].astype(np.int64), start).astype(np.uint32)
-            token, context = token[start], context[start]
-            cuts = np.searchsorted(bucket[start], np.arange(2 * buckets + 1))
+            at, near, bucket = (x[by[start]] for x in (at, near, bucket))
+            code, token, context, known = np.where(known, coded, RARE).astype(np.uint16)[near], names[at], names[near], known[near]
+            cuts = np.searchsorted(bucket, np.arange(2 * buckets + 1))
             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if y > x:
                     unique, runs = np.unique(token[x:y], return_counts=True)
-                    at, known = ranks(common, context[x:y])
                     yield row(pack=serial, bucket=b, words=planes(unique), runs=planes(runs.astype(np.uint32)),
-                              context=planes(np.where(known, at, RARE).astype(np.uint16)),
-                              rare=planes(context[x:y][~known]), count=planes(count[x:y]))
+                              context=planes(code[x:y]), rare=planes(context[x:y][~known[x:y]]), count=planes(count[x:y]))
             yield row(pack=serial, bucket=-1, doc_id=pa.concat_arrays([x for x, _ in ids]).to_pylist(),
                       train=np.concatenate([x for _, x in ids]).tolist(),
                       sizes=planes(np.concatenate([p[3] for p in parts]).astype(np.uint32)), pairs=planes(number))
@@ -189,20 +216,21 @@ PAIRS = ("bucket int, words binary, runs binary, contexts binary, context binary
 
 def bucket_pairs(common):
     """One bucket: its words and contexts, its pairs (by word, then context) with counts, and each pack's pairs."""
-    def hashes(code, rare):
-        code = unplaned(code, np.uint16)
-        found = common[np.minimum(code, len(common) - 1)]
-        found[code == RARE] = unplaned(rare, np.uint64)
-        return found
-
     def numbered(group):
         runs = [(unplaned(w, np.uint64), unplaned(r, np.uint32)) for w, r in zip(group["words"], group["runs"])]
-        words = np.unique(np.concatenate([w for w, _ in runs]))
-        pairs = [hashes(c, r) for c, r in zip(group["context"], group["rare"])]
-        contexts = np.unique(np.concatenate(pairs))
-        for i, (w, r) in enumerate(runs):  # in place of the contexts' hashes: as many numbers once, not per step
-            pairs[i] = np.repeat(np.searchsorted(words, w) * len(contexts), r) + np.searchsorted(contexts, pairs[i])
-        pair = np.unique(np.concatenate(pairs))
+        words = distinct(*[w for w, _ in runs])
+        codes, rare = [unplaned(c, np.uint16) for c in group["context"]], [unplaned(r, np.uint64) for r in group["rare"]]
+        used = np.zeros(RARE + 1, bool)
+        for code in codes:
+            used[code] = True
+        contexts = distinct(common[np.flatnonzero(used[:RARE])], *rare)
+        spot, pairs = np.searchsorted(contexts, common), []  # where the common ones are, if they are there
+        for i, (w, r) in enumerate(runs):
+            near = spot[np.minimum(codes[i], len(common) - 1)]
+            near[codes[i] == RARE] = np.searchsorted(contexts, rare[i])
+            pairs.append(np.repeat(np.searchsorted(words, w) * len(contexts), r) + near)
+            codes[i] = rare[i] = None
+        pair = distinct(*pairs)
         counts = np.zeros(len(pair), np.uint64)
         for i, c in enumerate(group["count"]):
             place = np.searchsorted(pair, pairs[i])
@@ -509,6 +537,15 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
                        F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     buckets = max(1, total_bytes(docs) // BUCKET_BYTES)
+    groups = max(1, min(GROUPS, buckets // 2))
+
+    def part(rows, group, name="bucket"):
+        """The rows of one group of buckets, or of packs."""
+        number = F.col(name) if name == "bucket" else F.xxhash64(name)
+        return rows.where(F.pmod(number, F.lit(groups)) == group) if groups > 1 else rows
+
+    def union(tables):
+        return reduce(DataFrame.union, tables)
 
     counts = scratch.keep_lean(docs.where("train").select("text").mapInArrow(word_counts, "word long, n long")
                           .groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -523,11 +560,12 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     scratch.drop(counts)
 
     packs = scratch.keep_lean(docs.mapInArrow(occurrences(head, common, buckets), PACKS.format(f"array<{kind}>")), "packed")
-    pairs = scratch.keep_lean(packs.where("bucket >= 0").select("pack", "bucket", "words", "runs", "context", "rare", "count")
-                              .groupBy("bucket").applyInArrow(bucket_pairs(common), PAIRS), "pairs")
+    sent = packs.where("bucket >= 0").select("pack", "bucket", "words", "runs", "context", "rare", "count")
+    pairs = [scratch.keep_lean(part(sent, group).groupBy("bucket").applyInArrow(bucket_pairs(common), PAIRS), "pairs")
+             for group in range(groups)]
     documents = scratch.keep_lean(packs.where("bucket = -1").select("pack", "doc_id", "train", "sizes", "pairs"), "packs")
     scratch.drop(packs)  # its pairs are in the buckets, and would be the largest table on disk when pairs are scored
-    model = pairs.drop("packs", "places")
+    model = union(pairs).drop("packs", "places")
     sums = scratch.keep_lean(model.mapInArrow(first_sums(head, buckets), SUMS), "sums")
 
     def of_kind(rows, kind):
@@ -579,13 +617,23 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
 
     asked = known.join(drawn.select("key", "used", "t0", "t1", "t2"), "key", "left").select(
         F.explode("buckets").alias("bucket"), "key", "customers", "used", "t0", "t1", "t2")
-    scores = scratch.keep_lean(pairs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
-        pair_scores(head, buckets, totals, matched, head_counts), SCORES), "scores")
-    for done in (pairs, known, drawn):
+    if groups > 1:  # else each group would join again
+        asked = scratch.keep_lean(asked, "asked")
+        scratch.drop(known)
+        scratch.drop(drawn)
+    scores = []
+    for group, some in enumerate(pairs):
+        scores.append(scratch.keep_lean(some.groupBy("bucket").cogroup(part(asked, group).groupBy("bucket")).applyInArrow(
+            pair_scores(head, buckets, totals, matched, head_counts), SCORES), "scores"))
+        scratch.drop(some)
+    for done in [asked] if groups > 1 else [known, drawn]:
         scratch.drop(done)
-    rows = (documents.groupBy("pack")
-            .cogroup(scores.groupBy("pack")).applyInArrow(
-                pack_documents(totals["base_all"]), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, "
-                "score double"))
+
+    def of_packs(group):
+        return (part(documents, group, "pack").groupBy("pack").cogroup(part(union(scores), group, "pack").groupBy("pack"))
+                .applyInArrow(pack_documents(totals["base_all"]), f"doc_id {kind}, train boolean, n_tokens long, "
+                              "n_known long, base_score double, score double"))
+
+    rows = union([*[scratch.keep_lean(of_packs(group), "rows") for group in range(groups - 1)], of_packs(groups - 1)])
     return rows.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
                        "base_score", "score")

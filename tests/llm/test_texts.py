@@ -366,6 +366,49 @@ def test_pairs_of_packs_are_gone_when_buckets_are_scored(spark, sf_dir, monkeypa
     assert set(found["scores"]) == {"packs", "pairs", "customers", "totals"}
 
 
+def test_buckets_and_packs_are_shuffled_in_groups(spark, sf_dir, monkeypatch):
+    """A group's pairs leave the disk before the next group is scored, and no shuffle holds all pairs or all scores."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(pitman_yor, "PACK", 50_000)
+    docs, write, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch.write, []
+
+    def size(folder):
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+    def watched(self, df, name, **options):
+        tables = [p for p in pathlib.Path(self.root.removeprefix("file:")).iterdir() if p.name[4:] == "pairs"]
+        path = write(self, df, name, **options)
+        seen.append((name, sum(map(size, tables)), size(pathlib.Path(path.removeprefix("file:")))))
+        return path
+
+    def scored():
+        rows = pitman_yor.score_documents(docs, F.col("doc_id") % 10 != 0).collect()
+        return sorted(map(tuple, rows))
+
+    monkeypatch.setattr(Scratch, "write", watched)
+    rows = scored()
+    before = [pairs for name, pairs, _ in seen if name == "scores"]  # pairs on disk when a group of buckets is scored
+    assert len(before) == 3 and before[1] < 0.75 * before[0] and before[2] < 0.45 * before[0]
+    for name in ("pairs", "scores"):
+        sizes = [own for kind, _, own in seen if kind == name]
+        assert max(sizes) < 0.5 * sum(sizes)
+    assert [name for name, _, _ in seen].count("rows") == 2
+    assert len(rows) == docs.count()
+    monkeypatch.setattr(pitman_yor, "GROUPS", 1)
+    assert scored() == rows
+
+
+def test_order_of_pairs():
+    """Pairs are ordered by bucket, token and context, also when the three do not fit into one number."""
+    rng = np.random.default_rng(5)
+    bucket, token, context = rng.integers(0, 3, 5_000).astype(np.int32), *rng.integers(0, 20, (2, 5_000))
+    rows = list(zip(bucket.tolist(), token.tolist(), context.tolist()))
+    for width in (20, 1 << 40):
+        by, new = pitman_yor.pair_order(bucket, token, context, width)
+        assert [rows[i] for i in by] == sorted(rows)
+        assert [rows[i] for i in by[new]] == sorted(set(rows))
+
+
 def test_large_rows_are_written_in_small_groups(spark):
     """A reader takes a row group at once: rows of a megabyte do not come a hundred at a time."""
     rows = spark.range(0, 64, 1, 1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16_000)), lambda i: F.sha2(
