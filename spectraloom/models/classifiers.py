@@ -1,8 +1,8 @@
 """Classifiers by method name. Training data: an array column and a label 0..K-1.
 
-Every trainer returns a ``PipelineModel`` that adds a ``prediction`` column. Three methods are the exact
+Every trainer returns a ``PipelineModel`` that adds a ``prediction`` column. Two methods are the exact
 single-machine algorithm only up to a size, and its distributed counterpart beyond: the kernel SVM beyond its number of
-landmarks, the perceptron and the forest beyond the rows of one block.
+landmarks, the perceptron beyond the rows of one block.
 """
 
 from __future__ import annotations

@@ -1,8 +1,8 @@
 """Random forests without a depth limit.
 
-A table of up to ``GROUP_ROWS`` rows grows each tree in one group. A larger one is first parted by MLlib trees of bounded
-depth; what falls into one leaf is then finished in one group, until the leaves are pure. A leaf that still holds more
-rows than that stays as it is, with the shares of its classes.
+A table of up to ``GROUP_ROWS`` rows grows each tree in one group. In a larger one, nodes with more rows are split by
+exact cuts over all their rows (``parting``), however many levels that takes; what falls into one smaller node is then
+finished in one group, until the leaves are pure. Only a node of one class or of equal rows stays larger than a group.
 
 Each tree sees each row as often as a hash of the row's content and the tree says (Poisson with mean 1), looks at the
 root of the number of features per node (more, until one of them can part the rows) and splits by Gini impurity. The
@@ -21,37 +21,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Transformer
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from spectraloom.functions.kernels import add_columns, matrices
+from spectraloom.models.parting import best_cut, part, reach
 from spectraloom.sinks.shared import SharedTables
 
 GROUP_ROWS = 50_000
-TOP_DEPTH = 25           # of the MLlib trees, at most
 SLICE_BYTES = 64 << 20   # of subtrees that are sent to all tasks; of more, each goes to the rows of its leaf
 SUBTREES = ("tree int, leaf int, feature array<int>, threshold array<double>, below array<int>, above array<int>, "
             "shares array<double>")
+TOP = "tree int, feature array<int>, threshold array<double>, below array<int>, above array<int>, level array<int>"
 
 
 def best_split(x: np.ndarray, counts: np.ndarray):
     """(impurity, threshold) of the best cut of one feature; counts: weighted classes of the rows. None if all are equal."""
-    order = np.argsort(x, kind="stable")
-    ordered, upto = x[order], np.cumsum(counts[order], axis=0)
-    cuts = np.flatnonzero(ordered[1:] > ordered[:-1])
-    if not len(cuts):
-        return None
-    left, total = upto[cuts], upto[-1]
-    right = total - left
-    sizes = left.sum(1), right.sum(1)
-    impurity = sum(size - (side ** 2).sum(1) / size for side, size in zip((left, right), sizes))
-    at = cuts[impurity.argmin()]
-    threshold = ordered[at] + (ordered[at + 1] - ordered[at]) / 2
-    return impurity.min(), threshold if threshold < ordered[at + 1] else ordered[at]
+    found = best_cut(x, counts)
+    return found and found[:2]
 
 
 def grow(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes: int, rng: np.random.Generator,
@@ -92,36 +81,29 @@ def grow(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes: int, r
 
 
 def leaf_shares(tree, x: np.ndarray) -> np.ndarray:
-    feature, threshold, below, above, shares = tree
-    at = np.zeros(len(x), np.int64)
-    open_rows = np.flatnonzero(feature[at] >= 0)
-    while len(open_rows):
-        node = at[open_rows]
-        low = x[open_rows, feature[node]] <= threshold[node]
-        at[open_rows] = np.where(low, below[node], above[node])
-        open_rows = open_rows[feature[at[open_rows]] >= 0]
-    return shares[at]
+    return tree[4][reach(tree, x)]
 
 
 def times_drawn(row: F.Column, tree: F.Column, seed: int):
     """How often a tree sees a row: Poisson with mean 1, by hash."""
     chance = F.pmod(F.xxhash64(row, tree, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     found, upto, term = F.lit(0), 0.0, math.exp(-1)
-    for n in range(1, 9):
+    for n in range(1, 12):  # more are rarer than a step of the hash
         upto += term
         found = found + F.when(chance >= upto, 1).otherwise(0)
         term /= n
     return found
 
 
-def finish_subtrees(width: int, classes: int, seed: int, depth: int | None):
+def finish_subtrees(width: int, classes: int, seed: int, depth: int | None, top: list | None = None):
     def run(key, table):
         tree, leaf = (k.as_py() for k in key)
         table = table.sort_by([("h", "ascending")])
         x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         labels = table.column("label").to_numpy().astype(np.int64)
         weights = table.column("weight").to_numpy().astype(np.float64)
-        arrays = grow(x, labels, weights, classes, np.random.default_rng([seed, tree, leaf]), depth)
+        left = depth if depth is None or top is None else depth - int(top[tree][4][leaf])
+        arrays = grow(x, labels, weights, classes, np.random.default_rng([seed, tree, leaf]), left)
         return pa.table([pa.array([tree], pa.int32()), pa.array([leaf], pa.int32()),
                          *[pa.array([a.ravel().tolist()], pa.list_(kind)) for a, kind in zip(
                              arrays, (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64()))]],
@@ -138,7 +120,8 @@ class ForestWriter(MLWriter):
         DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession)
         self.stage.subtrees.write.parquet(f"{path}/subtrees")
         if self.stage.top is not None:
-            self.stage.top.write().save(f"{path}/top")
+            rows = [(tree, *(a.tolist() for a in arrays)) for tree, arrays in enumerate(self.stage.top)]
+            self.sparkSession.createDataFrame(rows, TOP).write.parquet(f"{path}/top")
 
 
 class ForestReader(MLReader):
@@ -149,7 +132,8 @@ class ForestReader(MLReader):
         DefaultParamsReader.getAndSetParams(stage, held)
         stage.subtrees = self.sparkSession.read.schema(SUBTREES).parquet(f"{path}/subtrees")
         if stage.getOrDefault(stage.hasTop):
-            stage.top = RandomForestClassificationModel.load(f"{path}/top")
+            rows = self.sparkSession.read.schema(TOP).parquet(f"{path}/top").orderBy("tree").collect()
+            stage.top = [tuple(np.array(a) for a in r[1:]) for r in rows]
         return stage
 
 
@@ -157,9 +141,9 @@ class DeepForest(Transformer, HasInputCol, HasOutputCol, MLWritable, MLReadable)
     """Adds the class with the largest mean share over the trees."""
 
     numClasses = Param(Params._dummy(), "numClasses", "number of classes", TypeConverters.toInt)
-    hasTop = Param(Params._dummy(), "hasTop", "whether MLlib trees part the rows first", TypeConverters.toBoolean)
+    hasTop = Param(Params._dummy(), "hasTop", "whether the rows are parted first", TypeConverters.toBoolean)
 
-    def __init__(self, subtrees: DataFrame | None = None, top: RandomForestClassificationModel | None = None, **params):
+    def __init__(self, subtrees: DataFrame | None = None, top: list | None = None, **params):
         super().__init__()
         self.subtrees, self.top = subtrees, top
         self._setDefault(inputCol="intensities", outputCol="prediction", hasTop=top is not None)
@@ -258,13 +242,20 @@ def meet_subtrees(rows: DataFrame, subtrees: DataFrame, points: str, trees: int,
     return rows.join(sums, "_row", "left").drop("_row")
 
 
-def with_leaves(df: DataFrame, top: RandomForestClassificationModel | None, points: str) -> DataFrame:
+def with_leaves(df: DataFrame, top: list | None, points: str) -> DataFrame:
     """Adds ``_leaves``: for every tree the leaf of the parting trees, or an empty array without them."""
     if top is None:
-        return df.withColumn("_leaves", F.array().cast("array<double>"))
-    empty = F.array_repeat(F.lit(0.0), F.lit(top.numFeatures))
-    found = top.transform(df.withColumn("_vector", array_to_vector(F.coalesce(F.col(points), empty))))
-    return found.withColumn("_leaves", vector_to_array("_leaf")).drop("_vector", "_leaf", *TOP_COLUMNS)
+        return df.withColumn("_leaves", F.array().cast("array<int>"))
+
+    def leaves(spectra: pa.Array) -> list[pa.Array]:
+        found = np.zeros((len(spectra), len(top)), np.int32)
+        for some, x in matrices(spectra):
+            for tree, arrays in enumerate(top):
+                found[some, tree] = reach(arrays, x)
+        offsets = np.arange(len(spectra) + 1, dtype=np.int32) * len(top)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))]
+
+    return add_columns(df, points, {"_leaves": T.ArrayType(T.IntegerType())}, leaves)
 
 
 def add_shares(rows: DataFrame, points: str, held, classes: int) -> DataFrame:
@@ -293,9 +284,6 @@ def add_shares(rows: DataFrame, points: str, held, classes: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-TOP_COLUMNS = ("_top_prediction", "_top_raw", "_top_probability")
-
-
 def fit_forest(df: DataFrame, trees: int = 100, depth: int | None = None, seed: int = 0) -> DeepForest:
     """``df`` has ``intensities`` and ``label``; labels are 0, 1, ..."""
     df = df.where(F.col("intensities").isNotNull()).select("intensities", "label").persist(StorageLevel.MEMORY_AND_DISK)
@@ -303,37 +291,28 @@ def fit_forest(df: DataFrame, trees: int = 100, depth: int | None = None, seed:
         count, highest, width = df.agg(F.count("*"), F.max("label"), F.max(F.size("intensities"))).first()
         if not count:
             raise ValueError("no training rows")
-        classes, top = int(highest) + 1, None
-        if count > GROUP_ROWS:
-            levels = min(TOP_DEPTH, math.ceil(math.log2(count / GROUP_ROWS)) + 2)
-            top = RandomForestClassifier(
-                numTrees=trees, maxDepth=levels if depth is None else min(levels, depth), seed=seed, featuresCol="_vector",
-                labelCol="label", leafCol="_leaf", predictionCol=TOP_COLUMNS[0], rawPredictionCol=TOP_COLUMNS[1],
-                probabilityCol=TOP_COLUMNS[2]).fit(df.withColumn("_vector", array_to_vector("intensities")))
-            depth = None if depth is None else max(0, depth - levels)
+        classes, top, whole = int(highest) + 1, None, {}
         tables = SharedTables(df.sparkSession, "forest")
-        parted = with_leaves(df, top, "intensities")
-        leaf = F.get("_leaves", F.col("tree")).cast("int") if top is not None else F.lit(0)
-        each = parted.select(F.xxhash64("intensities", "label").alias("h"), F.col("intensities").alias("x"),
-                             F.col("label").cast("int").alias("label"), "_leaves",
-                             F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        each = each.select("h", "x", "label", "tree", leaf.alias("leaf"),
+        hashed = df.select(F.xxhash64("intensities", "label").alias("h"), F.col("intensities").alias("x"),
+                           F.col("label").cast("int").alias("label"))
+        numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+        if count > GROUP_ROWS:
+            drawn = F.transform(numbers, lambda tree: times_drawn(F.col("h"), tree, seed).cast("byte"))
+            rows = tables.keep(hashed.withColumn("drawn", drawn), "rows")
+            top, whole = part(rows, count, trees, width, classes, seed, depth, GROUP_ROWS)
+        parted = with_leaves(hashed, top, "x")
+        leaf = F.get("_leaves", F.col("tree")) if top is not None else F.lit(0)
+        each = parted.select("h", "x", "label", "_leaves", F.explode(numbers).alias("tree"))
+        each = each.select("tree", leaf.alias("leaf"), "h", "x", "label",
                            times_drawn(F.col("h"), F.col("tree"), seed).alias("weight")).where("weight > 0")
-        sizes = each.groupBy("tree", "leaf").agg(F.count("*").alias("rows"), *[
-            F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)])
-        sizes = tables.keep(sizes, "sizes")
-        large = sizes.where(F.col("rows") > GROUP_ROWS)
-        some = each
-        if large.limit(1).count():
-            some = each.join(large.select("tree", "leaf"), ["tree", "leaf"], "left_anti")
-        finished = some.select("tree", "leaf", "h", "x", "label", "weight").groupBy("tree", "leaf").applyInArrow(
-            finish_subtrees(width, classes, seed, depth), SUBTREES)
-        drawn = sum(F.col(f"c{k}") for k in range(classes))
-        one = lambda value, kind: F.array(F.lit(value)).cast(f"array<{kind}>")
-        whole = large.select("tree", "leaf", one(-1, "int").alias("feature"), one(0.0, "double").alias("threshold"),
-                             one(-1, "int").alias("below"), one(-1, "int").alias("above"),
-                             F.array(*[F.col(f"c{k}") / drawn for k in range(classes)]).alias("shares"))
-        subtrees = tables.keep(finished.unionByName(whole), "subtrees")
+        if whole:
+            large = df.sparkSession.createDataFrame(
+                [(tree, leaf, [-1], [0.0], [-1], [-1], (held[:-1] / held[:-1].sum()).tolist())
+                 for (tree, leaf), held in whole.items()], SUBTREES)
+            each = each.join(large.select("tree", "leaf"), ["tree", "leaf"], "left_anti")
+        subtrees = each.groupBy("tree", "leaf").applyInArrow(
+            finish_subtrees(width, classes, seed, depth, top), SUBTREES)
+        subtrees = tables.keep(subtrees.unionByName(large) if whole else subtrees, "subtrees")
     finally:
         df.unpersist()
     return DeepForest(subtrees, top, numClasses=classes)

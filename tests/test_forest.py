@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom import schema
-from spectraloom.models import evaluate, forest
+from spectraloom.models import evaluate, forest, parting
 from spectraloom.models.classifiers import get_model, predict
 from spectraloom.operators import metrics
 
@@ -104,3 +104,118 @@ def test_bootstrap_and_odd_rows(spark, spiral):
     assert len(found) == 900 and all((found[i] is None) == (i <= 5) for i in found)
     with pytest.raises(ValueError):
         get_model(schema.METHOD_RANDOM_FOREST, {}).fit(spiral.where("false"))
+
+
+def parted_here(x, labels, drawn, group, seed, tree, depth=None):
+    """(feature, threshold) by path of a tree parted by trying every cut of a node's rows, and the rows of its leaves."""
+    cuts, leaves, numbers, nodes = {}, {}, 1, [(0, "", np.flatnonzero(drawn))]
+    while nodes:  # level by level, as nodes are numbered
+        below = []
+        for number, path, rows in nodes:
+            counts = np.zeros((len(rows), labels.max() + 1))
+            counts[np.arange(len(rows)), labels[rows]] = drawn[rows]
+            best, some = None, int(x.shape[1] ** 0.5)
+            open_node = len(rows) > group and (counts.sum(0) > 0).sum() > 1 and (depth is None or len(path) < depth)
+            for tried, f in enumerate(parting.features_of(seed, tree, number, x.shape[1]) if open_node else []):
+                if tried >= some and best:
+                    break
+                found = forest.best_split(x[rows, f], counts)
+                if found is not None and (best is None or found[0] < best[0]):
+                    best = (*found, f)
+            if best is None:
+                leaves[path] = set(rows)
+                continue
+            cuts[path] = best[2], best[1]
+            low = x[rows, best[2]] <= best[1]
+            below += [(numbers, path + "b", rows[low]), (numbers + 1, path + "a", rows[~low])]
+            numbers += 2
+        nodes = below
+    return cuts, leaves
+
+
+def paths_of(tree):
+    feature, threshold, below, above = tree[:4]
+    cuts, leaves, work = {}, {}, [(0, "")]
+    while work:
+        node, path = work.pop()
+        if feature[node] < 0:
+            leaves[path] = node
+            continue
+        cuts[path] = feature[node], threshold[node]
+        work += [(below[node], path + "b"), (above[node], path + "a")]
+    return cuts, leaves
+
+
+@pytest.mark.parametrize("sums, spans, depth", [(64 << 20, 20_000, None), (1, 30, 3)])
+def test_large_nodes_have_the_best_of_all_cuts(spark, sums, spans, depth, monkeypatch):
+    """Continuous, coarse, constant, missing and infinite values; heavy values beyond a group; uneven labels."""
+    monkeypatch.setattr(parting, "SUMS_BYTES", sums)
+    monkeypatch.setattr(parting, "ROUND_SPANS", spans)
+    monkeypatch.setattr(parting, "CHUNK_BYTES", 4000)
+    rng, n, trees, group = np.random.default_rng(5), 500, 3, 90
+    x = np.stack([rng.normal(size=n), rng.integers(0, 4, n), np.ones(n), np.exp(rng.normal(size=n) * 6),
+                  np.where(rng.random(n) < 0.6, 0.0, rng.normal(size=n)), rng.normal(size=n).round(1)], 1)
+    x[::17, 0], x[5::40, 3], x[6::40, 3] = np.nan, np.inf, -np.inf
+    labels = (rng.random(n) * 3 * (np.nan_to_num(x[:, 0]) > 0)).astype(int) + (x[:, 1] == 2)
+    drawn = rng.poisson(1, (n, trees))
+    rows = spark.createDataFrame([(a, int(b), c) for a, b, c in zip(x.tolist(), labels, drawn.tolist())],
+                                 "x array<double>, label int, drawn array<tinyint>").repartition(3).cache()
+    found, whole = parting.part(rows, n, trees, 6, labels.max() + 1, 4, depth, group)
+    for tree in range(trees):
+        cuts, leaves = parted_here(x, labels, drawn[:, tree], group, 4, tree, depth)
+        mine, ends = paths_of(found[tree])
+        assert len(cuts) >= 3 and mine == cuts
+        at = parting.reach(found[tree], x)
+        for path, held in leaves.items():
+            assert held == set(np.flatnonzero((at == ends[path]) & (drawn[:, tree] > 0)))
+            assert ((tree, ends[path]) in whole) == (len(held) > group)
+            assert found[tree][4][ends[path]] == len(path)
+    assert (depth is None) or whole
+
+
+def test_few_wide_bins_and_no_spans(spark):
+    """Cuts between bins only, and nodes that no tried feature parts at first."""
+    n = 240
+    x = np.zeros((n, 9))
+    x[:, 7] = np.arange(n) % 2
+    labels = (x[:, 7] + (np.arange(n) % 5 == 0)).astype(int)
+    rows = spark.createDataFrame([(a, int(b), [1]) for a, b in zip(x.tolist(), labels)],
+                                 "x array<double>, label int, drawn array<tinyint>")
+    (tree,), whole = parting.part(rows, n, 1, 9, 3, 0, None, 50)
+    assert tree[0].tolist() == [7, -1, -1] and tree[1][0] == 0.5
+    assert {k: v.tolist() for k, v in whole.items()} == {(0, 1): [96, 24, 0, 120], (0, 2): [0, 96, 24, 120]}
+
+
+def test_no_large_leaf_stays_unfinished(spark, monkeypatch):
+    """Classes that take turns where nearly all rows lie close together: bounded trees of few bins leave large mixed leaves."""
+    monkeypatch.setattr(forest, "GROUP_ROWS", 70)
+    n = 180
+    x = np.where(np.arange(n) < 20, np.arange(n) * 1e6, 1e9 + np.arange(n) * 1e-3)
+    rows = [(i, int(i // 4 % 2 if i >= 20 else i % 2), [float(v)]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "spectrum_id int, y int, intensities array<double>")
+    model = get_model(schema.METHOD_RANDOM_FOREST, {"num_trees": 2}).fit(df).stages[0]
+    held = model.subtrees.collect()
+    assert model.top is not None and len(held) > 2
+    for r in held:
+        feature, shares = np.array(r["feature"]), np.array(r["shares"]).reshape(-1, 2)
+        assert (shares[feature < 0].max(1) == 1).all()
+
+
+def test_equal_rows_beyond_a_group_and_depth(spark, monkeypatch):
+    monkeypatch.setattr(forest, "GROUP_ROWS", 50)
+    equal = [(i, int(i % 3 == 0), [1.0, 2.0]) for i in range(200)]
+    other = [(200 + i, int(i % 2), [float(i + 5), 2.0]) for i in range(120)]
+    df = spark.createDataFrame(equal + other, "spectrum_id int, y int, intensities array<double>")
+    odd = df.select("spectrum_id", F.when(F.col("spectrum_id") != 3, F.col("intensities")).alias("intensities"), "y")
+    for depth in (None, 4):
+        model = get_model(schema.METHOD_RANDOM_FOREST, {"num_trees": 3, "max_depth": depth}).fit(odd)
+        found = {r["spectrum_id"]: r["y_pred"] for r in predict(model, odd).collect()}
+        assert len(found) == 320 and found[3] is None and all(v is not None for k, v in found.items() if k != 3)
+        assert len({v for k, v in found.items() if k < 200 and k != 3}) == 1
+        top = model.stages[0].top
+        deepest = max(top[r["tree"]][4][r["leaf"]] + depth_of([np.array(r[c]) for c in SUBTREE_ARRAYS])
+                      for r in model.stages[0].subtrees.collect())
+        assert deepest == 4 if depth else deepest > 4
+
+
+SUBTREE_ARRAYS = ("feature", "threshold", "below", "above", "shares")
